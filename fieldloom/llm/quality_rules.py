@@ -140,7 +140,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     return rf"""
 WITH d AS (
   SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win),
@@ -151,7 +151,7 @@ m AS (
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
-         len(list_filter(w, x -> x IN ({stop})))::BIGINT AS n_stop,
+         len(list_filter(w, lambda x: x IN ({stop})))::BIGINT AS n_stop,
          len(regexp_extract_all(t, '[A-Z]{{2}}'))::BIGINT AS n_upper
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m)
