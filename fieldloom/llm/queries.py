@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
+    "op3_token_counts": token_counts.query,
+    "op5_packing": packing.query,
+    "op7_sharding": sharding.query,
+    "op10_quality_classifier": quality_classifier.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
