@@ -77,3 +77,21 @@ def _running_sums(df: DataFrame, keys: list[str], index: str, value: str, fan: i
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, up]]
     joined = local.alias("l").join(above.select(*keys, up, "__upbefore").alias("r"), same)
     return joined.select("l.*", "r.__upbefore").withColumn("__before", F.col("__before") + F.col("__upbefore")).drop(up, "__upbefore")
+
+
+#: Bits of the filter that may_hold ships to a scan; a bound whatever the input.
+FILTER_BITS = 1 << 21
+
+
+def may_hold(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows of df whose id may be among ids: all that are, and those that share a bit with one.
+
+    A bitmap of fixed size (at most FILTER_BITS / 64 rows) is broadcast, so that wide rows which
+    a later exact join would drop are not shuffled. It drops nothing that the join keeps.
+    """
+    residue = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
+    word = lambda c: F.floor(residue(c) / 64).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(residue(c), F.lit(64)).cast("int"))
+    bitmap = ids.select(word(id_column).alias("__word"), bit(id_column).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__word", word(column)).join(F.broadcast(bitmap), "__word")
+    return marked.filter(F.col("__bits").bitwiseAND(bit(column)) != 0).drop("__word", "__bits")

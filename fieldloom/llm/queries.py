@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, html_extraction, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
+    "op2_jaccard_join": jaccard_join.query,
     "op3_token_counts": token_counts.query,
+    "op4_decontamination": decontamination.query,
     "op5_packing": packing.query,
+    "op6_html_extraction": html_extraction.query,
     "op7_sharding": sharding.query,
     "op10_quality_classifier": quality_classifier.query,
 }
