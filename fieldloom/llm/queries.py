@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.query,
     "op6_html_extraction": html_extraction.query,
     "op7_sharding": sharding.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_pii": pii.query,
     "op10_quality_classifier": quality_classifier.query,
 }
