@@ -9,10 +9,12 @@ most significant digits first, and what is alone after a pass leaves:
 
 1. the digit of the first KMER bytes: suffixes alone with theirs leave;
 2. all bytes within `length` of the place: of equal ones all but the earliest are wholly repeated;
-3. the earliest ones, where a KMER has several: digits of a quarter of the strings around the place
-   (the bytes that all strings of the quarter have), and those alone with theirs leave;
+3. the earliest ones, where a KMER has several, by quarters of the strings around the place: of those
+   that agree on all bytes of a quarter's strings all but the earliest are repeated there, and those that
+   agree with no other on the bytes that its strings have in common leave;
 4. the strings themselves, through `length` bytes: groups that are equal now are exactly the repeated
-   strings, and all but the earliest are removed.
+   strings, and all but the earliest are removed. A string is looked at from one place only, that of its
+   least hash.
 
 Groups are counted and reduced to their minima by partial aggregates and joined back, so a string that
 very many documents share is no task's load. Digits are 64-bit hashes under a fixed random table (two
@@ -71,27 +73,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def places(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions of a text, the hash of the kmer there, and that of all bytes within `length` of it."""
+    """Sampled places of a text, the hash of the kmer there, and that of all bytes within `length` of it.
+
+    A place is position << 16 | low << 8 | high: the strings that start low to high bytes before it are its own.
+    """
     n, w = len(raw), length - kmer + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     up, down = _powers()
     parts = []
     for begin in range(0, n, BLOCK):
-        low, high = max(0, begin - 2 * length), min(n, begin + BLOCK + 2 * length)
-        if high - low < length:
+        first, end = max(0, begin - 2 * length), min(n, begin + BLOCK + 2 * length)
+        if end - first < length:
             continue
-        b = np.frombuffer(raw, np.uint8, high - low, low)
+        b = np.frombuffer(raw, np.uint8, end - first, first)
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_TABLE[b] * up[: len(b)], out=total[1:])
         h = _mix((total[kmer:] - total[:-kmer]) * down[: len(b) - kmer + 1])
         least = _sliding(h, w, np.minimum)
         most = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum)
         at = np.flatnonzero(most == h)
-        at = at[(at + low >= begin) & (at + low < begin + BLOCK)]
+        # Strings with one least hash are a run; unless hashes repeat nearby, runs and places pair off.
+        starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        if len(starts) == len(at) and (h[at] == least[starts]).all():
+            high, low = at - starts, at - (np.concatenate([starts[1:], [len(least)]]) - 1)
+        else:
+            low, high = np.zeros(len(at), np.int64), np.full(len(at), w - 1)
+        inside = (at + first >= begin) & (at + first < begin + BLOCK)
+        at, low, high = at[inside], low[inside], high[inside]
         s, e = np.maximum(at - (w - 1), 0), np.minimum(at + length, len(b))
         around = (total[e] - total[s]) * down[s] + ((at - s) * 1009 + (e - at)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        parts.append((at + low, h[at], _mix(around)))
+        parts.append((((at + first) << 16) | (low << 8) | high, h[at], _mix(around)))
     at, h, around = (np.concatenate(c) for c in zip(*parts, strict=True))
     return at.astype(np.int64), h.view(np.int64), around.view(np.int64)
 
@@ -115,35 +127,46 @@ def _sampled(docs: DataFrame, length: int, kmer: int) -> DataFrame:
     return docs.mapInArrow(run, "d long, at long, kmer long, around long")
 
 
+def _quarter(q: int, w: int) -> tuple[int, int]:
+    """Strings of a quarter start `first` to `end` - 1 bytes before the place."""
+    return w * q // QUARTERS, w * (q + 1) // QUARTERS
+
+
 def _contexts(firsts: DataFrame, docs: DataFrame, length: int, kmer: int) -> DataFrame:
-    """d, at, kmer, left (bytes before the place), context (all bytes within reach), digits (one for each quarter, null where it doesn't fit)."""
+    """d, at, kmer, left (bytes before the place), context (all bytes within reach), digits (of each quarter: what its strings have in common, and all they have; null where that isn't there)."""
     wanted = firsts.groupBy("d").agg(F.collect_list(F.struct("at", "kmer")).alias("of"))  # a document's own places
     texts = may_hold(docs, "d", firsts, "d").join(wanted, "d").select("d", "text", "of")
     w = length - kmer + 1
+    quarters = [(q, *_quarter(q, w)) for q in range(QUARTERS)]
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
+        digest = xxhash.xxh64_intdigest
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for d, text, of in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
-                for x in {(x["at"], x["kmer"]) for x in of}:
-                    at = x[0]
-                    low, high = max(0, at - (w - 1)), min(len(raw), at + length)
-                    digits = []
-                    for q in range(QUARTERS):
-                        # Strings with r bytes before the place, first <= r < end, all have these bytes.
-                        first, end = w * q // QUARTERS, w * (q + 1) // QUARTERS
-                        left, right = at - first, at + length - end + 1
-                        digits.append(_signed(xxhash.xxh64_intdigest(raw[left:right], q)) if left >= 0 and right <= len(raw) else None)
-                    for c, v in zip(out, (d, at, x[1], at - low, raw[low:high], digits), strict=True):
+                size = len(raw)
+                for place, k in {(x["at"], x["kmer"]) for x in of}:
+                    at, own_low, own_high = place >> 16, place >> 8 & 255, place & 255
+                    low, digits = max(0, at - (w - 1)), []
+                    for q, first, end in quarters:
+                        common = whole = None
+                        if first <= own_high and own_low < end:
+                            if at >= first and at + length - end + 1 <= size:
+                                common = _signed(digest(raw[at - first : at + length - end + 1], q))
+                            if at >= end - 1 and at + length - first <= size:
+                                whole = _signed(digest(raw[at - end + 1 : at + length - first], q + QUARTERS))
+                        digits.append({"common": common, "whole": whole})
+                    for c, v in zip(out, (d, place, k, at - low, raw[low : at + length], digits), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            digit = pa.struct([("common", pa.int64()), ("whole", pa.int64())])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(digit)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["d", "at", "kmer", "left", "context", "digits"])
 
-    return texts.mapInArrow(run, "d long, at long, kmer long, left long, context binary, digits array<long>")
+    return texts.mapInArrow(run, "d long, at long, kmer long, left long, context binary, digits array<struct<common: long, whole: long>>")
 
 
 def _signed(h: int) -> int:
@@ -163,25 +186,34 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     later = sampled.join(classes.filter("c > 1").select("kmer", "around", "first"), ["kmer", "around"]).filter(F.struct(*place) != F.col("first"))
     size = docs.select("d", F.octet_length("text").cast("long").alias("size"))
     whole = later.groupBy("d").agg(F.collect_set("at").alias("of")).join(size.distinct(), "d")  # a document's own places
-    whole = whole.select("d", F.explode(F.transform("of", lambda at: F.struct(F.greatest(at - (w - 1), F.lit(0)).alias("s"), F.least(at + length, F.col("size")).alias("e")))).alias("i")).select("d", "i.s", "i.e")
+    whole = whole.select("d", F.explode(F.transform("of", lambda p: F.struct(F.greatest(F.shiftright(p, 16) - (w - 1), F.lit(0)).alias("s"), F.least(F.shiftright(p, 16) + length, F.col("size")).alias("e")))).alias("i")).select("d", "i.s", "i.e")
     # Pass 3.
     several = classes.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kmer")
     firsts = classes.join(several, "kmer", "left_semi").select("kmer", "first.d", "first.at")
     contexts = stash(_contexts(firsts, docs, length, kmer), "contexts")
-    digits = contexts.select("kmer", *place, F.posexplode("digits").alias("q", "digit")).filter("digit is not null")
-    shared = digits.groupBy("kmer", "q", "digit").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    going = digits.join(shared, ["kmer", "q", "digit"], "left_semi").select("kmer", *place, "q").distinct()
+    at = F.shiftright("at", 16)
+    first_of = F.floor(F.col("q") * w / QUARTERS).cast("int")
+    end_of = F.floor((F.col("q") + 1) * w / QUARTERS).cast("int")
+    digits = contexts.select("kmer", *place, F.posexplode("digits").alias("q", "g")).select("kmer", *place, "q", "g.common", "g.whole").filter("common is not null")
+    same = digits.filter("whole is not null").groupBy("kmer", "q", "whole").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    met = digits.join(same, ["kmer", "q", "whole"], "left")
+    again_here = F.col("first").isNotNull() & (F.struct(*place) != F.col("first"))
+    quarters = met.filter(again_here).select("d", (at - end_of + 1).alias("s"), (at + length - first_of).alias("e"))
+    rest = met.filter(~again_here).select("kmer", *place, "q", "common")
+    shared = rest.groupBy("kmer", "q", "common").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    going = rest.join(shared, ["kmer", "q", "common"], "left_semi").select("kmer", *place, "q").distinct()
     going = going.groupBy("kmer", *place).agg(F.collect_set("q").alias("qs"))  # at most QUARTERS
     # Pass 4.
-    first_of, end_of = F.floor(F.col("q") * w / QUARTERS).cast("int"), F.floor((F.col("q") + 1) * w / QUARTERS).cast("int")
     strings = contexts.join(going, ["kmer", *place]).select("kmer", *place, "left", "context", F.explode("qs").alias("q"))
-    strings = strings.withColumn("r", F.explode(F.sequence(first_of, end_of - 1)))
+    own_low, own_high = F.shiftright("at", 8).bitwiseAND(255).cast("int"), F.col("at").bitwiseAND(255).cast("int")
+    strings = strings.withColumn("r", F.explode(F.sequence(F.greatest(first_of, own_low), F.least(end_of - 1, own_high))))
     begin = (F.col("left") - F.col("r")).cast("int")
     strings = strings.filter((begin >= 0) & (begin + length <= F.octet_length("context")))
     strings = strings.select("kmer", "r", *place, F.xxhash64(F.substring("context", begin + 1, F.lit(length))).alias("h"))
     heads = strings.groupBy("kmer", "r", "h").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     again = strings.join(heads, ["kmer", "r", "h"]).filter(F.struct(*place) != F.col("first"))
-    return whole.unionByName(again.select("d", (F.col("at") - F.col("r")).alias("s"), (F.col("at") - F.col("r") + length).alias("e")))
+    again = again.select("d", (at - F.col("r")).alias("s"), (at - F.col("r") + length).alias("e"))
+    return whole.unionByName(quarters).unionByName(again)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
