@@ -83,8 +83,8 @@ def _running_sums(df: DataFrame, keys: list[str], index: str, value: str, fan: i
 FILTER_BITS = 1 << 21
 
 
-def may_hold(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """The rows of df whose id may be among ids: all that are, and those that share a bit with one.
+def may_hold(df: DataFrame, column: str, ids: DataFrame, id_column: str, rest: bool = False) -> DataFrame:
+    """The rows of df whose id may be among ids: all that are, and those that share a bit with one; with rest, all other rows.
 
     A bitmap of fixed size (at most FILTER_BITS / 64 rows) is broadcast, so that wide rows which
     a later exact join would drop are not shuffled. It drops nothing that the join keeps.
@@ -93,5 +93,6 @@ def may_hold(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> Data
     word = lambda c: F.floor(residue(c) / 64).cast("int")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(residue(c), F.lit(64)).cast("int"))
     bitmap = ids.select(word(id_column).alias("__word"), bit(id_column).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__word", word(column)).join(F.broadcast(bitmap), "__word")
-    return marked.filter(F.col("__bits").bitwiseAND(bit(column)) != 0).drop("__word", "__bits")
+    marked = df.withColumn("__word", word(column)).join(F.broadcast(bitmap), "__word", "left" if rest else "inner")
+    held = F.coalesce(F.col("__bits").bitwiseAND(bit(column)), F.lit(0)) != 0
+    return marked.filter(~held if rest else held).drop("__word", "__bits")
