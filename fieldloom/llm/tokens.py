@@ -9,20 +9,37 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that a worker remembers at most; later ones are encoded each time.
-MEMORY = 300_000
+MEMORY = 600_000
 #: The one layout of file for which pieces are known to be encoded independently of their surroundings.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with other characters than these go whole to the tokenizer, which then normalises them itself.
 ODD = re.compile(r"[^\t-\r\x20-\x7e¡-įı-ňŊ-ž‐-‧€]|<\|")
 
 
+#: SPLIT for lower-cased text without odd characters, where it has the same pieces.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ž0-9²³¹¼½¾]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next unused one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, free = [""] * 256, 256
+    for b in range(256):
+        if b in prints:
+            out[b] = chr(b)
+        else:
+            out[b], free = chr(free), free + 1
+    return out
+
+
 class _Pieces(dict):
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model, self.letters = tokenizer.model, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        out = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
         if len(self) < MEMORY:
             self[piece] = out
         return out
@@ -32,7 +49,6 @@ class WordPieceMemory:
     """encode(text) gives the ids that the tokenizer gives, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,12 +56,11 @@ class WordPieceMemory:
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.apart = kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == SPLIT and spec["post_processor"] is None
-        self.find = regex.compile(SPLIT).findall
         self.ids = _Pieces(self.tokenizer).__getitem__
 
     def encode(self, text: str) -> bytes:
         if self.apart and not ODD.search(text):
-            return b"".join(map(self.ids, self.find(text.lower())))
+            return b"".join(map(self.ids, PLAIN.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
