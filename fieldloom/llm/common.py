@@ -42,6 +42,15 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(df: DataFrame) -> None:
+    """Deletes a stashed table that no plan reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running_total(df: DataFrame, keys: Sequence[str], index: str, value: str, out: str, fan: int = 4096) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same keys with a smaller `index` (a dense or sparse long >= 0, unique within the keys).
 
