@@ -35,10 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df once to the shared folder and reads it back: a cut in the lineage that outlives lost executors."""
+    """Writes df once to the shared folder and reads it back: a cut in the lineage that outlives lost executors.
+
+    Spark deletes the shuffle files of finished work when the driver's collector finds its plan unused;
+    asking for a collection here keeps the disk's load to about one step's, however many steps there are.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

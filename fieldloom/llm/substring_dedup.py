@@ -187,6 +187,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     size = docs.select("d", F.octet_length("text").cast("long").alias("size"))
     whole = later.groupBy("d").agg(F.collect_set("at").alias("of")).join(size.distinct(), "d")  # a document's own places
     whole = whole.select("d", F.explode(F.transform("of", lambda p: F.struct(F.greatest(F.shiftright(p, 16) - (w - 1), F.lit(0)).alias("s"), F.least(F.shiftright(p, 16) + length, F.col("size")).alias("e")))).alias("i")).select("d", "i.s", "i.e")
+    whole = stash(whole, "whole")
     # Pass 3.
     several = classes.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kmer")
     firsts = classes.join(several, "kmer", "left_semi").select("kmer", "first.d", "first.at")
@@ -198,6 +199,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     same = digits.filter("whole is not null").groupBy("kmer", "q", "whole").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     met = digits.join(same, ["kmer", "q", "whole"], "left")
     again_here = F.col("first").isNotNull() & (F.struct(*place) != F.col("first"))
+    met = stash(met.select("kmer", *place, "q", "common", again_here.alias("again")), "quarters")
+    again_here = F.col("again")
     quarters = met.filter(again_here).select("d", (at - end_of + 1).alias("s"), (at + length - first_of).alias("e"))
     rest = met.filter(~again_here).select("kmer", *place, "q", "common")
     shared = rest.groupBy("kmer", "q", "common").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
@@ -210,6 +213,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     begin = (F.col("left") - F.col("r")).cast("int")
     strings = strings.filter((begin >= 0) & (begin + length <= F.octet_length("context")))
     strings = strings.select("kmer", "r", *place, F.xxhash64(F.substring("context", begin + 1, F.lit(length))).alias("h"))
+    strings = stash(strings, "strings")
     heads = strings.groupBy("kmer", "r", "h").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     again = strings.join(heads, ["kmer", "r", "h"]).filter(F.struct(*place) != F.col("first"))
     again = again.select("d", (at - F.col("r")).alias("s"), (at - F.col("r") + length).alias("e"))
