@@ -115,14 +115,15 @@ def _sampled(docs: DataFrame, length: int, kmer: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            d, columns = [], ([], [], [])
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = places((text or "").encode("utf-8", "replace"), length, kmer)
-                d.append(np.full(len(found[0]), k, np.int64))
-                for c, v in zip(columns, found, strict=True):
-                    c.append(v)
-            whole = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (d, *columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in whole], ["d", "at", "kmer", "around"])
+            for i in range(0, b.num_rows, 256):
+                d, columns = [], ([], [], [])
+                for k, text in zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).to_pylist(), strict=True):
+                    found = places((text or "").encode("utf-8", "replace"), length, kmer)
+                    d.append(np.full(len(found[0]), k, np.int64))
+                    for c, v in zip(columns, found, strict=True):
+                        c.append(v)
+                whole = [np.concatenate(c) for c in (d, *columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in whole], ["d", "at", "kmer", "around"])
 
     return docs.mapInArrow(run, "d long, at long, kmer long, around long")
 
@@ -144,9 +145,19 @@ def _contexts(firsts: DataFrame, docs: DataFrame, length: int, kmer: int) -> Dat
         import xxhash
 
         digest = xxhash.xxh64_intdigest
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("common", pa.int64()), ("whole", pa.int64())]))]
+        names = ["d", "at", "kmer", "left", "context", "digits"]
+        out: list[list] = [[] for _ in names]
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+            for c in out:
+                c.clear()
+            return batch
+
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for d, text, of in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(b.num_rows):
+                d, text, of = (b.column(j)[i].as_py() for j in range(3))
                 raw = (text or "").encode("utf-8", "replace")
                 size = len(raw)
                 for place, k in {(x["at"], x["kmer"]) for x in of}:
@@ -162,9 +173,10 @@ def _contexts(firsts: DataFrame, docs: DataFrame, length: int, kmer: int) -> Dat
                         digits.append({"common": common, "whole": whole})
                     for c, v in zip(out, (d, place, k, at - low, raw[low : at + length], digits), strict=True):
                         c.append(v)
-            digit = pa.struct([("common", pa.int64()), ("whole", pa.int64())])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(digit)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["d", "at", "kmer", "left", "context", "digits"])
+                    if len(out[0]) == 2048:
+                        yield flush()
+        if out[0]:
+            yield flush()
 
     return texts.mapInArrow(run, "d long, at long, kmer long, left long, context binary, digits array<struct<common: long, whole: long>>")
 
@@ -228,7 +240,7 @@ def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
             out: list[list] = [[] for _ in range(4)]
             for d, text, of in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
