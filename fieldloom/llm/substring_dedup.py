@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import may_hold, stash, table
+from .common import may_hold, stash, table, unstash
 
 LENGTH, KMER = 100, 32
 QUARTERS = 4
@@ -200,10 +200,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     whole = later.groupBy("d").agg(F.collect_set("at").alias("of")).join(size.distinct(), "d")  # a document's own places
     whole = whole.select("d", F.explode(F.transform("of", lambda p: F.struct(F.greatest(F.shiftright(p, 16) - (w - 1), F.lit(0)).alias("s"), F.least(F.shiftright(p, 16) + length, F.col("size")).alias("e")))).alias("i")).select("d", "i.s", "i.e")
     whole = stash(whole, "whole")
+    unstash(sampled)
     # Pass 3.
     several = classes.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kmer")
     firsts = classes.join(several, "kmer", "left_semi").select("kmer", "first.d", "first.at")
     contexts = stash(_contexts(firsts, docs, length, kmer), "contexts")
+    unstash(classes)
     at = F.shiftright("at", 16)
     first_of = F.floor(F.col("q") * w / QUARTERS).cast("int")
     end_of = F.floor((F.col("q") + 1) * w / QUARTERS).cast("int")
@@ -226,6 +228,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     strings = strings.filter((begin >= 0) & (begin + length <= F.octet_length("context")))
     strings = strings.select("kmer", "r", *place, F.xxhash64(F.substring("context", begin + 1, F.lit(length))).alias("h"))
     strings = stash(strings, "strings")
+    unstash(contexts)
     heads = strings.groupBy("kmer", "r", "h").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     again = strings.join(heads, ["kmer", "r", "h"]).filter(F.struct(*place) != F.col("first"))
     again = again.select("d", (at - F.col("r")).alias("s"), (at - F.col("r") + length).alias("e"))
