@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Both sides are reduced to templates: numbers, capitalised names and units become typed placeholders,
-other words are lower-cased. Every run of `window` template words is hashed; the windows of the
+other words are case-folded. Every run of `window` template words is hashed; the windows of the
 documents meet those of the benchmark items in a hash join, whatever the items' number. A fixed bitmap
 of the items' hashes (BITS bits, whatever the input) travels to the scan of the documents so that only
 windows with a set bit are shuffled; the join itself is exact. The values in the placeholders then
@@ -9,10 +9,16 @@ decide: along one alignment of document and item each value of the item must sta
 the document and the other way round, so a question with other numbers or names is caught, and prose
 that only shares a frame with inconsistent fillings is not.
 
-Defined results: null or empty texts and texts shorter than a window match nothing; an item with fewer
-template words than a window can't be told from prose and never matches; windows with fewer than
-`literals` plain words are not evidence; repeated rows are each reported once per (doc_id, item_id);
-empty tables give no rows; other columns are not looked at.
+What is a name depends on case, so each window has a second, case-free form in which names are words
+like others: a copy in capitals, small letters or title case meets its item there. Both forms go
+through the same join and each is judged on its own alignments; a window counts once, by either.
+
+Defined results: null texts and texts without a word match nothing; an item with fewer words than a
+window is one whole window, however short, in the case-free form only (no second window could
+contradict a name); a window with fewer than `literals` plain words has no template, and one with fewer
+than that besides its numbers and units keeps these as literals too; a copy in another case with other
+names is found by the windows without such a name; repeated rows are each reported once per
+(doc_id, item_id); empty tables give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,24 +47,28 @@ WORDS = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*")
 NUMBER, NAME, UNIT, LITERAL = 1, 2, 3, 0
 
 
-def template_word(word: str) -> tuple[str, int]:
-    """The word's place in a template, and its kind."""
-    low = word.lower()
+#: The forms of a window, as bits: with names as placeholders, and case-free.
+TEMPLATE, CASE_FREE = 1, 2
+
+
+def word_kind(word: str) -> tuple[str, int]:
+    """The word without its case, and its kind."""
+    low = word.casefold()
     if word[0].isdigit():
-        return "<number>", NUMBER
+        return low, NUMBER
     if low in UNITS:
-        return "<unit>", UNIT
+        return low, UNIT
     if len(word) > 1 and word[0].isupper() and word[1:].islower():
-        return "<name>", NAME
+        return low, NAME
     return low, LITERAL
 
 
 class _Codes(dict):
-    """word -> hash of its template word, with the kind in the low two bits; bounded."""
+    """word -> hash of the word without its case, with the kind in the low two bits; bounded."""
 
     def __missing__(self, word: str) -> int:
-        place, kind = template_word(word)
-        code = (zlib.crc32(place.encode("utf-8", "replace")) << 2) | kind
+        low, kind = word_kind(word)
+        code = (zlib.crc32(low.encode("utf-8", "replace")) << 2) | kind
         if len(self) < 300_000:
             self[word] = code
         return code
@@ -66,85 +76,127 @@ class _Codes(dict):
 
 _codes = _Codes()
 _FACTORS = np.random.default_rng(8).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+#: What stands for a number, a name and a unit.
+_PLACES = np.random.default_rng(9).integers(1, 1 << 63, 4, np.uint64)
+
+
+def _rolled(x: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size`."""
+    n = len(x) - size + 1
+    h = np.full(n, size, np.uint64)
+    for j in range(size):
+        h += x[j : j + n] * _FACTORS[j]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
-def window_hashes(words: list[str], window: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of a text, and which of them have enough plain words to count."""
-    n = len(words) - window + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+def window_forms(words: list[str], size: int, literals: int, template: bool) -> list[tuple[int, np.ndarray, np.ndarray, frozenset]]:
+    """(forms, hashes, which windows have this form, kinds of the words that are its slots) of a text's windows; equal hashes of both forms are given once."""
+    if len(words) < size:
+        return []
     codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    plain = np.concatenate([[0], np.cumsum((codes & np.uint64(3)) == LITERAL)])
+    kinds = (codes & np.uint64(3)).astype(np.int8)
     x = (codes >> np.uint64(2)) + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    h = np.zeros(n, np.uint64)
-    for j in range(window):
-        h += x[j : j + n] * _FACTORS[j]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h.view(np.int64), plain[window:] - plain[:-window] >= literals
-
 
-def _windows(df: DataFrame, key: str, bitmap: np.ndarray | None, window: int, literals: int) -> DataFrame:
-    """key, at, hash and slots (the values in the window's placeholders, in order) of every window that counts and has its bit set."""
+    def held(*which: int) -> np.ndarray:
+        """How many words of these kinds are in each window."""
+        c = np.concatenate([[0], np.cumsum(np.isin(kinds, which))])
+        return c[size:] - c[:-size]
+
+    value = (kinds == NUMBER) | (kinds == UNIT)
+    valued = np.where(value, _PLACES[kinds], x) if value.any() else x
+    names = held(NAME)
+    rest = size - held(NUMBER, UNIT)
+    h = _rolled(valued, size)
+    free = rest >= literals
+    both = free & (names == 0) if template else np.zeros(len(h), bool)
+    out = [(TEMPLATE | CASE_FREE, h, both, frozenset((NUMBER, UNIT))), (CASE_FREE, h, free & ~both, frozenset((NUMBER, UNIT)))]
+    if not free.all():
+        out.append((CASE_FREE, _rolled(x, size), ~free, frozenset()))
+    if template and names.any():
+        good = (rest - names >= literals) & (names > 0)
+        out.append((TEMPLATE, _rolled(np.where(kinds == NAME, _PLACES[NAME], valued), size), good, frozenset((NUMBER, UNIT, NAME))))
+    return out
+
+
+def _windows(df: DataFrame, key: str, bitmap: tuple[np.ndarray, list[int]] | None, window: int, literals: int) -> DataFrame:
+    """key, at, size, forms, hash, slots (the values in the window's placeholders, in order) and wid of every window whose bit is set.
+
+    Without a bitmap (items) a text shorter than a window is one window; with one (documents) the short sizes beside it are tried too.
+    wid is one number for all forms of a window.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = WORDS.findall(text or "")
-                h, good = window_hashes(words, window, literals)
-                if bitmap is not None:
-                    bit = h.view(np.uint64) & np.uint64(BITS - 1)
-                    good = good & ((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                for i in np.flatnonzero(good).tolist():
-                    out[0].append(k)
-                    out[1].append(i)
-                    out[2].append(int(h[i]))
-                    out[3].append([w.lower() for w in words[i : i + window] if template_word(w)[1] != LITERAL])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [key, "at", "hash", "slots"])
+                if not words:
+                    continue
+                for size in [min(window, len(words))] if bitmap is None else [window, *bitmap[1]]:
+                    found = window_forms(words, size, literals, size == window)
+                    if bitmap is None:
+                        wid = np.zeros(len(words) - size + 1, np.int64)
+                        for _, h, good, _ in found:  # the template, where there is one, is the last
+                            wid[good] = h[good]
+                    for forms, h, good, kinds in found:
+                        if bitmap is not None:
+                            bit = h.view(np.uint64) & np.uint64(BITS - 1)
+                            good = good & ((bitmap[0][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                        for i in np.flatnonzero(good).tolist():
+                            slots = [low for low, kind in map(word_kind, words[i : i + size]) if kind in kinds]
+                            for column, v in zip(out, (k, i, size, forms, int(h[i]), slots, int(wid[i]) if bitmap is None else 0), strict=True):
+                                column.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [key, "at", "size", "forms", "hash", "slots", "wid"])
 
     plain = df.select(F.col(key).cast("long").alias(key), "text")
-    return plain.mapInArrow(run, f"{key} long, at long, hash long, slots array<string>")
+    return plain.mapInArrow(run, f"{key} long, at long, size int, forms int, hash long, slots array<string>, wid long")
 
 
-def _bitmap(items: DataFrame) -> np.ndarray:
-    """One bit for each residue of the items' hashes: at most BITS numbers reach the driver."""
-    bits = np.zeros(BITS // 8, np.uint8)
-    residues = items.select(F.col("hash").bitwiseAND(BITS - 1).cast("int").alias("r")).distinct()
+def _bitmap(items: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """One bit for each residue of the items' hashes, and the sizes of items shorter than a window: at most window x BITS numbers reach the driver, in parts."""
+    bits, sizes = np.zeros(BITS // 8, np.uint8), set()
+    residues = items.select(F.col("hash").bitwiseAND(BITS - 1).cast("int").alias("r"), "size").distinct()
     for r in residues.toLocalIterator():
         bits[r["r"] >> 3] |= np.uint8(1 << (r["r"] & 7))
-    return bits
+        sizes.add(r["size"])
+    return bits, sorted(sizes - {window})
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: int = LITERALS, evidence: int = EVIDENCE) -> DataFrame:
     """One row for each document and benchmark item that it gives away: doc_id, item_id, n_windows (of the item's, found), item_windows, n_changed (values that differ)."""
     known = _windows(items.select("item_id", "text"), "item_id", None, window, literals)
-    sizes = known.groupBy("item_id").agg(F.count_distinct("hash").alias("item_windows"))
-    found = _windows(docs.select("doc_id", "text"), "doc_id", _bitmap(known), window, literals)
-    theirs = known.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    met = found.join(theirs, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    # One alignment at a time: pairs of values that the placeholders hold on both sides.
-    alignment = ["doc_id", "item_id", "shift"]
+    is_template = F.col("forms").bitwiseAND(TEMPLATE) != 0
+    sizes = known.groupBy("item_id").agg(F.count_distinct("wid").alias("item_windows"), F.count_distinct(F.when(is_template, F.col("wid"))).alias("item_templates"))
+    found = _windows(docs.select("doc_id", "text"), "doc_id", _bitmap(known, window), window, literals)
+    theirs = known.select("item_id", F.col("at").alias("item_at"), "size", F.col("forms").alias("item_forms"), "hash", F.col("slots").alias("item_slots"), F.col("wid").alias("item_wid"))
+    met = found.drop("wid").join(theirs, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    shared = F.filter(F.array(F.lit(TEMPLATE), F.lit(CASE_FREE)), lambda x: F.col("forms").bitwiseAND(F.col("item_forms")).bitwiseAND(x) != 0)
+    met = met.withColumn("form", F.explode(shared))
+    # One alignment at a time, by one form: pairs of values that the placeholders hold on both sides.
+    alignment = ["doc_id", "item_id", "shift", "form"]
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda z: z["i"].isNotNull())
-    values = met.select(*alignment, "hash", F.explode_outer(pairs).alias("z")).select(*alignment, "hash", F.col("z.i").alias("i"), F.col("z.d").alias("d"))
+    values = met.select(*alignment, "item_wid", F.explode_outer(pairs).alias("z")).select(*alignment, "item_wid", F.col("z.i").alias("i"), F.col("z.d").alias("d"))
     slots = values.groupBy(*alignment).agg(
         F.count_distinct("i").alias("n_i"),
         F.count_distinct("d").alias("n_d"),
         F.count_distinct("i", "d").alias("n_pairs"),
         F.count_distinct(F.when(F.col("i") != F.col("d"), F.col("i"))).alias("changed"),
-        F.collect_set("hash").alias("hashes"),  # at most the item's own windows
+        F.collect_set("item_wid").alias("wids"),  # at most the item's own windows
     )
     contradictions = F.col("n_pairs") - F.least("n_i", "n_d")
     consistent = slots.filter(contradictions <= F.lit(TOLERANCE) * F.col("n_pairs"))
-    each = consistent.select("doc_id", "item_id", "changed", F.explode("hashes").alias("hash"))
-    total = each.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n_windows"), F.max("changed").alias("n_changed"))
-    enough = F.col("n_windows") >= F.least(F.lit(evidence), F.col("item_windows"))
+    each = consistent.select("doc_id", "item_id", "form", "changed", F.explode("wids").alias("wid"))
+    templates = F.count_distinct(F.when(F.col("form") == TEMPLATE, F.col("wid"))).alias("n_templates")
+    total = each.groupBy("doc_id", "item_id").agg(F.count_distinct("wid").alias("n_windows"), templates, F.max("changed").alias("n_changed"))
+    enough = (F.col("n_windows") >= F.least(F.lit(evidence), F.col("item_windows"))) | ((F.col("n_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(evidence), F.col("item_templates"))))
     return total.join(sizes, "item_id").filter(enough).select("doc_id", "item_id", "n_windows", "item_windows", "n_changed")
 
 

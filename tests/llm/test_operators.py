@@ -139,6 +139,19 @@ def test_decontamination(spark):
     assert mixed
 
 
+def test_decontamination_in_any_case(spark):
+    item = "Anna buys 12 apples and 30 pears at the small market for 5 euros, then gives half of the pears to her brother. How many pears are left?"
+    few = "Paris London Rome 1 2 3 4 5 6 of 7 8 Berlin Madrid"
+    filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    items = [(7, item), (8, few), (9, "Who wrote the Blue Lantern?"), (10, "What is the capital of Norway?"), (11, "?!"), (12, "What is 12 times 12?")]
+    docs = [(1, f"{filler} {item.upper()}"), (2, item.lower() + filler), (3, f"{filler} {item.title()} {filler}"), (4, item.upper().replace("12", "13").replace("30", "31"))]
+    docs += [(5, few), (6, few.upper()), (7, few.replace("1 2 3", "9 8 7").replace("Rome", "Oslo")), (8, filler + " who WROTE the blue lantern " + filler), (9, "Oslo is the capital of Norway and 12 times 13 is no square")]
+    docs += [(10, "what is the Capital of Norway"), (11, "so what is 12 times 12"), (12, "so what is 12 times 11"), (13, None)]
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (2, 7), (3, 7), (4, 7), (5, 8), (6, 8), (8, 9), (10, 10), (11, 12)}
+    assert all(r.n_windows <= r.item_windows for r in got) and all(r.n_windows == r.item_windows for r in got if r.doc_id not in (4,))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
