@@ -282,6 +282,21 @@ def test_boosted_spans(spark):
     assert red.text == "my mail <email> and <phone>"
 
 
+def test_boosted_spans_beside_many_negatives(spark):
+    r = random.Random(10)
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(24))
+    number = lambda: r.randrange(10**6, 10**9)
+    rare = [f"say token = \"{hexes()}\" now, call +1 (555) 010-{1000 + i}" for i in range(80)]
+    texts = rare + [f"lot {number()} of {number()} in {number()} and {number()}, {number()}" for i in range(400)] + ["plain words only here"] * 2000
+    texts.append("".join(f"lot {number()}, " for _ in range(600)))  # alone more than the bound
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[-1])], "doc_id long, text string")
+    chooser = pii.fit(df, sample=128)
+    assert chooser is not None
+    got = {x.doc_id: x for x in pii.find(df.filter("doc_id < 480"), chooser).collect()}
+    assert sum(any(s.k == 5 for s in got[i].spans) for i in range(80)) > 75
+    assert not any(got[i].spans for i in range(80, 480))
+
+
 def test_classifier_held_out(spark):
     out = quality_classifier.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in out) / len(out) > 0.95
