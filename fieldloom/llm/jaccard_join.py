@@ -1,21 +1,23 @@
 """N-gram Jaccard join: an exact similarity join in the metric space of shingle sets.
 
-Distance is 1 - |X & Y| / |X | Y|, a metric. Nearly all texts are at distance 1 of each other, so a few
-texts as pivots would leave everything on every boundary; the first level of pivots is therefore the
-shingles themselves, as singleton sets in one global order (longest first, then by hash), and a text's
-Voronoi region is that of the first pivot it holds. The triangle inequality bounds what a neighbour y
-within the threshold can lack: |X - Y| <= margin(|X|), so x is replicated to its next `margin` pivots'
-regions and no further, and linked texts always meet. Regions join recursively:
-
-* a region with at most `leaf` texts compares them;
-* a pivot with more texts is crowded and moves behind all others in the order (any order is exact), so
-  texts that merely share a passage meet, or don't, in later pivots' regions;
-* a text with too few other pivots crowds (it is one of a large family of near copies, say): such texts,
-  and they alone, join under crowded pivots, by pivots that are texts: each region's first one measures
-  its distance to every other; those within the threshold are one class already, and of the others only
-  pairs in the same or neighbouring rings around the pivot and with sizes in the window can be near.
-
-Whatever meets is compared exactly, on the whole texts. Texts with equal sets are one point.
+Distance is 1 - |X & Y| / |X | Y|, a metric; texts with equal sets are one point. Nearly all texts are at
+distance 1 of each other, where no pivot tells them apart, so an index of shingles finds for each text the
+few others that it isn't at distance 1 of, and the metric does the rest:
+
+* pivots: of the texts that share one of their first shingles (longest first, then by hash) the smallest
+  id is a centre; a text within the threshold eps of centres goes to the nearest one's Voronoi cell, of
+  radius r, with its exact distance kept. Texts that are left look for centres again, ROUNDS times;
+* windows: texts that are linked lack at most `margin` shingles of each other, so they share one of their
+  first margin + 1, and their cells meet in that shingle's region. Two cells can hold a link only if their
+  centres are within eps + r1 + r2; at the boundary, where the centres aren't linked themselves, members
+  at x and y of their centres only if x + y >= distance of the centres - eps;
+* recursion: a shingle that more than `leaf` cells hold moves behind all others in the order, once, and
+  texts with too few others left read their whole sets. Regions that still hold more than `leaf` cells
+  have a centre of their own, and only texts in the same or neighbouring rings around it can be near.
+
+Before two whole sets are compared, their first shingles bound the overlap from above. Pairs that one
+class holds already are not compared again, so links are complete as classes, not as a list.
+Shingles are compared by 56 bits of hash and their length.
 
 Defined results: a null or text without words has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle of them all; rows that share a doc_id are one document; rows
@@ -34,8 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import may_hold, stash, table, unstash
 from .components import components
 
-#: Texts that a region compares with each other at most before its pivot is moved back.
+#: Documents of a region that are compared with each other at most; larger ones are joined around a centre.
 LEAF = 32
+#: First pivots by which a document looks for a centre, and rounds of that.
+FIRST, ROUNDS = 4, 3
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _FACTORS = np.random.default_rng(2).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
@@ -81,7 +85,7 @@ def margin(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), f1 and f2 (the set's fingerprint), m (margin), pivots (the first of its shingles, enough for the margin and half as many more)."""
+    """doc_id, n (shingles), f1 and f2 (the set's fingerprint), m (margin), pivots (the first of its shingles, enough for the margin and a third more)."""
 
     def run(batches):
         import pyarrow as pa
@@ -97,7 +101,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
                 m.append(k)
-                pivots.append(x[: k + 1 + (k + 1) // 2 + 8])
+                pivots.append(x[: k + 1 + (k + 1) // 3 + 6])
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(m, pa.int64()), pa.array(pivots, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "m", "pivots"])
 
@@ -105,39 +109,70 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, m long, pivots array<long>")
 
 
-def _sizes_near(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def compare(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """a, b, common, na, nb: the exact overlap of each pair's sets, from their whole texts."""
+    """a, b, far: the exact distance of each pair, from their whole texts."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = may_hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids, "id")
     first, second = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb")
+    both = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         import pyarrow as pa
 
         sets = lru_cache(maxsize=256)(lambda text: shingle_set(text, words))
         for batch in batches:
-            out: list[list[int]] = [[], [], []]
+            common, whole = [], []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = sets(ta), sets(tb)
-                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
-                for column, v in zip(out, (common, len(x), len(y)), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in out)], ["a", "b", "common", "na", "nb"])
+                c = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+                common.append(c)
+                whole.append(len(x) + len(y) - c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(whole, pa.int64())], ["a", "b", "common", "whole"])
 
-    return both.mapInArrow(run, "a long, b long, common long, na long, nb long")
+    return both.mapInArrow(run, "a long, b long, common long, whole long").withColumn("far", 1 - F.col("common") / F.greatest("whole", F.lit(1)))
 
 
 def _linked(percent: int) -> Column:
-    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
-
-
-def _whole_sets(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, n, m, at, pivot: every shingle of the given documents' sets, by its place in the first order."""
+    return F.col("common") * 100 >= F.col("whole") * percent
+
+
+def _possible(pairs: DataFrame, held: DataFrame, reach: Column) -> DataFrame:
+    """The pairs (a, b) that can be within `reach`: of the shingles up to where both texts' first ones end, all common ones are known, and of the others at most all are."""
+    end = lambda p, n: F.when(F.size(p) < F.col(n), F.element_at(p, -1)).otherwise(F.lit((1 << 63) - 1))
+    side = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("pivots").alias(f"{x}_p"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    last = F.least(end(F.col("a_p"), "a_n"), end(F.col("b_p"), "b_n"))
+    beyond = lambda x: F.col(f"{x}_n") - F.size(F.filter(f"{x}_p", lambda v: v <= F.col("last")))
+    both = both.withColumn("last", last).withColumn("most", F.size(F.array_intersect("a_p", "b_p")) + F.least(beyond("a"), beyond("b")))
+    near = F.col("most") >= (1 - reach) * (F.col("a_n") + F.col("b_n") - F.col("most")) - 1e-6
+    return both.filter(near).select(*pairs.columns)
+
+
+def _cells(held: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links found; (node, centre, far): the texts that are in another's cell, by the nearest centre that is in none itself."""
+    links = cells = None
+    left = held
+    for _ in range(ROUNDS):
+        first = left.select("node", "n", F.explode(F.slice("pivots", 1, FIRST)).alias("pivot"))
+        centres = first.groupBy("pivot").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("pivot", "a")
+        spokes = first.join(centres, "pivot").filter("a < node").select("a", F.col("node").alias("b")).distinct()
+        spokes = stash(_possible(spokes, held, F.lit(1 - percent / 100)), "spokes")
+        near = stash(compare(spokes, docs, words).filter(_linked(percent)).select("a", "b", "far"), "near")
+        free = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        inside = free.groupBy("b").agg(F.min(F.struct("far", "a")).alias("c")).select(F.col("b").alias("node"), F.col("c.a").alias("centre"), F.col("c.far").alias("far"))
+        inside = stash(inside, "cells")
+        links = near.select("a", "b") if links is None else links.unionByName(near.select("a", "b"))
+        cells = inside if cells is None else cells.unionByName(inside)
+        # Centres and their cells are done here; those without a neighbour as well.
+        open_ = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(inside.select("node"), "node", "left_anti").join(inside.select(F.col("centre").alias("node")).distinct(), "node", "left_anti")
+        missed = spokes.join(near.select("a", "b"), ["a", "b"], "left_anti").select(F.col("b").alias("node")).distinct()
+        more = missed.unionByName(open_).distinct().join(inside.select("node"), "node", "left_anti")
+        left = left.join(more, "node", "left_semi")
+    return links, cells
+
+
+def _whole_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, at, pivot: every shingle of the given documents' sets, by its place in the first order."""
     texts = may_hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", nodes, "node")
     texts = texts.join(nodes.select("node"), F.col("doc_id") == F.col("node")).select("node", "text")
 
@@ -146,119 +181,125 @@ def _whole_sets(nodes: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            n = [len(x) for x in sets]
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array([margin(k, percent) for k in n], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "m", "pivots"])
-
-    sets = texts.mapInArrow(run, "node long, n long, m long, pivots array<long>")
-    return sets.select("node", "n", "m", F.posexplode("pivots").alias("at", "pivot"))
-
-
-def _order(held: DataFrame, docs: DataFrame, words: int, percent: int, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The regions' sizes (pivot, texts), the texts that crowd (node), and all shingles of these.
-
-    A pivot is crowded when more than `leaf` texts carry it; crowded pivots come last in the order. A
-    text that doesn't carry margin + 1 others crowds, and from then on carries all its shingles, which
-    may crowd more pivots, and so on until no other text crowds.
-    """
-    entries = held.select("node", "m", F.size("pivots").alias("carried"), F.explode("pivots").alias("pivot"))
-    sizes = first = entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("texts"))
-    hot = stash(sizes.filter(F.col("texts") > leaf).select("pivot"), "hot")
-    lost, new_hot, crowding, whole = None, hot, None, None
-    while True:
-        met = stash(entries.join(new_hot, "pivot").groupBy("node").agg(F.count(F.lit(1)).alias("lost"), F.first("carried").alias("carried"), F.first("m").alias("m")), "lost")
-        lost = met if lost is None else lost.unionByName(met)
-        left = lost.groupBy("node").agg((F.first("carried") - F.sum("lost")).alias("left"), F.first("m").alias("m"), F.first("carried").alias("carried"))
-        more = left.filter("left < m + 1").select("node", "carried")
-        more = stash(more if crowding is None else more.join(crowding.select("node"), "node", "left_anti"), "crowding")
-        if crowding is not None and more.isEmpty():
-            return sizes, crowding, whole
-        crowding = more if crowding is None else crowding.unionByName(more)
-        sets = stash(_whole_sets(more, docs, words, percent).join(more, "node"), "whole-sets")
-        whole = sets if whole is None else whole.unionByName(sets)
-        beyond = whole.filter("at >= carried").groupBy("pivot").agg(F.count(F.lit(1)).alias("texts"))
-        sizes = first.unionByName(beyond).groupBy("pivot").agg(F.sum("texts").alias("texts"))
-        now = sizes.join(beyond.select("pivot"), "pivot", "left_semi").filter(F.col("texts") > leaf).select("pivot")
-        new_hot = stash(now.join(hot, "pivot", "left_anti"), "hot")
-        hot = hot.unionByName(new_hot)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "pivots"])
+
+    sets = texts.mapInArrow(run, "node long, pivots array<long>")
+    return sets.select("node", F.posexplode("pivots").alias("at", "pivot"))
+
+
+def _regions(held: DataFrame, cells: DataFrame, docs: DataFrame, words: int, leaf: int) -> DataFrame:
+    """pivot, node, centre: the texts under each of their first margin + 1 shingles, in an order in which crowded ones come last."""
+    of = held.join(cells.select("node", "centre"), "node", "left").withColumn("centre", F.coalesce("centre", "node"))
+    every = of.select("node", "centre", F.posexplode("pivots").alias("at", "pivot"))
+    # A shingle of one cell alone joins nothing.
+    met = every.groupBy("pivot").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).filter("lo < hi").select("pivot")
+    met = stash(met, "shared")
+    entries = stash(every.join(met, "pivot"), "entries")
+    sizes = entries.select("pivot", "centre").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("cells"))
+    hot = stash(sizes.filter(F.col("cells") > leaf), "hot")
+    lost = stash(entries.join(hot, "pivot").groupBy("node").agg(F.count(F.lit(1)).alias("lost")), "lost")
+    short = lost.join(held.select("node", "n", "m", F.size("pivots").alias("carried")), "node").filter("carried - lost < m + 1").select("node", "n", "m")
+    short = stash(short, "short")
+    # Texts with enough other shingles carry the first of these.
+    enough = of.join(lost, "node", "left").join(short.select("node"), "node", "left_anti")
+    enough = enough.select("node", F.coalesce("lost", F.lit(0)).alias("lost"), "m")
+    plain = entries.join(hot, "pivot", "left_anti").join(enough, "node").filter("at <= m + lost").select("pivot", "node", "centre")
+    # The others carry the first of all their other shingles, then crowded ones, the least crowded first.
+    whole = _whole_sets(short, docs, words).join(hot, "pivot", "left").join(short, "node")
+    order = Window.partitionBy("node").orderBy(F.col("cells").asc_nulls_first(), F.when(F.col("cells").isNull(), F.col("at")), "pivot")
+    deep = whole.withColumn("rank", F.row_number().over(order)).filter("rank <= m + 1").select("pivot", "node", F.col("cells").isNull().alias("open"))
+    deep = stash(deep.join(of.select("node", "centre"), "node"), "deep")
+    # Texts that hold these further shingles among their own first ones.
+    beyond = stash(deep.filter("open").select("pivot").distinct().join(met, "pivot", "left_anti"), "beyond")
+    others = may_hold(every, "pivot", beyond, "pivot").join(beyond, "pivot").join(enough, "node").filter("at <= m + lost").select("pivot", "node", "centre")
+    return plain.unionByName(others).unionByName(deep.select("pivot", "node", "centre"))
 
 
 def join(docs: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, n_links (to documents with another set, among those compared)."""
+    """One row for each row of docs: doc_id, n_shingles, component_id."""
+    eps = 1 - percent / 100
     whole_signed = stash(signatures(docs, words, percent), "signatures")
     point = ["f1", "f2", "n"]
     signed = stash(whole_signed.select("doc_id", *point), "fingerprints")
     # Points of the space: texts with equal sets, by their smallest id.
     points = signed.filter("n > 0 and doc_id is not null").groupBy(*point).agg(F.min("doc_id").alias("node"))
     held = whole_signed.join(points.select("node", *[F.col(c).alias(f"_{c}") for c in point]), F.col("doc_id") == F.col("node"))
-    held = held.filter("f1 = _f1 and f2 = _f2 and n = _n")
-    held = stash(held.select("node", "n", "m", "pivots"), "points")
+    held = stash(held.filter("f1 = _f1 and f2 = _f2 and n = _n").dropDuplicates(["node", *point]).select("node", "n", "m", "pivots"), "points")
     unstash(whole_signed)
-    sizes, crowding, whole = _order(held, docs, words, percent, leaf)
-
-    # Regions of at most `leaf` texts compare them; the bound is the region's count itself.
-    carried = held.join(crowding.select("node"), "node", "left_anti").select("node", "n", F.explode("pivots").alias("pivot"))
-    carried = carried.unionByName(whole.select("node", "n", "pivot"))
-    small = carried.join(sizes.filter(F.col("texts").between(2, leaf)).select("pivot"), "pivot")
-    small = small.groupBy("pivot").agg(F.collect_list(F.struct("node", "n")).alias("of"))
+    # A doc_id with several sets has no distance; it neither is a centre nor goes to a cell.
+    torn = signed.filter("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct(*point)).alias("lo"), F.max(F.struct(*point)).alias("hi")).filter("lo <> hi").select("node")
+    links, cells = _cells(held.join(torn, "node", "left_anti"), docs, words, percent)
+    regions = stash(_regions(held, cells, docs, words, leaf), "regions")
+    sizes = regions.select("pivot", "centre").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("cells")).filter("cells > 1")
+    sizes = stash(sizes, "sizes")
+
+    # Regions of at most `leaf` cells compare the centres, as far as their radii let them.
+    small = regions.select("pivot", "centre").distinct().join(sizes.filter(F.col("cells") <= leaf), "pivot").groupBy("pivot").agg(F.collect_list("centre").alias("of"))
     of = F.col("of")
-    met = F.flatten(F.transform(of, lambda a: F.transform(F.filter(of, lambda b: (b["node"] > a["node"]) & _sizes_near(a["n"], b["n"], percent)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))
-    pairs = small.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
-
-    # Crowded regions hold the crowding texts only, each under as many crowded pivots as its margin asks for beyond its others.
-    crowded = whole.join(sizes.filter(F.col("texts") > leaf), "pivot")
-    by = Window.partitionBy("node")
-    crowded = crowded.withColumn("lost", F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy("texts", "pivot")))
-    members = crowded.filter(F.col("rank") <= F.col("m") + 1 - (F.col("n") - F.col("lost"))).select("pivot", "node", "n", "lost")
-    members = stash(members, "members")
-    # Each such region's centre measures its distance to the others.
-    centres = members.groupBy("pivot").agg(F.min(F.struct("node", "n")).alias("c")).select("pivot", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    members = stash(members.join(centres, "pivot").select("node", "n", "lost", "centre", "centre_n").distinct(), "members")
-    spokes = members.filter((F.col("node") != F.col("centre")) & _sizes_near(F.col("n"), F.col("centre_n"), percent))
-    spokes = spokes.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-    compared = stash(compare(stash(pairs.unionByName(spokes).distinct(), "pairs"), docs, words), "compared")
-    links = compared.filter(_linked(percent)).select("a", "b")
+    met = F.flatten(F.transform(of, lambda a: F.transform(F.filter(of, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = small.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct().join(links.distinct(), ["a", "b"], "left_anti")
+    radius = cells.groupBy("centre").agg(F.max("far").alias("r"))
+    wide = lambda df, x: df.join(radius.select(F.col("centre").alias(x), F.col("r").alias(f"r_{x}")), x, "left").fillna(0.0, [f"r_{x}"])
+    pairs = wide(wide(pairs, "a"), "b").withColumn("reach", F.lit(eps) + F.col("r_a") + F.col("r_b")).select("a", "b", "reach")
+    pairs = stash(_possible(pairs, held, F.col("reach")), "pairs")
+    centred = stash(compare(pairs, docs, words).join(pairs, ["a", "b"]), "centred")
+    links = links.unionByName(centred.filter(_linked(percent)).select("a", "b"))
+
+    # Larger regions have a centre of their own, which measures its distance to the others.
+    members = regions.join(sizes.filter(F.col("cells") > leaf), "pivot").select("pivot", "node")
+    middle = members.groupBy("pivot").agg(F.min("node").alias("centre"))
+    members = stash(members.join(middle, "pivot").select("node", "centre").distinct().join(held.select("node", "n"), "node"), "members")
+    spokes = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    measured = stash(compare(spokes, docs, words), "measured")
+    links = stash(links.unionByName(measured.filter(_linked(percent)).select("a", "b")).distinct(), "all-links")
     classes = components(links)
-    more = stash(_ring_pairs(members, compared, classes, percent), "ring-pairs")
+
+    more = _boundary_pairs(centred.filter(~_linked(percent) & (F.col("far") <= F.col("reach") + 1e-9)), cells, classes, eps)
+    more = more.unionByName(_ring_pairs(members, measured, classes, percent)).distinct()
+    more = stash(_possible(more, held, F.lit(eps)), "late-pairs")
     if not more.isEmpty():
-        late = stash(compare(more, docs, words).filter(_linked(percent)).select("a", "b"), "ring-links")
-        if not late.isEmpty():
-            links = links.unionByName(late)
-            classes = components(late.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    of_point = points.join(classes, "node", "left").join(degree, "node", "left")
-    of_point = of_point.select(*[F.col(c).alias(f"_{c}") for c in point], F.coalesce("component", "node").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        late = stash(compare(more, docs, words).filter(_linked(percent)).select("a", "b"), "late-links")
+        classes = components(late.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    of_point = points.join(classes, "node", "left")
+    of_point = of_point.select(*[F.col(c).alias(f"_{c}") for c in point], F.coalesce("component", "node").alias("component_id"))
     same = (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") == F.col("_n"))
     out = signed.select("doc_id", *point).join(of_point, same, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _ring_pairs(members: DataFrame, compared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a crowded region that no link joins yet and that the triangle inequality leaves possible: in the same or in neighbouring rings around its centre, of sizes in the window."""
-    eps = (100 - percent) / 100
-    reach = compared.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    spoke = (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))
-    # A member whose size alone keeps it from the centre has no distance: it is in the last ring, and may be near any other.
-    ringed = members.join(reach, spoke, "left").withColumn("far", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("far")))
-    last = F.lit(int(1 / eps) + 9)
-    ring, band = F.floor(F.col("far") / F.lit(eps)).cast("int"), F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100)))).cast("int")
-    ringed = ringed.select("centre", "node", "n", "lost", "far", F.coalesce(ring, last).alias("ring"), band.alias("band"))
-    ringed = ringed.join(classes.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _with_class(df: DataFrame, node: str, classes: DataFrame, out: str) -> DataFrame:
+    return df.join(classes.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def _boundary_pairs(centred: DataFrame, cells: DataFrame, classes: DataFrame, eps: float) -> DataFrame:
+    """Pairs of two cells' members, in different classes yet, that the triangle inequality leaves possible by their distances to the centres."""
+    apart = _with_class(_with_class(centred.select("a", "b", "far"), "a", classes, "ca"), "b", classes, "cb").filter("ca <> cb").select("a", "b", "far")
+    one = cells.select("node", "centre", F.col("far").alias("off"))
+    one = one.unionByName(one.select(F.col("centre").alias("node"), "centre", F.lit(0.0).alias("off")).distinct())
+    own = lambda x: one.select(F.col("centre").alias(x), F.col("node").alias(f"{x}_node"), F.col("off").alias(f"{x}_off"))
+    met = apart.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    x, y = F.coalesce("a_node", "a"), F.coalesce("b_node", "b")
+    window = F.coalesce("a_off", F.lit(0.0)) + F.coalesce("b_off", F.lit(0.0)) >= F.col("far") - eps - 1e-9
+    return met.filter(window).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _ring_pairs(members: DataFrame, measured: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a large region that no link joins yet and that the triangle inequality leaves possible: in the same or in neighbouring rings around its centre, of sizes in the window."""
+    eps = 1 - percent / 100
+    ringed = members.join(measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far"), ["centre", "node"], "left").fillna(0.0, ["far"])
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100)))).cast("int")
+    ringed = _with_class(ringed.withColumn("ring", F.floor(F.col("far") / F.lit(eps)).cast("int")).withColumn("band", band), "node", classes, "class")
     # Regions whose members are one class already are done.
     open_ = ringed.groupBy("centre").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 <> c1").select("centre")
     ringed = ringed.join(open_, "centre")
-    around = F.when(F.col("ring") == last, F.sequence(F.lit(0), last)).otherwise(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1, last))
-    theirs = ringed.withColumn("ring", F.explode(F.array_distinct(around))).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    theirs = theirs.select("centre", "ring", "band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("lost").alias("yl"), F.col("class").alias("yc"), F.col("far").alias("yf"))
-    window = F.coalesce(F.abs(F.col("far") - F.col("yf")) <= F.lit(eps + 1e-9), F.lit(True))
-    # Texts that share a pivot that isn't crowded have been compared; the others can share crowded ones only.
-    shared = F.least("lost", "yl")
-    enough = shared * 100 >= (F.col("n") + F.col("yn") - shared) * percent
-    met = ringed.join(theirs, ["centre", "ring", "band"]).filter((F.col("node") < F.col("y")) & (F.col("class") != F.col("yc")) & enough & window)
-    return met.select(F.col("node").alias("a"), F.col("y").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    theirs = ringed.withColumn("ring", around("ring")).withColumn("band", around("band"))
+    theirs = theirs.select("centre", "ring", "band", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("class").alias("y_class"), F.col("far").alias("y_far"))
+    window = (F.abs(F.col("far") - F.col("y_far")) <= F.lit(eps + 1e-9)) & (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent)
+    met = ringed.join(theirs, ["centre", "ring", "band"]).filter((F.col("node") < F.col("y")) & (F.col("class") != F.col("y_class")) & window)
+    return met.select(F.col("node").alias("a"), F.col("y").alias("b"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
