@@ -8,26 +8,29 @@ and each string has one, so nothing repeats that the sampled suffixes don't show
 most significant digits first, and what is alone after a pass leaves:
 
 1. the digit of the first KMER bytes: suffixes alone with theirs leave;
-2. all bytes within `length` of the place: of equal ones all but the earliest are wholly repeated;
-3. the earliest ones, where a KMER has several, by quarters of the strings around the place: of those
-   that agree on all bytes of a quarter's strings all but the earliest are repeated there, and those that
-   agree with no other on the bytes that its strings have in common leave;
+2. all bytes within `length` of the place: of equal ones all but the earliest are wholly repeated
+   (within a document this is seen while it is read, so a run of one byte gives few suffixes);
+3. the earliest ones, where a KMER has several, by quarters of the strings around the place: those that
+   agree with no other on the bytes that a quarter's strings have in common leave, and of those that
+   agree on all bytes of its strings all but the earliest are repeated there;
 4. the strings themselves, through `length` bytes: groups that are equal now are exactly the repeated
    strings, and all but the earliest are removed. A string is looked at from one place only, that of its
    least hash.
 
-Groups are counted and reduced to their minima by partial aggregates and joined back, so a string that
-very many documents share is no task's load. Digits are 64-bit hashes under a fixed random table (two
-independent ranges of them must agree before bytes are removed).
+The first digit also deals the suffixes into SLICES parts, sorted one after another, so that the disk
+holds one part's shuffles. Groups are counted and reduced to their minima by partial aggregates and
+joined back, so a string that very many documents share is no task's load. Digits are 64-bit hashes; a
+group agrees on two independent ones, of the first KMER bytes and of the digit's bytes.
 
 Defined results: a null or empty text has 0 bytes, none removed; a text shorter than `length` is kept;
-a null doc_id comes after all others; rows with one doc_id must have one text and are one document
-(each row gets its result); an empty table gives no rows; other columns are not looked at.
+a null doc_id comes after all others; rows that share a doc_id (or have none) are documents of their own
+where their texts differ, in the order of a hash of these, and one document where they are equal (each
+row gets its result); an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,6 +39,11 @@ from .common import may_hold, stash, table, unstash
 
 LENGTH, KMER = 100, 32
 QUARTERS = 4
+#: Parts of the sort that follow each other.
+SLICES = 4
+#: A document: its id, and a hash of its text for those that share one.
+DOCUMENT = ["d", "t"]
+PLACE = [*DOCUMENT, "at"]
 #: Bytes of a text that are hashed at a time; bounds a task's memory, not the text.
 BLOCK = 1 << 20
 LAST = (1 << 63) - 1
@@ -108,24 +116,45 @@ def places(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarr
     return at.astype(np.int64), h.view(np.int64), around.view(np.int64)
 
 
+def _own_repeats(found: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of a document's places have the bytes around them for the first time, and the runs of bytes around the others."""
+    at, h, around = found
+    order = np.lexsort((at, around, h))
+    same = (h[order[1:]] == h[order[:-1]]) & (around[order[1:]] == around[order[:-1]])
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = True
+    where = np.sort(at[again] >> 16)
+    s, e = np.maximum(where - (length - kmer), 0), np.minimum(where + length, size)
+    begins = np.ones(len(s), bool)
+    begins[1:] = s[1:] > e[:-1]
+    first = np.flatnonzero(begins)
+    return ~again, s[first], e[np.append(first[1:], len(e)) - 1] if len(e) else e
+
+
 def _sampled(docs: DataFrame, length: int, kmer: int) -> DataFrame:
-    """d, at, kmer, around: the sampled suffixes of every document."""
+    """d, t, at, kmer, around: the sampled suffixes of every document; with slice -1, bytes at to around that repeat earlier ones of the same document."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                d, columns = [], ([], [], [])
-                for k, text in zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).to_pylist(), strict=True):
-                    found = places((text or "").encode("utf-8", "replace"), length, kmer)
-                    d.append(np.full(len(found[0]), k, np.int64))
-                    for c, v in zip(columns, found, strict=True):
+                columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+                for d, t, text in zip(*(b.column(j).slice(i, 256).to_pylist() for j in range(3)), strict=True):
+                    raw = (text or "").encode("utf-8", "replace")
+                    found = places(raw, length, kmer)
+                    if not len(found[0]):
+                        continue
+                    new, s, e = _own_repeats(found, len(raw), length, kmer)
+                    at, h, around = (c[new] for c in found)
+                    n = len(at) + len(s)
+                    parts = (np.concatenate([at, s]), np.concatenate([h, np.zeros(len(s), np.int64)]), np.concatenate([around, e]), np.concatenate([h % SLICES, np.full(len(s), -1)]))
+                    for c, v in zip(columns, (np.full(n, d, np.int64), np.full(n, t, np.int64), *parts), strict=True):
                         c.append(v)
-                whole = [np.concatenate(c) for c in (d, *columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in whole], ["d", "at", "kmer", "around"])
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64), pa.int64()) for c in columns], ["d", "t", "at", "kmer", "around", "slice"])
 
-    return docs.mapInArrow(run, "d long, at long, kmer long, around long")
+    return docs.select(*DOCUMENT, "text").mapInArrow(run, "d long, t long, at long, kmer long, around long, slice long")
 
 
 def _quarter(q: int, w: int) -> tuple[int, int]:
@@ -134,121 +163,160 @@ def _quarter(q: int, w: int) -> tuple[int, int]:
 
 
 def _contexts(firsts: DataFrame, docs: DataFrame, length: int, kmer: int) -> DataFrame:
-    """d, at, kmer, left (bytes before the place), context (all bytes within reach), digits (of each quarter: what its strings have in common, and all they have; null where that isn't there)."""
-    wanted = firsts.groupBy("d").agg(F.collect_list(F.struct("at", "kmer")).alias("of"))  # a document's own places
-    texts = may_hold(docs, "d", firsts, "d").join(wanted, "d").select("d", "text", "of")
+    """d, t, at, kmer, left (bytes before the place), context (all bytes within reach)."""
+    wanted = firsts.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("at", "kmer")).alias("of"))  # a document's own places
+    texts = may_hold(docs, "t", firsts, "t").select(*DOCUMENT, "text").dropDuplicates(DOCUMENT).join(wanted, DOCUMENT)
     w = length - kmer + 1
-    quarters = [(q, *_quarter(q, w)) for q in range(QUARTERS)]
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("common", pa.int64()), ("whole", pa.int64())]))]
-        names = ["d", "at", "kmer", "left", "context", "digits"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["d", "t", "at", "kmer", "left", "context"]
         out: list[list] = [[] for _ in names]
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
             for c in out:
                 c.clear()
             return batch
 
         for b in batches:
             for i in range(b.num_rows):
-                d, text, of = (b.column(j)[i].as_py() for j in range(3))
+                d, t, text, of = (b.column(j)[i].as_py() for j in range(4))
                 raw = (text or "").encode("utf-8", "replace")
-                size = len(raw)
-                for place, k in {(x["at"], x["kmer"]) for x in of}:
-                    at, own_low, own_high = place >> 16, place >> 8 & 255, place & 255
-                    low, digits = max(0, at - (w - 1)), []
-                    for q, first, end in quarters:
-                        common = whole = None
-                        if first <= own_high and own_low < end:
-                            if at >= first and at + length - end + 1 <= size:
-                                common = _signed(digest(raw[at - first : at + length - end + 1], q))
-                            if at >= end - 1 and at + length - first <= size:
-                                whole = _signed(digest(raw[at - end + 1 : at + length - first], q + QUARTERS))
-                        digits.append({"common": common, "whole": whole})
-                    for c, v in zip(out, (d, place, k, at - low, raw[low : at + length], digits), strict=True):
+                for place, k in sorted((x["at"], x["kmer"]) for x in of):
+                    at = place >> 16
+                    low = max(0, at - (w - 1))
+                    for c, v in zip(out, (d, t, place, k, at - low, raw[low : at + length]), strict=True):
                         c.append(v)
-                    if len(out[0]) == 2048:
+                    if len(out[0]) == 4096:
                         yield flush()
         if out[0]:
             yield flush()
 
-    return texts.mapInArrow(run, "d long, at long, kmer long, left long, context binary, digits array<struct<common: long, whole: long>>")
+    return texts.select(*DOCUMENT, "text", "of").mapInArrow(run, "d long, t long, at long, kmer long, left long, context binary")
+
+
+def _digits(contexts: DataFrame, length: int, kmer: int) -> DataFrame:
+    """d, t, at, kmer, q, common, whole: of each quarter of a place's own strings, hashes of the bytes that they have in common, and of all their bytes (null where these aren't there)."""
+    w = length - kmer + 1
+    quarters = [(q, *_quarter(q, w)) for q in range(QUARTERS)]
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for b in batches:
+            rows, qs, commons, wholes = [], [], [], []
+            for i, (place, left, raw) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                own_low, own_high, size = place >> 8 & 255, place & 255, len(raw)
+                for q, first, end in quarters:
+                    if first <= own_high and own_low < end and left >= first and left + length - end + 1 <= size:
+                        rows.append(i)
+                        qs.append(q)
+                        commons.append(_signed(digest(raw[left - first : left + length - end + 1], q)))
+                        all_there = left >= end - 1 and left + length - first <= size
+                        wholes.append(_signed(digest(raw[left - end + 1 : left + length - first], q + QUARTERS)) if all_there else None)
+            taken = [b.column(j).take(pa.array(rows, pa.int64())) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(qs, pa.int32()), pa.array(commons, pa.int64()), pa.array(wholes, pa.int64())], ["d", "t", "at", "kmer", "q", "common", "whole"])
+
+    return contexts.select("d", "t", "at", "kmer", "left", "context").mapInArrow(run, "d long, t long, at long, kmer long, q int, common long, whole long")
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
-    """d, s, e: byte intervals that together cover every repeated string's bytes. docs: d, text."""
-    w = length - kmer + 1
-    place = ["d", "at"]
-    # Pass 1.
-    alike = _sampled(docs, length, kmer).groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("kmer")
-    sampled = stash(_sampled(docs, length, kmer).join(alike, "kmer", "left_semi"), "suffixes")
-    # Pass 2.
-    classes = sampled.groupBy("kmer", "around").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c"))
-    classes = stash(classes, "classes")
-    later = sampled.join(classes.filter("c > 1").select("kmer", "around", "first"), ["kmer", "around"]).filter(F.struct(*place) != F.col("first"))
-    size = docs.select("d", F.octet_length("text").cast("long").alias("size"))
-    whole = later.groupBy("d").agg(F.collect_set("at").alias("of")).join(size.distinct(), "d")  # a document's own places
-    whole = whole.select("d", F.explode(F.transform("of", lambda p: F.struct(F.greatest(F.shiftright(p, 16) - (w - 1), F.lit(0)).alias("s"), F.least(F.shiftright(p, 16) + length, F.col("size")).alias("e")))).alias("i")).select("d", "i.s", "i.e")
-    whole = stash(whole, "whole")
-    unstash(sampled)
-    # Pass 3.
-    several = classes.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("kmer")
-    firsts = classes.join(several, "kmer", "left_semi").select("kmer", "first.d", "first.at")
-    contexts = stash(_contexts(firsts, docs, length, kmer), "contexts")
+def _several(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that more than one row has."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*keys).hint("shuffle_hash")
+
+
+def _heads(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that more than one place has, and the earliest of these."""
+    return df.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).filter("first < last").select(*keys, "first")
+
+
+def _first_passes(sampled: DataFrame, part: int, docs: DataFrame, length: int, kmer: int) -> tuple[DataFrame, DataFrame]:
+    """Passes 1 and 2 of one part: the bytes around places that repeat an earlier one's, and the places that go on."""
+    own = sampled.filter(F.col("slice") == part).select(*PLACE, "kmer", "around")
+    alike = stash(own.join(_several(own, "kmer"), "kmer"), "suffixes")
+    classes = stash(alike.groupBy("kmer", "around").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")), "classes")
+    later = alike.join(classes.filter("first < last").select("kmer", "around", "first"), ["kmer", "around"]).filter(F.struct(*PLACE) != F.col("first"))
+    at = F.shiftright("at", 16)
+    # Where the text ends is known only with the text; `remove` cuts there.
+    whole = stash(later.select(*DOCUMENT, F.greatest(at - (length - kmer), F.lit(0)).alias("s"), (at + length).alias("e")), "whole")
+    several = classes.groupBy("kmer").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).filter("lo < hi").select("kmer")
+    firsts = stash(classes.join(several, "kmer", "left_semi").select("first.*", "kmer"), "firsts")
+    unstash(alike)
     unstash(classes)
+    return whole, firsts
+
+
+def _last_passes(contexts: DataFrame, length: int, kmer: int) -> DataFrame:
+    """Passes 3 and 4 of one part: d, t, s, e."""
+    w = length - kmer + 1
     at = F.shiftright("at", 16)
     first_of = F.floor(F.col("q") * w / QUARTERS).cast("int")
     end_of = F.floor((F.col("q") + 1) * w / QUARTERS).cast("int")
-    digits = contexts.select("kmer", *place, F.posexplode("digits").alias("q", "g")).select("kmer", *place, "q", "g.common", "g.whole").filter("common is not null")
-    same = digits.filter("whole is not null").groupBy("kmer", "q", "whole").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    met = digits.join(same, ["kmer", "q", "whole"], "left")
-    again_here = F.col("first").isNotNull() & (F.struct(*place) != F.col("first"))
-    met = stash(met.select("kmer", *place, "q", "common", again_here.alias("again")), "quarters")
-    again_here = F.col("again")
-    quarters = met.filter(again_here).select("d", (at - end_of + 1).alias("s"), (at + length - first_of).alias("e"))
-    rest = met.filter(~again_here).select("kmer", *place, "q", "common")
-    shared = rest.groupBy("kmer", "q", "common").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    going = rest.join(shared, ["kmer", "q", "common"], "left_semi").select("kmer", *place, "q").distinct()
-    going = going.groupBy("kmer", *place).agg(F.collect_set("q").alias("qs"))  # at most QUARTERS
-    # Pass 4.
-    strings = contexts.join(going, ["kmer", *place]).select("kmer", *place, "left", "context", F.explode("qs").alias("q"))
+    digits = stash(_digits(contexts, length, kmer), "digits")
+    live = stash(digits.join(_several(digits, "kmer", "common"), ["kmer", "common"]), "live")
+    unstash(digits)
+    met = live.join(_heads(live.filter("whole is not null"), "kmer", "whole"), ["kmer", "whole"], "left")
+    again = F.col("first").isNotNull() & (F.struct(*PLACE) != F.col("first"))
+    met = stash(met.select("kmer", *PLACE, "q", "common", again.alias("again")), "quarters")
+    unstash(live)
+    quarters = stash(met.filter("again").select(*DOCUMENT, (at - end_of + 1).alias("s"), (at + length - first_of).alias("e")), "cuts")
+    rest = met.filter("not again").select("kmer", *PLACE, "q", "common")
+    going = rest.join(_several(rest, "kmer", "common"), ["kmer", "common"]).groupBy("kmer", *PLACE).agg(F.collect_set("q").alias("qs"))  # at most QUARTERS
+    strings = contexts.join(going, ["kmer", *PLACE]).select("kmer", *PLACE, "left", "context", F.explode("qs").alias("q"))
     own_low, own_high = F.shiftright("at", 8).bitwiseAND(255).cast("int"), F.col("at").bitwiseAND(255).cast("int")
     strings = strings.withColumn("r", F.explode(F.sequence(F.greatest(first_of, own_low), F.least(end_of - 1, own_high))))
     begin = (F.col("left") - F.col("r")).cast("int")
     strings = strings.filter((begin >= 0) & (begin + length <= F.octet_length("context")))
-    strings = strings.select("kmer", "r", *place, F.xxhash64(F.substring("context", begin + 1, F.lit(length))).alias("h"))
-    strings = stash(strings, "strings")
+    strings = stash(strings.select("kmer", *DOCUMENT, (at - F.col("r")).alias("at"), F.xxhash64(F.substring("context", begin + 1, F.lit(length))).alias("h")), "strings")
+    unstash(met)
+    same = strings.join(_several(strings, "kmer", "h"), ["kmer", "h"])
+    again_here = same.join(_heads(same, "kmer", "h"), ["kmer", "h"]).filter(F.struct(*PLACE) != F.col("first"))
+    last = stash(again_here.select(*DOCUMENT, F.col("at").alias("s"), (F.col("at") + length).alias("e")), "cuts")
+    unstash(strings)
+    return quarters.unionByName(last)
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+    """d, t, s, e: byte intervals that together cover every repeated string's bytes (e may lie beyond the text). docs: d, t, text."""
+    sampled = stash(_sampled(docs, length, kmer), "sampled")
+    cuts = [stash(sampled.filter("slice = -1").select(*DOCUMENT, F.col("at").alias("s"), F.col("around").alias("e")), "own")]
+    firsts = None
+    for part in range(SLICES):
+        whole, more = _first_passes(sampled, part, docs, length, kmer)
+        cuts.append(whole)
+        firsts = more if firsts is None else firsts.unionByName(more)
+    unstash(sampled)
+    contexts = stash(_contexts(firsts, docs, length, kmer), "contexts")
+    for part in range(SLICES):
+        cuts.append(_last_passes(contexts.filter(F.pmod("kmer", F.lit(SLICES)) == part), length, kmer))
+    out = stash(reduce(DataFrame.unionByName, cuts), "cuts")
     unstash(contexts)
-    heads = strings.groupBy("kmer", "r", "h").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    again = strings.join(heads, ["kmer", "r", "h"]).filter(F.struct(*place) != F.col("first"))
-    again = again.select("d", (at - F.col("r")).alias("s"), (at - F.col("r") + length).alias("e"))
-    return whole.unionByName(quarters).unionByName(again)
+    return out
 
 
 def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
-    """One row for each row of docs with a repeated string: d, kept (the remaining bytes), n_removed, n_spans."""
-    cuts = stash(repeated(docs, length, kmer).groupBy("d").agg(F.collect_set(F.struct("s", "e")).alias("cuts")), "cuts")  # a document's own intervals
-    hit = may_hold(docs, "d", cuts, "d").join(cuts, "d").select("d", "text", "cuts")
+    """One row for each document of docs (d, t, text) with a repeated string: d, t, kept (the remaining bytes), n_removed, n_spans."""
+    cuts = stash(repeated(docs, length, kmer).groupBy(*DOCUMENT).agg(F.collect_set(F.struct("s", "e")).alias("cuts")), "cuts")  # a document's own intervals
+    hit = may_hold(docs, "t", cuts, "t").select(*DOCUMENT, "text").dropDuplicates(DOCUMENT).join(cuts, DOCUMENT).select(*DOCUMENT, "text", "cuts")
 
     def run(batches):
         import pyarrow as pa
 
         for b in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
-            out: list[list] = [[] for _ in range(4)]
-            for d, text, of in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            out: list[list] = [[] for _ in range(5)]
+            for d, t, text, of in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
                 kept, at, spans, removed = [], 0, 0, 0
-                for s, e in sorted((x["s"], x["e"]) for x in of):
+                for s, e in sorted((x["s"], min(x["e"], len(raw))) for x in of):
                     if s > at or spans == 0:
                         kept.append(raw[at:s])
                         spans += 1
@@ -258,19 +326,23 @@ def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame
                         removed += e - at
                         at = e
                 kept.append(raw[at:])
-                for c, v in zip(out, (d, b"".join(kept), removed, spans), strict=True):
+                for c, v in zip(out, (d, t, b"".join(kept), removed, spans), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["d", "kept", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["d", "t", "kept", "n_removed", "n_spans"])
+
+    return hit.mapInArrow(run, "d long, t long, kept binary, n_removed long, n_spans long")
+
 
-    return hit.mapInArrow(run, "d long, kept binary, n_removed long, n_spans long")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, and what `remove` reads: d, t, text."""
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: what is removed from every document, and a digest of what stays."""
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = remove(docs.select("d", "text")).select("d", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["d"])
-    whole = docs.select("doc_id", "d", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
-    out = whole.join(cut, "d", "left")
+    docs = keyed(table(spark, sf_dir, "documents"))
+    cut = remove(docs).select(*DOCUMENT, "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    whole = docs.select("doc_id", *DOCUMENT, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
+    out = whole.join(cut, DOCUMENT, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"))

@@ -230,7 +230,7 @@ def test_substring_removal(spark, block, monkeypatch):
         rows.append((i, r.choice(["", "xyz" * r.randrange(60), "a" * r.randrange(300)]) + x + "".join(r.choice("ab é") for _ in range(r.randrange(60))) + r.choice(["", x])))
     rows.append((2000, rows[9][1]))
     if block == 1 << 20:
-        df = spark.createDataFrame(rows, "d long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+        df = substring_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
         got = {x.d: (hashlib.sha256(bytes(x.kept)).hexdigest(), x.n_removed, x.n_spans) for x in substring_dedup.remove(df).collect()}
         assert got == _brute_removal(rows, 100)
     else:  # places don't depend on how a text is cut for hashing
@@ -243,6 +243,26 @@ def test_substring_removal(spark, block, monkeypatch):
             assert (a >> 16).tolist() == (b >> 16).tolist() and h.tolist() == g.tolist()
 
 
+def test_substring_removal_of_odd_documents(spark):
+    """Rows without an id, rows that share one, repeated rows, and a long run of one byte."""
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p, q = words(40), words(40)
+    rows = [(None, p + q), (None, words(3) + p), (None, "short"), (3, q + words(9)), (3, words(9) + q), (3, words(9) + q[:90]), (5, p), (5, p), (6, "z" * 3_000_000), (7, "yy" + "z" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = substring_dedup.keyed(df).select("doc_id", "d", "t", "text").collect()
+    order = {x: i for i, x in enumerate(sorted({(x.d, x.t, x.text) for x in keyed if x.d != 6}))}
+    want = _brute_removal([(i, x[2]) for x, i in order.items()] + [(10**9, "z" * 3000)], 100)
+    sha = lambda t: (hashlib.sha256(t.encode()).hexdigest(), 0, 0)
+    # Document 6 lies between 5 and 7: its run of z makes that of 7 a repeated one.
+    want[order[next(x for x in order if x[0] == 7)]] = (hashlib.sha256(b"yy").hexdigest(), 400, 1)
+    got = {(x.d, x.t): (hashlib.sha256(bytes(x.kept)).hexdigest(), x.n_removed, x.n_spans) for x in substring_dedup.remove(substring_dedup.keyed(df)).collect()}
+    z = next((x.d, x.t) for x in keyed if x.d == 6)
+    assert got.pop(z) == (hashlib.sha256(b"z").hexdigest(), 2_999_999, 1)
+    for (d, t, text), i in order.items():
+        assert got.get((d, t), sha(text)) == want.get(i, sha(text)), (d, text[:20])
+
+
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
