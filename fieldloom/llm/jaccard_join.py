@@ -13,7 +13,9 @@ few others that it isn't at distance 1 of, and the metric does the rest:
   at x and y of their centres only if x + y >= distance of the centres - eps;
 * recursion: a shingle that more than `leaf` cells hold moves behind all others in the order, once, and
   texts with too few others left read their whole sets. Regions that still hold more than `leaf` cells
-  have a centre of their own, and only texts in the same or neighbouring rings around it can be near.
+  have a centre of their own, and join again by what their texts differ in from it: linked texts differ
+  in at most as many shingles as their sizes allow, so either both are so near the centre that the one
+  with most to spare stands for all such, or they share some of these differences.
 
 Before two whole sets are compared, their first shingles bound the overlap from above. Pairs that one
 class holds already are not compared again, so links are complete as classes, not as a list.
@@ -28,7 +30,7 @@ gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -40,6 +42,14 @@ from .components import components
 LEAF = 32
 #: First pivots by which a document looks for a centre, and rounds of that.
 FIRST, ROUNDS = 4, 3
+#: Parts of the index that are built one after another, so that the disk holds one part's shuffles.
+PARTS = 4
+#: First shingles that bound an overlap.
+BOUND = 96
+#: Further shingles that short texts carry beside their first margin + 1.
+SPARE = 40
+#: Texts that a task holds as Python objects at a time.
+ROWS = 512
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _FACTORS = np.random.default_rng(2).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
@@ -84,14 +94,18 @@ def margin(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def _pieces(batches):
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), f1 and f2 (the set's fingerprint), m (margin), pivots (the first of its shingles, enough for the margin and a third more)."""
+    """doc_id, n (shingles), f1 and f2 (the set's fingerprint), m (margin), pivots (the first of its shingles, enough for the margin, and half as many or SPARE more)."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        for b in batches:
+        for b in _pieces(batches):
             n, f1, f2, m, pivots = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 x = shingle_set(text, words)
@@ -101,7 +115,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
                 m.append(k)
-                pivots.append(x[: k + 1 + (k + 1) // 3 + 6])
+                pivots.append(x[: k + 1 + max((k + 1) // 2 + 10, SPARE)])
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(m, pa.int64()), pa.array(pivots, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "m", "pivots"])
 
@@ -109,8 +123,8 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, m long, pivots array<long>")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """a, b, far: the exact distance of each pair, from their whole texts."""
+def compare(pairs: DataFrame, docs: DataFrame, words: int, apart: bool = False) -> DataFrame:
+    """a, b, common, whole, far: the exact distance of each pair, from their whole texts; with `apart`, also the shingles that only b has, then those that only a has."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = may_hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids, "id")
     first, second = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -120,16 +134,25 @@ def compare(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
 
         sets = lru_cache(maxsize=256)(lambda text: shingle_set(text, words))
-        for batch in batches:
-            common, whole = [], []
+        for batch in _pieces(batches):
+            common, whole, only = [], [], []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = sets(ta), sets(tb)
-                c = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+                same = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y if len(x) else np.zeros(len(y), bool)
+                c = int(same.sum())
                 common.append(c)
                 whole.append(len(x) + len(y) - c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(whole, pa.int64())], ["a", "b", "common", "whole"])
+                if apart:
+                    only.append(np.concatenate([y[~same], np.setdiff1d(x, y[same], assume_unique=True)]))
+            columns = [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(whole, pa.int64())]
+            names = ["a", "b", "common", "whole"]
+            if apart:
+                columns.append(pa.array(only, pa.list_(pa.int64())))
+                names.append("apart")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return both.mapInArrow(run, "a long, b long, common long, whole long").withColumn("far", 1 - F.col("common") / F.greatest("whole", F.lit(1)))
+    out = both.mapInArrow(run, "a long, b long, common long, whole long" + ", apart array<long>" * apart)
+    return out.withColumn("far", 1 - F.col("common") / F.greatest("whole", F.lit(1)))
 
 
 def _linked(percent: int) -> Column:
@@ -139,7 +162,7 @@ def _linked(percent: int) -> Column:
 def _possible(pairs: DataFrame, held: DataFrame, reach: Column) -> DataFrame:
     """The pairs (a, b) that can be within `reach`: of the shingles up to where both texts' first ones end, all common ones are known, and of the others at most all are."""
     end = lambda p, n: F.when(F.size(p) < F.col(n), F.element_at(p, -1)).otherwise(F.lit((1 << 63) - 1))
-    side = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("pivots").alias(f"{x}_p"))
+    side = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.slice("pivots", 1, BOUND).alias(f"{x}_p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     last = F.least(end(F.col("a_p"), "a_n"), end(F.col("b_p"), "b_n"))
     beyond = lambda x: F.col(f"{x}_n") - F.size(F.filter(f"{x}_p", lambda v: v <= F.col("last")))
@@ -179,7 +202,7 @@ def _whole_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in _pieces(batches):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "pivots"])
 
@@ -187,32 +210,67 @@ def _whole_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return sets.select("node", F.posexplode("pivots").alias("at", "pivot"))
 
 
-def _regions(held: DataFrame, cells: DataFrame, docs: DataFrame, words: int, leaf: int) -> DataFrame:
-    """pivot, node, centre: the texts under each of their first margin + 1 shingles, in an order in which crowded ones come last."""
+def _index(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pivot) of more than one cell, and their rows of `every`."""
+    mets, entries = [], []
+    for part in range(PARTS):
+        own = every.filter(F.pmod("pivot", F.lit(PARTS)) == part)
+        # A shingle of one cell alone joins nothing.
+        met = own.groupBy("pivot").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).filter("lo < hi").select("pivot")
+        mets.append(stash(met, "shared"))
+        entries.append(stash(own.join(mets[-1], "pivot"), "entries"))
+    return reduce(DataFrame.unionByName, mets), reduce(DataFrame.unionByName, entries)
+
+
+def _regions(held: DataFrame, cells: DataFrame, docs: DataFrame, words: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables. pivot, node, centre, most: the texts under each of their first margin + 1 shingles, in an order in which crowded ones come last
+    (`most`: what texts that meet under a crowded one can have in common). node, n, lost, rest: the texts of plain ones, their crowded shingles, and those after their first ones."""
     of = held.join(cells.select("node", "centre"), "node", "left").withColumn("centre", F.coalesce("centre", "node"))
     every = of.select("node", "centre", F.posexplode("pivots").alias("at", "pivot"))
-    # A shingle of one cell alone joins nothing.
-    met = every.groupBy("pivot").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).filter("lo < hi").select("pivot")
-    met = stash(met, "shared")
-    entries = stash(every.join(met, "pivot"), "entries")
+    met, entries = _index(every)
     sizes = entries.select("pivot", "centre").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("cells"))
     hot = stash(sizes.filter(F.col("cells") > leaf), "hot")
     lost = stash(entries.join(hot, "pivot").groupBy("node").agg(F.count(F.lit(1)).alias("lost")), "lost")
     short = lost.join(held.select("node", "n", "m", F.size("pivots").alias("carried")), "node").filter("carried - lost < m + 1").select("node", "n", "m")
     short = stash(short, "short")
     # Texts with enough other shingles carry the first of these.
-    enough = of.join(lost, "node", "left").join(short.select("node"), "node", "left_anti")
-    enough = enough.select("node", F.coalesce("lost", F.lit(0)).alias("lost"), "m")
-    plain = entries.join(hot, "pivot", "left_anti").join(enough, "node").filter("at <= m + lost").select("pivot", "node", "centre")
+    enough = held.select("node", "n", "m").join(lost, "node", "left").join(short.select("node"), "node", "left_anti")
+    enough = stash(enough.select("node", "n", F.coalesce("lost", F.lit(0)).alias("lost"), "m"), "enough")
+    within = enough.select("node", (F.col("m") + F.col("lost")).alias("last"))
+    plain = entries.join(hot, "pivot", "left_anti").join(within, "node").filter("at <= last").select("pivot", "node", "centre")
     # The others carry the first of all their other shingles, then crowded ones, the least crowded first.
-    whole = _whole_sets(short, docs, words).join(hot, "pivot", "left").join(short, "node")
-    order = Window.partitionBy("node").orderBy(F.col("cells").asc_nulls_first(), F.when(F.col("cells").isNull(), F.col("at")), "pivot")
-    deep = whole.withColumn("rank", F.row_number().over(order)).filter("rank <= m + 1").select("pivot", "node", F.col("cells").isNull().alias("open"))
+    whole = stash(_whole_sets(short, docs, words), "whole-sets")
+    # Shingles that crowd among these come last as well, unless another text carries them in their first place.
+    more = stash(whole.groupBy("pivot").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") > leaf).join(hot.select("pivot"), "pivot", "left_anti"), "hot")
+    carried = may_hold(every, "pivot", more, "pivot").join(more.select("pivot"), "pivot").join(enough.select("node"), "node").select("pivot").distinct()
+    hot = hot.unionByName(stash(more.join(carried, "pivot", "left_anti"), "hot"))
+    whole = whole.join(hot, "pivot", "left").join(short, "node")
+    by = Window.partitionBy("node")
+    order = by.orderBy(F.col("cells").asc_nulls_first(), F.when(F.col("cells").isNull(), F.col("at")), "pivot")
+    deep = whole.withColumn("rank", F.row_number().over(order)).withColumn("crowd", F.count("cells").over(by))
+    # Texts that meet under crowded shingles only have no others in common: that asks for nearly all of a text to be crowded.
+    deep = deep.filter((F.col("rank") <= F.col("m") + 1) & (F.col("cells").isNull() | (F.col("crowd") >= F.col("n") - F.col("m"))))
+    deep = deep.select("pivot", "node", F.col("cells").isNull().alias("open"), F.when(F.col("cells").isNotNull(), F.col("crowd")).alias("most"))
     deep = stash(deep.join(of.select("node", "centre"), "node"), "deep")
     # Texts that hold these further shingles among their own first ones.
     beyond = stash(deep.filter("open").select("pivot").distinct().join(met, "pivot", "left_anti"), "beyond")
-    others = may_hold(every, "pivot", beyond, "pivot").join(beyond, "pivot").join(enough, "node").filter("at <= m + lost").select("pivot", "node", "centre")
-    return plain.unionByName(others).unionByName(deep.select("pivot", "node", "centre"))
+    others = may_hold(every, "pivot", beyond, "pivot").join(beyond, "pivot").join(within, "node").filter("at <= last").select("pivot", "node", "centre")
+    free = F.lit(None).cast("long").alias("most")
+    regions = plain.unionByName(others).select("pivot", "node", "centre", free).unionByName(deep.select("pivot", "node", "centre", "most"))
+    # Of its first margin + 1 + lost shingles such a text shares crowded ones besides those that regions show, and after them whatever is left.
+    return regions, enough.select("node", "n", "lost", (F.col("n") - F.col("m") - 1 - F.col("lost")).alias("rest"))
+
+
+def _meeting_often(pairs: DataFrame, radius: DataFrame, simple: DataFrame, eps: float) -> DataFrame:
+    """a, b, reach (what the radii leave possible), without the pairs of single texts that meet in too few regions (`met`) to be linked."""
+    wide = lambda df, x: df.join(radius.select(F.col("centre").alias(x), F.col("r").alias(f"r_{x}")), x, "left").fillna(0.0, [f"r_{x}"])
+    known = lambda df, x: df.join(simple.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "lost", "rest")]), x, "left")
+    out = known(known(wide(wide(pairs, "a"), "b"), "a"), "b").withColumn("reach", F.lit(eps) + F.col("r_a") + F.col("r_b"))
+    # All common shingles up to the end of one text's first ones are known; of the others at most the rest of that text are.
+    most = F.col("met") + F.least("lost_a", "lost_b") + F.greatest("rest_a", "rest_b")
+    near = most >= (1 - F.lit(eps)) * (F.col("n_a") + F.col("n_b") - most) - 1e-6
+    single = (F.col("r_a") == 0) & (F.col("r_b") == 0)
+    return out.filter(~single | F.coalesce(near, F.lit(True))).select("a", "b", "reach")
 
 
 def join(docs: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFrame:
@@ -229,7 +287,8 @@ def join(docs: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFra
     # A doc_id with several sets has no distance; it neither is a centre nor goes to a cell.
     torn = signed.filter("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct(*point)).alias("lo"), F.max(F.struct(*point)).alias("hi")).filter("lo <> hi").select("node")
     links, cells = _cells(held.join(torn, "node", "left_anti"), docs, words, percent)
-    regions = stash(_regions(held, cells, docs, words, leaf), "regions")
+    regions, simple = _regions(held, cells, docs, words, leaf)
+    regions = stash(regions, "regions")
     sizes = regions.select("pivot", "centre").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("cells")).filter("cells > 1")
     sizes = stash(sizes, "sizes")
 
@@ -237,25 +296,27 @@ def join(docs: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFra
     small = regions.select("pivot", "centre").distinct().join(sizes.filter(F.col("cells") <= leaf), "pivot").groupBy("pivot").agg(F.collect_list("centre").alias("of"))
     of = F.col("of")
     met = F.flatten(F.transform(of, lambda a: F.transform(F.filter(of, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = small.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct().join(links.distinct(), ["a", "b"], "left_anti")
+    pairs = small.select(F.explode(met).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("met")).join(links.distinct(), ["a", "b"], "left_anti")
     radius = cells.groupBy("centre").agg(F.max("far").alias("r"))
-    wide = lambda df, x: df.join(radius.select(F.col("centre").alias(x), F.col("r").alias(f"r_{x}")), x, "left").fillna(0.0, [f"r_{x}"])
-    pairs = wide(wide(pairs, "a"), "b").withColumn("reach", F.lit(eps) + F.col("r_a") + F.col("r_b")).select("a", "b", "reach")
+    pairs = _meeting_often(pairs, radius, simple.join(torn, "node", "left_anti"), eps)
     pairs = stash(_possible(pairs, held, F.col("reach")), "pairs")
     centred = stash(compare(pairs, docs, words).join(pairs, ["a", "b"]), "centred")
     links = links.unionByName(centred.filter(_linked(percent)).select("a", "b"))
 
     # Larger regions have a centre of their own, which measures its distance to the others.
-    members = regions.join(sizes.filter(F.col("cells") > leaf), "pivot").select("pivot", "node")
+    members = regions.join(sizes.filter(F.col("cells") > leaf), "pivot").select("pivot", "node", "most")
     middle = members.groupBy("pivot").agg(F.min("node").alias("centre"))
-    members = stash(members.join(middle, "pivot").select("node", "centre").distinct().join(held.select("node", "n"), "node"), "members")
+    members = members.join(middle, "pivot").join(held.select("node", "n"), "node").groupBy("node", "centre", "n").agg(F.max(F.coalesce("most", "n")).alias("most"))
+    members = stash(members, "members")
     spokes = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    measured = stash(compare(spokes, docs, words), "measured")
-    links = stash(links.unionByName(measured.filter(_linked(percent)).select("a", "b")).distinct(), "all-links")
+    measured = stash(compare(spokes, docs, words, apart=True), "measured")
+    around = members.join(measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far", (F.col("whole") - F.col("common")).alias("d"), "apart"), ["centre", "node"])
+    links = links.unionByName(measured.filter(_linked(percent)).select("a", "b")).unionByName(_by_the_nearest(around, percent))
+    links = stash(links.distinct(), "all-links")
     classes = components(links)
 
     more = _boundary_pairs(centred.filter(~_linked(percent) & (F.col("far") <= F.col("reach") + 1e-9)), cells, classes, eps)
-    more = more.unionByName(_ring_pairs(members, measured, classes, percent)).distinct()
+    more = more.unionByName(_difference_pairs(around, members.filter("node = centre"), classes, percent)).distinct()
     more = stash(_possible(more, held, F.lit(eps)), "late-pairs")
     if not more.isEmpty():
         late = stash(compare(more, docs, words).filter(_linked(percent)).select("a", "b"), "late-links")
@@ -285,21 +346,42 @@ def _boundary_pairs(centred: DataFrame, cells: DataFrame, classes: DataFrame, ep
     return met.filter(window).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _ring_pairs(members: DataFrame, measured: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a large region that no link joins yet and that the triangle inequality leaves possible: in the same or in neighbouring rings around its centre, of sizes in the window."""
-    eps = 1 - percent / 100
-    ringed = members.join(measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far"), ["centre", "node"], "left").fillna(0.0, ["far"])
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100)))).cast("int")
-    ringed = _with_class(ringed.withColumn("ring", F.floor(F.col("far") / F.lit(eps)).cast("int")).withColumn("band", band), "node", classes, "class")
-    # Regions whose members are one class already are done.
-    open_ = ringed.groupBy("centre").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 <> c1").select("centre")
-    ringed = ringed.join(open_, "centre")
-    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    theirs = ringed.withColumn("ring", around("ring")).withColumn("band", around("band"))
-    theirs = theirs.select("centre", "ring", "band", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("class").alias("y_class"), F.col("far").alias("y_far"))
-    window = (F.abs(F.col("far") - F.col("y_far")) <= F.lit(eps + 1e-9)) & (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent)
-    met = ringed.join(theirs, ["centre", "ring", "band"]).filter((F.col("node") < F.col("y")) & (F.col("class") != F.col("y_class")) & window)
-    return met.select(F.col("node").alias("a"), F.col("y").alias("b"))
+def _spare(percent: int) -> Column:
+    """How much nearer to the centre a text is than a link asks for, by its own size's share; a link of two texts is certain where their sum isn't negative."""
+    return (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
+
+
+def _by_the_nearest(around: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each large region, the links of the text with most to spare to all with which that is enough."""
+    rows = around.select("centre", "node", _spare(percent).alias("spare"))
+    best = rows.groupBy("centre").agg(F.max(F.struct("spare", "node")).alias("best"))
+    linked = rows.join(best, "centre").filter((F.col("spare") + F.col("best.spare") >= 0) & (F.col("node") != F.col("best.node")))
+    return linked.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
+
+
+def _difference_pairs(around: DataFrame, middle: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a large region, in different classes yet, that share enough of what they differ in from its centre to be linked.
+
+    One of them at least is outside the centre's class, so beyond the threshold from it; texts x and y
+    that differ from the centre in dx and dy shingles, and from each other in at most what their sizes
+    allow, then share more than half of dx (as sizes differ, a little more or less). So they share one of
+    the first dx - that + 1, in an order that puts shingles that the centre lacks first.
+    """
+    share = (100 - percent) / (100 + percent)
+    sized = middle.select("centre", F.col("n").alias("centre_n"))
+    of = _with_class(_with_class(around, "node", classes, "class"), "centre", classes, "centre_class").join(sized, "centre")
+    open_ = of.filter("class <> centre_class").select("centre").distinct()
+    least = F.greatest(F.ceil((F.col("d") + F.lit(share) * (F.col("centre_n") - F.col("n"))) / 2 - 1e-9), F.lit(1))
+    of = of.join(open_, "centre").withColumn("half", F.col("d") - least + 1).withColumn("inside", F.col("class") == F.col("centre_class"))
+    rows = of.select("centre", "node", "n", "most", "class", "inside", "far", "half", F.posexplode("apart").alias("at", "of"))
+    mine = rows.filter("at < half")
+    theirs = rows.filter("not inside").select("centre", "of", (F.col("at") < F.col("half")).alias("y_first"), *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "most", "class", "far")])
+    eps, shared = 1 - percent / 100, F.least("most", "y_most")
+    window = (shared * 100 >= (F.col("n") + F.col("y_n") - shared) * percent) & (F.abs(F.col("far") - F.col("y_far")) <= F.lit(eps + 1e-9))
+    window = window & (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent) & (F.col("class") != F.col("y_class"))
+    once = F.col("inside") | (F.col("y_first") & (F.col("node") < F.col("y_node")))
+    met = mine.join(theirs, ["centre", "of"]).filter(window & once)
+    return met.select(F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

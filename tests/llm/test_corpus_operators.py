@@ -114,6 +114,22 @@ def test_jaccard_join(spark, words, percent, leaf):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+@pytest.mark.parametrize("edits", [3, 4])
+def test_jaccard_join_of_a_family_beyond_the_threshold(spark, edits):
+    """Copies of one text, with edits that take most of them just beyond the threshold of each other."""
+    r = random.Random(edits)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(r.randint(1, edits)):
+            t[r.randrange(len(t))] = word()
+        rows.append((i, " ".join(t + [word() for _ in range(r.choice([0, 0, 3]))])))
+    got = {x.doc_id: x.component_id for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 8).collect()}
+    assert got == _classes(_sets(rows, 3), 90)
+
+
 def test_token_counts(spark):
     raw = "a\n\n\n\nlong line here\nend\n".encode()
     starts = token_counts.line_starts(raw)
