@@ -40,7 +40,7 @@ from .common import may_hold, stash, table, unstash
 LENGTH, KMER = 100, 32
 QUARTERS = 4
 #: Parts of the sort that follow each other.
-SLICES = 4
+SLICES = 2
 #: A document: its id, and a hash of its text for those that share one.
 DOCUMENT = ["d", "t"]
 PLACE = [*DOCUMENT, "at"]
