@@ -346,6 +346,23 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert a == b
 
 
+def test_pipeline_stages_without_and_with_repeated_ids(spark, folder):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    leak = "What is the sum of the first ten numbers in this list of odd values?"
+    rows = [(1, text, "a"), (1, text, "a"), (2, text + " x", "a"), (None, "only here", "a"), (None, leak, "a"), (None, None, "a"), (3, leak, "b"), (4, "", "b"), (5, text[:200], "b")]
+    docs = _docs(spark, rows)
+    once = stages["jaccard_join"](spark, docs, folder)
+    assert once.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "-") for r in once.collect()) == sorted([(1, text), (-1, "only here"), (-1, leak), (-1, "-"), (4, "-"), (5, text[:200])])
+    clean = stages["decontamination"](spark, docs, folder)
+    assert clean.count() == 7 and not any(r.text == leak for r in clean.collect())
+    none = docs.limit(0)
+    assert all(stages[n](spark, none, folder).count() == 0 for n in stages)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
