@@ -6,14 +6,14 @@ from pyspark.sql import Column, functions as F
 
 
 def photo_date(name: Column) -> Column:
-    """ISO date of the first run of exactly eight digits DDMMYYYY with day, month and year in range; null without one. Not checked against a calendar."""
-    day, month, year = (F.regexp_extract(name, r"(?<![0-9])(0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])((?:19|20)[0-9]{2})(?![0-9])", i) for i in (1, 2, 3))
-    return F.when(year != "", F.concat_ws("-", year, month, day))
+    """ISO date of the first run of exactly eight digits, read as DDMMYYYY; null without one, or where its day or month is out of range. Not checked against a calendar."""
+    day, month, year = (F.regexp_extract(name, r"(?<![0-9])([0-9]{2})([0-9]{2})([0-9]{4})(?![0-9])", i) for i in (1, 2, 3))
+    return F.when(day.between("01", "31") & month.between("01", "12"), F.concat_ws("-", year, month, day))
 
 
 def years_in_name(name: Column) -> Column:
-    """Distinct years 19xx and 20xx in a name, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit("(?:19|20)[0-9]{2}"), F.lit(0)), lambda y: y.cast("int"))))
+    """Distinct years 19xx and 20xx that stand alone in a name, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit("(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), F.lit(0)), lambda y: y.cast("int"))))
 
 
 def derived_year(date: Column, years: Column) -> Column:

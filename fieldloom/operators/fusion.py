@@ -8,19 +8,21 @@ RULES = ("weighted_avg", "geometric_mean", "rank_avg", "min", "max", "gate")
 
 
 def fuse(rule: str, maps: list[Column], weights: list[float] | None = None) -> Column:
-    """The fused score. For rank_avg, maps are ranks; for gate, the first map is gated by the mean of the others."""
-    w = weights or [1.0] * len(maps)
-    if rule in ("weighted_avg", "rank_avg"):
+    """The fused score; weights are weighted_avg's alone. For rank_avg, maps are ranks; for gate, the first map is gated by the mean of the others (1 without any)."""
+    if rule == "weighted_avg":
+        w = weights or [1.0] * len(maps)
         return sum((m * F.lit(float(k)) for m, k in zip(maps, w, strict=True)), F.lit(0.0)) / F.lit(float(sum(w)))
+    if rule == "rank_avg":
+        return sum(maps, F.lit(0.0)) / F.lit(float(len(maps)))
     if rule == "geometric_mean":
-        logs = sum((F.log(m + F.lit(1e-3)) * F.lit(float(k)) for m, k in zip(maps, w, strict=True)), F.lit(0.0))
-        return F.exp(logs / F.lit(float(sum(w))))
+        return F.exp(sum((F.log(m + F.lit(1e-3)) for m in maps), F.lit(0.0)) / F.lit(float(len(maps))))
     if rule == "min":
         return F.least(*maps)
     if rule == "max":
         return F.greatest(*maps)
     if rule == "gate":
-        return maps[0] * (F.lit(0.4) + F.lit(0.6) * sum(maps[1:], F.lit(0.0)) / F.lit(float(len(maps) - 1)))
+        rest = sum(maps[1:], F.lit(0.0)) / F.lit(float(len(maps) - 1)) if len(maps) > 1 else F.lit(1.0)
+        return maps[0] * (F.lit(0.4) + F.lit(0.6) * rest)
     raise ValueError(f"unknown rule {rule!r}: one of {RULES}")
 
 

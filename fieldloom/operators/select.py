@@ -44,7 +44,7 @@ def latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spaced_points(df: DataFrame, keys: list[str], y: str, x: str, score: str, k: int, distance: float, pool: int = 200) -> DataFrame:
-    """Greedy choice of up to k points of the best `pool`, each at least `distance` from those before; the order decides, so a group is walked by one function over its pool only."""
+    """Greedy choice of up to k points of the best `pool`, each farther than `distance` from those before; the order decides, so a group is walked by one function over its pool only."""
     import pandas as pd
 
     best = top_k(df.select(*keys, y, x, score), keys, pool, F.col(score).desc(), F.col(y), F.col(x)).drop("rank")
@@ -55,7 +55,7 @@ def spaced_points(df: DataFrame, keys: list[str], y: str, x: str, score: str, k:
         kept: list[tuple[float, float]] = []
         rows = []
         for i, (py, px) in enumerate(zip(pdf[y], pdf[x], strict=True)):
-            if len(kept) < k and all((py - a) ** 2 + (px - b) ** 2 >= distance**2 for a, b in kept):
+            if len(kept) < k and all((py - a) ** 2 + (px - b) ** 2 > distance**2 for a, b in kept):
                 kept.append((py, px))
                 rows.append(i)
         return pdf.iloc[rows].assign(pick=range(1, len(rows) + 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 # Extensions of images.
-EXTENSIONS = ("tif", "tiff", "jpg", "jpeg", "png", "bmp", "webp")
+EXTENSIONS = ("jpg", "jpeg", "jpe", "png", "tif", "tiff", "bmp")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

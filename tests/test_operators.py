@@ -10,11 +10,11 @@ from fieldloom.streaming import recorder
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("a_31021969_x.tif",), ("b1980 1969.jpg",), ("c 123456789.png",), ("שדה (1).tif",), (None,)], "n string")
+    df = spark.createDataFrame([("a_31021969_x.tif",), ("b1980 1969.jpg",), ("c 123456789.png",), ("שדה (1).tif",), (None,), ("scan120345.jpg",), ("x_99999999_01021980",), ("d05031899_1969",)], "n string")
     date, years = txt.photo_date(F.col("n")), txt.years_in_name(F.col("n"))
     rows = df.select(date.alias("d"), txt.derived_year(date, years).alias("y"), txt.safe_stem(F.col("n")).alias("s")).collect()
-    assert [r.d for r in rows] == ["1969-02-31", None, None, None, None]
-    assert [r.y for r in rows] == [1969, 1969, None, None, None]
+    assert [r.d for r in rows] == ["1969-02-31", None, None, None, None, None, None, "1899-03-05"]
+    assert [r.y for r in rows] == [1969, 1969, None, None, None, None, None, 1899]
     assert rows[3].s == "שדה__1_.tif"
 
 
@@ -46,6 +46,10 @@ def test_boxes_and_rings(spark):
     assert math.isclose(r.a, 1 / 7) and r.z == 0.0
 
 
+def test_gate_of_one_map(spark):
+    assert spark.range(1).select(fusion.fuse("gate", [F.lit(0.5)]).alias("v")).first().v == 0.5
+
+
 def test_unknown_rule():
     with pytest.raises(ValueError):
         fusion.fuse("median", [])
