@@ -60,6 +60,8 @@ PLAIN = frozenset("article main section div body html p h1 h2 h3 h4 h5 h6 ul ol
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Raw elements whose missing end tag runs to the end of the page; others without an end tag are only passed over.
+TO_THE_END = frozenset("script style textarea title head".split())
 _END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
@@ -106,7 +108,7 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
                 flush()
             stack.pop()
 
-    at, anchors = 0, 0
+    at, anchors, endless = 0, 0, set()
     while m := _TAG.search(html, at):
         if m.start() > at:
             piece = html[at : m.start()]
@@ -141,7 +143,13 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
             if tag == "head":  # its end tag may be left out
                 end = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(html, at)
             else:
-                end = _END_RAW[tag].search(html, at)
+                end = None if tag in endless else _END_RAW[tag].search(html, at)
+                if tag not in TO_THE_END:
+                    if end is None:
+                        endless.add(tag)
+                        continue
+                    if tag in ("button", "select") and re.search(rf"<{tag}\b", html[at : end.start()], re.I):
+                        continue  # the end tag is a later one's
             at = end.end() if end else len(html)
             continue
         if tag in BLOCK:
@@ -208,19 +216,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 nodes: dict[str, list[str]] = {}
-                for text, path, _, plain in blocks(html or ""):
+                found = blocks(html or "")
+                for text, path, _, plain in found:
                     if not plain:
                         nodes.setdefault(path, []).append(text)
+                page = "\n".join(f"{text} {path}" for text, path, _, _ in found) if nodes else ""
                 for path, texts in nodes.items():
-                    for column, v in zip(out, (host, path, "\n".join(texts), str(len(texts))), strict=True):
+                    for column, v in zip(out, (host, path, "\n".join(texts), str(len(texts)), page), strict=True):
                         column.append(v if column is out[0] else _signed(xxhash.xxh64_intdigest(v.encode("utf-8", "replace"))))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "path", "content", "style"])
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "path", "content", "style", "page"])
 
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, path long, content long, style long")
+    nodes = pages.select("host", "html").mapInArrow(run, "host string, path long, content long, style long, page long")
+    # Copies of a page count once: what recurs in them is not the site's template.
+    nodes = nodes.distinct()
     counted = nodes.groupBy("host", "path", "content", "style").agg(F.count(F.lit(1)).alias("n"))
     node = ["host", "path"]
     # n pages that share a content: log(n) / log(m) is 0 where it is on one page and 1 where it is on all m.

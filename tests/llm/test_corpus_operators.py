@@ -196,6 +196,8 @@ def test_html():
     assert text(None) == "" and text("<") == "<"
     page = "<body><div id='site-nav'>m</div><main><h1>A &amp; B</h1><p>one<p>two  <i>x</i>y<div class='comments'><p>c</div><form>f</form></main><aside>s</aside><footer>f</footer></body>"
     assert text(page) == "A & B\none\ntwo xy"
+    assert text("<article><p>first</p><button>Share<p>second</p></article>") == "first\nShare\nsecond"
+    assert text("<p>a<noscript>b<p>c") == "ab\nc" and text("<p>a<button>x</button>b<p>c") == "ab\nc"
     assert text("<style>p{}</style><script>'</p>'</script><!-- c --><p>k") == "k"
 
 
@@ -205,6 +207,13 @@ def test_style_tree(spark):
     assert [r.text for r in html_extraction.extract(df).orderBy("page_id").collect()] == [f"story {i} {i * i}" for i in range(12)]
 
 
+def test_style_tree_of_copies(spark):
+    """A host of copies of one page has no template that its copies show."""
+    page = "<body><div class=body><p>the story</p></div></body>"
+    df = spark.createDataFrame([(i, f"http://h/{i % 4}", page) for i in range(12)], "page_id long, url string, html string")
+    assert [r.text for r in html_extraction.extract(df).collect()] == ["the story"] * 12
+
+
 @pytest.mark.parametrize("shards", [1, 3, 16])
 def test_sharding(spark, shards):
     df = spark.range(500).select(F.col("id").alias("doc_id"))
