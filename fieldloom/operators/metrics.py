@@ -11,7 +11,7 @@ def mask_scores(pixels: DataFrame, keys: list[str], pred: Column, pos: Column, n
     """One row of segmentation scores a target from its pixels, in one aggregation."""
     n = lambda c: F.count_if(c)
     counted = pixels.groupBy(*keys).agg(
-        n(pred).alias("p"), n(pos).alias("g"), n(neg).alias("k"), n(pred & pos).alias("tp"), n(pred & neg).alias("fn_"), n(pred | pos).alias("u"), F.count(F.lit(1)).alias("n")
+        n(pred).alias("p"), n(pos).alias("g"), n(neg).alias("k"), n(pred & pos).alias("tp"), n(pred & neg).alias("fn_"), n(pred | pos).alias("u"), n(pred & ~pos & ~neg).alias("other"), F.count(F.lit(1)).alias("n")
     )
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
     return counted.select(
@@ -19,7 +19,7 @@ def mask_scores(pixels: DataFrame, keys: list[str], pred: Column, pos: Column, n
         ratio("tp", "g").alias("coverage"),
         F.coalesce(ratio("tp", "u"), F.lit(0.0)).alias("mask_iou"),
         ratio("fn_", "k").alias("fp_on_black"),
-        ((F.col("p") - F.col("tp")).cast("double") / F.col("n")).alias("fp_area_frac"),
+        (F.col("other").cast("double") / F.col("n")).alias("fp_area_frac"),
         ratio("tp", "p").alias("precision_pos"),
         (F.col("p").cast("double") / F.col("n")).alias("pred_area_frac"),
         (F.col("p").cast("double") / F.greatest(F.col("g"), F.lit(1))).alias("area_ratio"),

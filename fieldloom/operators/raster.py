@@ -7,6 +7,7 @@ repeated for derivatives and boxes, mirrored with it for Gaussians). Connectivit
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -39,13 +40,13 @@ def coherence(a: np.ndarray, sigma: float = 6.0) -> np.ndarray:
     """How much one direction prevails around each pixel, by the structure tensor's eigenvalues."""
     gx, gy = sobel(a)
     xx, yy, xy = (gaussian(v, sigma) for v in (gx * gx, gy * gy, gx * gy))
-    return np.sqrt((xx - yy) ** 2 + 4 * xy**2) / (xx + yy + 1e-6)
+    return np.clip(np.sqrt((xx - yy) ** 2 + 4 * xy**2) / (xx + yy + 1e-6), 0, 1)
 
 
 def entropy(a: np.ndarray, radius: int, levels: int = 32) -> np.ndarray:
-    """Bits of the histogram of a disk around each pixel."""
+    """Bits of the histogram of a disk around each pixel: of grey levels as they stand for 256 levels, else of the range in equal parts."""
     low, high = float(a.min()), float(a.max())
-    q = np.minimum(((a - low) / (high - low + 1e-12) * levels).astype(int), levels - 1)
+    q = np.clip(a.astype(int), 0, 255) if levels == 256 else np.minimum(((a - low) / (high - low + 1e-12) * levels).astype(int), levels - 1)
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
     disk = [(int(dy), int(dx)) for dy, dx in zip(y[y**2 + x**2 <= radius**2], x[y**2 + x**2 <= radius**2], strict=True)]
     counts, inside = np.zeros((levels, *a.shape)), np.zeros(a.shape)
@@ -53,35 +54,63 @@ def entropy(a: np.ndarray, radius: int, levels: int = 32) -> np.ndarray:
         ys, xs = slice(max(0, -dy), a.shape[0] - max(0, dy)), slice(max(0, -dx), a.shape[1] - max(0, dx))
         yt, xt = slice(max(0, dy), a.shape[0] + min(0, dy)), slice(max(0, dx), a.shape[1] + min(0, dx))
         inside[ys, xs] += 1
-        for level in range(levels):
-            counts[level][ys, xs] += q[yt, xt] == level
+        yy, xx = np.mgrid[ys, xs]
+        counts[q[yt, xt], yy, xx] += 1
     p = counts / np.maximum(inside, 1)
     return -np.where(p > 0, p * np.log2(np.maximum(p, 1e-300)), 0).sum(axis=0)
 
 
 def gabor(a: np.ndarray, frequencies=(0.12, 0.2, 0.3), directions: int = 8, size: int = 21) -> np.ndarray:
-    """Largest absolute answer of a bank of oriented wave filters."""
+    """Largest absolute answer of a bank of oriented wave filters (deviation 4, aspect 0.5, without their means); borders are reflected."""
     r = size // 2
     y, x = np.mgrid[-r : r + 1, -r : r + 1].astype(float)
-    shape = tuple(n + size - 1 for n in a.shape)
-    spectrum, out = np.fft.rfft2(a - a.mean(), shape), np.zeros(a.shape)
+    padded = np.pad(a, r, "reflect" if min(a.shape) > r else "symmetric")
+    spectrum, out = np.fft.rfft2(padded), np.zeros(a.shape)
     for f in frequencies:
-        sigma = 0.56 / f
         for i in range(directions):
             t = np.pi * i / directions
             u, v = x * np.cos(t) + y * np.sin(t), -x * np.sin(t) + y * np.cos(t)
-            k = np.exp(-(u * u + 0.25 * v * v) / (2 * sigma * sigma)) * np.cos(2 * np.pi * f * u)
+            k = np.exp(-(u * u + 0.25 * v * v) / 32) * np.cos(2 * np.pi * f * u)
             k -= k.mean()
-            answer = np.fft.irfft2(spectrum * np.fft.rfft2(k, shape), shape)[r : r + a.shape[0], r : r + a.shape[1]]
+            answer = np.fft.irfft2(spectrum * np.fft.rfft2(k, padded.shape), padded.shape)[2 * r :, 2 * r :]
             out = np.maximum(out, np.abs(answer))
     return out
 
 
 def periodicity(a: np.ndarray) -> float:
-    """Share of the spectrum's energy in its strongest wave, without the mean."""
-    s = np.abs(np.fft.fft2(a - a.mean())) ** 2
-    total = float(s.sum())
-    return float(s.max() / total) if total > 1e-12 else 0.0
+    """Peak over mean of a square tile's windowed spectrum without its five lowest waves an axis: high for rows."""
+    w = np.hanning(len(a))
+    s = np.abs(np.fft.fftshift(np.fft.fft2((a - a.mean()) * np.outer(w, w))))
+    c = len(a) // 2
+    s[c - 2 : c + 3, c - 2 : c + 3] = 0
+    return float(s.max() / (s.mean() + 1e-6))
+
+
+def blended(a: np.ndarray, size: int, f: Callable[[np.ndarray], float], overlap: float = 0.5) -> np.ndarray:
+    """f of each tile, blended with cosine windows; the last tile of an axis is clamped to the edge."""
+    step = max(1, round(size * (1 - overlap)))
+    starts = [sorted({*range(0, max(1, n - size + 1), step), max(0, n - size)}) for n in a.shape]
+    window = np.clip(np.outer(np.hanning(size), np.hanning(size)), 1e-3, 1)
+    total, weight = np.zeros(a.shape), np.zeros(a.shape)
+    for y in starts[0]:
+        for x in starts[1]:
+            total[y : y + size, x : x + size] += f(a[y : y + size, x : x + size]) * window
+            weight[y : y + size, x : x + size] += window
+    return total / np.maximum(weight, 1e-6)
+
+
+def norm01(a: np.ndarray) -> np.ndarray:
+    low, high = np.percentile(a, [1, 99])
+    return np.clip((a - low) / (high - low + 1e-6), 0, 1)
+
+
+def texture_prior(a: np.ndarray, tile: int = 96) -> np.ndarray:
+    """Score in [0, 1] of parallel rows in a grey raster (0..255): oriented, answering waves, periodic, not chaotic, with structure."""
+    g = a / 255
+    spread = norm01(gaussian(a * a, 9) - gaussian(a, 9) ** 2)
+    core = norm01(coherence(g, 6)) * (0.5 + 0.5 * norm01(gabor(g))) * (0.5 + 0.5 * norm01(blended(a, min(tile, *a.shape), periodicity)))
+    core = core * (1 - 0.35 * norm01(entropy(a, 9, 256))) * (0.3 + 0.7 * spread)
+    return norm01(gaussian(core, 5))
 
 
 def dilate(m: np.ndarray, size: int) -> np.ndarray:
@@ -150,27 +179,50 @@ def boundary(m: np.ndarray) -> np.ndarray:
 def boundary_f1(pred: np.ndarray, truth: np.ndarray, tolerance: float = 0.01) -> float:
     """F1 of boundary pixels within a share of the diagonal."""
     a, b = boundary(pred), boundary(truth)
-    size = 2 * max(1, round(tolerance * float(np.hypot(*pred.shape)))) + 1
+    size = 2 * max(1, int(tolerance * float(np.hypot(*pred.shape)))) + 1
     if not a.any() or not b.any():
         return 0.0
     precision, recall = (a & dilate(b, size)).sum() / a.sum(), (b & dilate(a, size)).sum() / b.sum()
     return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
 
 
-def watershed(heat: np.ndarray, mask: np.ndarray, distance: int) -> np.ndarray:
-    """Regions grown from local maxima (none within `distance` of a higher one) by descending heat; 0 outside the mask."""
+def local_peaks(heat: np.ndarray, distance: int, floor: float) -> list[tuple[int, int]]:
+    """Pixels above floor that nothing within `distance` (a square) exceeds, away from the frame by that much, highest first; of two that close the first stays."""
     size = 2 * distance + 1
-    p = np.pad(heat, distance, constant_values=-np.inf)
-    top = np.lib.stride_tricks.sliding_window_view(p, (size, size)).max(axis=(2, 3))
-    lab = components((heat == top) & mask)
-    for i in np.argsort(-heat, axis=None, kind="stable"):
-        y, x = divmod(int(i), heat.shape[1])
-        if mask[y, x] and not lab[y, x]:
-            around = lab[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
-            lab[y, x] = around[around > 0].min() if (around > 0).any() else lab.max() + 1
+    top = np.lib.stride_tricks.sliding_window_view(np.pad(heat, distance, constant_values=-np.inf), (size, size)).max(axis=(2, 3))
+    inside = np.zeros(heat.shape, bool)
+    inside[distance : heat.shape[0] - distance, distance : heat.shape[1] - distance] = True
+    at = np.argwhere((heat == top) & (heat > floor) & inside)
+    kept: list[tuple[int, int]] = []
+    for y, x in sorted(map(tuple, at.tolist()), key=lambda p: (-heat[p], p)):
+        if all(max(abs(y - a), abs(x - b)) > distance for a, b in kept):
+            kept.append((y, x))
+    return kept
+
+
+def watershed(heat: np.ndarray, mask: np.ndarray, markers: list[tuple[int, int]]) -> np.ndarray:
+    """Labels 1.. grown from the markers over the mask, highest pixels first, by 4-connected steps; 0 where none reaches."""
+    lab, queue, order = np.zeros(heat.shape, np.int64), [], 0
+    for i, (y, x) in enumerate(markers, 1):
+        if mask[y, x]:
+            lab[y, x] = i
+            heapq.heappush(queue, (-heat[y, x], order, y, x))
+            order += 1
+    while queue:
+        _, _, y, x = heapq.heappop(queue)
+        for a, b in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= a < heat.shape[0] and 0 <= b < heat.shape[1] and mask[a, b] and not lab[a, b]:
+                lab[a, b] = lab[y, x]
+                heapq.heappush(queue, (-heat[a, b], order, a, b))
+                order += 1
     return lab
 
 
+def box_mean(a: np.ndarray, size: int) -> np.ndarray:
+    """Mean of a square around each pixel, the edge repeated."""
+    return _separable(a, np.full(size, 1 / size), "edge")
+
+
 def clean(m: np.ndarray, min_area: int, open_size: int = 5, close_size: int = 9, fill: bool = False) -> np.ndarray:
     """Opened, closed, with components under min_area dropped, and holes filled if asked."""
     m = shut(opened(m, open_size), close_size)
@@ -194,28 +246,134 @@ def region_rows(a: np.ndarray) -> list[tuple]:
     return out
 
 
-def mask_score_row(a: np.ndarray) -> list[tuple]:
-    """How well a mask fills a map, by its fill, low share, negative share, compactness and fragments."""
-    h = (a - a.min()) / (np.ptp(a) + 1e-9)
-    m = h > 0.5
+def mask_score(m: np.ndarray, heat: np.ndarray, negative: np.ndarray) -> float:
+    """How well a mask fills a map: its fill, share of low heat, negative share, compactness of the largest outline, and fragments."""
     if m.sum() < 10:
-        return [(-1e9,)]
-    edge, lab = boundary(m).sum(), components(m)
-    compact = 4 * np.pi * m.sum() / (edge**2 + 1e-6)
-    return [(round(float(h[m].mean() - 0.5 * (h[m] < 0.35).mean() - 0.4 * (1 - h[m]).mean() + 0.15 * min(compact, 1.0) - 0.03 * lab.max()), 9),)]
+        return -1e9
+    lab = components(m)
+    shapes = [ring_measures(r) for r in outlines(lab)]
+    area, perimeter = max(shapes, key=lambda z: z[0])
+    compact = 4 * np.pi * area / (perimeter * perimeter + 1e-6)
+    return float(heat[m].mean() - 0.5 * (heat[m] < 0.35).mean() - 0.4 * negative[m].mean() + 0.15 * compact - 0.03 * lab.max())
+
+
+def mask_score_row(a: np.ndarray) -> list[tuple]:
+    """The score of the upper half (by rank) of a raster scaled to [0, 1], with its complement as negative map."""
+    h = norm01(a)
+    return [(round(mask_score(h >= np.percentile(h, 50), h, norm01(1 - h)), 9),)]
 
 
-def map_rasters(df: DataFrame, value: str, width: int, keep: list[str], kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """keep and the rows that kernel gives for each raster (a row's array of `value`, `width` wide). schema: of the kernel's rows."""
+# Steps around a pixel, clockwise from the east (y, x).
+_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
+def outlines(lab: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The outer border of each label 1.. as pixels (x, y), walked clockwise from its first pixel in row-major order."""
+    p = np.pad(lab, 1)
+    rings = []
+    for i in range(1, int(lab.max()) + 1):
+        start = tuple(int(v) for v in np.argwhere(p == i)[0])
+        at, came, ring = start, 4, []
+        while True:
+            ring.append((at[1] - 1, at[0] - 1))
+            turn = next((k for k in range(1, 9) if p[at[0] + _AROUND[(came + k) % 8][0], at[1] + _AROUND[(came + k) % 8][1]] == i), None)
+            if turn is None:
+                break
+            d = (came + turn) % 8
+            step = (at[0] + _AROUND[d][0], at[1] + _AROUND[d][1])
+            if at == start and len(ring) > 1 and step == second:
+                ring.pop()
+                break
+            if len(ring) == 1:
+                second = step
+            at, came = step, (d + 4) % 8
+        rings.append(ring)
+    return rings
+
+
+def ring_measures(ring: list[tuple[int, int]]) -> tuple[float, float]:
+    """(area, perimeter) of a closed ring."""
+    z = np.asarray(ring, float)
+    n = np.roll(z, -1, 0)
+    return abs(float((z[:, 0] * n[:, 1] - n[:, 0] * z[:, 1]).sum())) / 2, float(np.hypot(*(n - z).T).sum())
+
+
+def simplified(ring: list[tuple[int, int]], eps: float) -> list[tuple[int, int]]:
+    """A closed ring without the points that lie within eps of the line between those kept (Douglas and Peucker), split at the point farthest from the first."""
+    z = np.asarray(ring, float)
+    if len(z) < 4:
+        return ring
+    half = int(np.argmax(((z - z[0]) ** 2).sum(1)))
+    closed, keep, todo = np.vstack([z, z[:1]]), {0, half}, [(0, half), (half, len(z))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        d, v = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
+        length = np.hypot(*d)
+        off = np.abs(d[0] * v[:, 1] - d[1] * v[:, 0]) / length if length else np.hypot(*v.T)
+        i = int(off.argmax())
+        if off[i] > eps:
+            keep.add(a + 1 + i)
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return [ring[i] for i in sorted(keep)]
+
+
+def polygons(m: np.ndarray, min_area: float = 200, share: float = 0.004) -> list[list[tuple[int, int]]]:
+    """The simplified outer borders of a mask's components whose outlined area is at least min_area, with three points or more."""
+    found = []
+    for ring in outlines(components(m)):
+        area, perimeter = ring_measures(ring)
+        if area >= min_area and len(simple := simplified(ring, share * perimeter)) >= 3:
+            found.append(simple)
+    return found
+
+
+def painted(rings: list[list[tuple[int, int]]], height: int, width: int, holes: list[list[tuple[int, int]]] = ()) -> np.ndarray:
+    """The mask of polygons, borders included, without their holes' interiors."""
+    y, x = np.mgrid[:height, :width].astype(float)
+    out = np.zeros((height, width), bool)
+    for rings_, inside_ in ((rings, True), (holes, False)):
+        for ring in rings_:
+            odd, edge = np.zeros(out.shape, bool), np.zeros(out.shape, bool)
+            for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]], strict=True):
+                if y0 != y1:
+                    odd ^= ((y0 <= y) != (y1 <= y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
+                n = max(abs(x1 - x0), abs(y1 - y0), 1)
+                for t in range(n + 1):
+                    ey, ex = round(y0 + (y1 - y0) * t / n), round(x0 + (x1 - x0) * t / n)
+                    if 0 <= ey < height and 0 <= ex < width:
+                        edge[ey, ex] = True
+            out = out | odd | edge if inside_ else out & ~(odd & ~edge)
+    return out
+
+
+def without_speckle(m: np.ndarray, min_area: float) -> np.ndarray:
+    """The mask without components under min_area, holes filled."""
+    lab = components(m)
+    return filled((np.bincount(lab.ravel()) >= min_area)[lab] & (lab > 0))
+
+
+# --- pixel tables as rasters -------------------------------------------------------------------------------------------
+
+
+def by_image(px: DataFrame, keys: list[str], value: str, height: int, width: int, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """keys and the rows that kernel gives for each image of a pixel table (keys, y, x, value); absent pixels are 0. A group is one image of a known size."""
     from pyspark.sql.types import StructType
 
-    kinds = StructType([*[df.schema[c] for c in keep], *df.sparkSession.createDataFrame([], schema).schema])
+    kinds = StructType([*[px.schema[c] for c in keys], *px.sparkSession.createDataFrame([], schema).schema])
 
-    def run(batches):
+    def run(key, pdf):
         import pandas as pd
 
-        for pdf in batches:
-            rows = [(*k, *r) for k, v in zip(pdf[keep].itertuples(index=False), pdf[value], strict=True) for r in kernel(np.asarray(v, float).reshape(-1, width))]
-            yield pd.DataFrame(rows, columns=kinds.fieldNames())
+        a = np.zeros((height, width))
+        a[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[value].to_numpy(float)
+        return pd.DataFrame([(*key, *r) for r in kernel(a)], columns=kinds.fieldNames())
+
+    return px.select(*keys, "y", "x", value).groupBy(*keys).applyInPandas(run, kinds)
+
 
-    return df.select(*keep, value).mapInPandas(run, kinds)
+def region_pixels(lab: np.ndarray) -> list[tuple]:
+    """(region, y, x) of labelled pixels."""
+    y, x = np.nonzero(lab)
+    return list(zip(lab[y, x].tolist(), y.tolist(), x.tolist(), strict=True))

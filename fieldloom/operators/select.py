@@ -43,21 +43,28 @@ def latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return first_by(both, keys, F.col("__age")).drop("__age")
 
 
-def spaced_points(df: DataFrame, keys: list[str], y: str, x: str, score: str, k: int, distance: float, pool: int = 200) -> DataFrame:
-    """Greedy choice of up to k points of the best `pool`, each farther than `distance` from those before; the order decides, so a group is walked by one function over its pool only."""
+def spaced_points(df: DataFrame, keys: list[str], y: str, x: str, score: str, k: int, distance: float | str, pool: int | None = 200) -> DataFrame:
+    """Greedy choice of up to k points, each farther than `distance` (or that column's value) from those before; the order decides,
+    so a group is walked by one function: over its best `pool` points, or without a pool over all, where groups are bounded (an image's region)."""
     import pandas as pd
 
-    best = top_k(df.select(*keys, y, x, score), keys, pool, F.col(score).desc(), F.col(y), F.col(x)).drop("rank")
+    apart = [distance] if isinstance(distance, str) else []
+    best = df.select(*keys, y, x, score, *apart)
+    if pool:
+        best = top_k(best, keys, pool, F.col(score).desc(), F.col(y), F.col(x)).drop("rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.schema) + ", pick int"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, y, x], ascending=[False, True, True])
+        least = float(pdf[distance].iloc[0]) if apart else float(distance)
         kept: list[tuple[float, float]] = []
         rows = []
         for i, (py, px) in enumerate(zip(pdf[y], pdf[x], strict=True)):
-            if len(kept) < k and all((py - a) ** 2 + (px - b) ** 2 > distance**2 for a, b in kept):
+            if all((py - a) ** 2 + (px - b) ** 2 > least**2 for a, b in kept):
                 kept.append((py, px))
                 rows.append(i)
+                if len(kept) == k:
+                    break
         return pdf.iloc[rows].assign(pick=range(1, len(rows) + 1))
 
     return best.groupBy(*keys).applyInPandas(walk, schema)

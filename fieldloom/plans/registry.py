@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as geo, numeric as num, text as txt
-from ..operators import catalog, fusion, georef, metrics, models, raster, select
+from ..operators import catalog, fusion, georef, metrics, models, select
 from ..sources import sinks
 from ..sources.readers import table
 
@@ -97,8 +97,8 @@ def _mask():
 
 
 @query(f"""SELECT l_linestatus, tp / nullif(g, 0) AS coverage, coalesce(tp / nullif(u, 0), 0.0) AS mask_iou, fk / nullif(k, 0) AS fp_on_black,
-(p - tp) / n AS fp_area_frac, tp / nullif(p, 0) AS precision_pos, p / n AS pred_area_frac, p / greatest(g, 1) AS area_ratio
-FROM (SELECT l_linestatus, count_if(pred) AS p, count_if(pos) AS g, count_if(neg) AS k, count_if(pred AND pos) AS tp, count_if(pred AND neg) AS fk, count_if(pred OR pos) AS u, count(*) AS n
+o / n AS fp_area_frac, tp / nullif(p, 0) AS precision_pos, p / n AS pred_area_frac, p / greatest(g, 1) AS area_ratio
+FROM (SELECT l_linestatus, count_if(pred) AS p, count_if(pos) AS g, count_if(neg) AS k, count_if(pred AND pos) AS tp, count_if(pred AND neg) AS fk, count_if(pred OR pos) AS u, count_if(pred AND NOT pos AND NOT neg) AS o, count(*) AS n
 FROM (SELECT l_linestatus, {_PX} FROM lineitem) GROUP BY l_linestatus)""")
 def mask_metrics(spark, d):
     return metrics.mask_scores(table(spark, d, "lineitem"), ["l_linestatus"], *_mask())
@@ -132,14 +132,13 @@ def auroc_rank(spark, d):
     return _six(metrics.auroc(table(spark, d, "lineitem"), ["l_linestatus"], F.col("l_quantity"), F.col("l_returnflag") == "R"), "auroc")
 
 
-@query("""SELECT t / 100.0::DOUBLE AS threshold, round(2.0 * tp / nullif(p + g, 0), 6) AS f1 FROM (SELECT t, count_if(l_discount >= t / 100.0::DOUBLE AND l_returnflag = 'R') AS tp, count_if(l_discount >= t / 100.0::DOUBLE) AS p, count_if(l_returnflag = 'R') AS g
-FROM lineitem, range(0, 11) r(t) GROUP BY t) ORDER BY f1 DESC, threshold LIMIT 1""")
+@query("""SELECT t AS threshold, round(tp / (u + 1e-6), 6) AS iou FROM (SELECT t, count_if(s >= t AND pos) AS tp, count_if(s >= t OR pos) AS u
+FROM (SELECT l_quantity / 50 AS s, l_returnflag = 'R' AS pos FROM lineitem), (SELECT round(0.1 + k * 0.05, 2)::DOUBLE AS t FROM range(0, 13) r(k)) GROUP BY t) ORDER BY iou DESC, threshold LIMIT 1""")
 def best_threshold(spark, d):
-    px = table(spark, d, "lineitem")
-    pos, levels = F.col("l_returnflag") == "R", [t / 100.0 for t in range(11)]
-    row = lambda t: F.struct(F.lit(t).alias("threshold"), F.count_if((F.col("l_discount") >= t) & pos).alias("tp"), F.count_if(F.col("l_discount") >= t).alias("p"), F.count_if(pos).alias("g"))
-    each = px.agg(F.array(*[row(t) for t in levels]).alias("z")).select(F.explode("z").alias("z")).select("z.*")
-    return each.select("threshold", F.round(F.try_divide(2.0 * F.col("tp"), F.col("p") + F.col("g")), 6).alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
+    score, pos = F.col("l_quantity") / 50, F.col("l_returnflag") == "R"
+    row = lambda t: F.struct(F.lit(t).alias("threshold"), F.count_if((score >= t) & pos).alias("tp"), F.count_if((score >= t) | pos).alias("u"))
+    each = table(spark, d, "lineitem").agg(F.array(*[row(round(0.1 + k * 0.05, 2)) for k in range(13)]).alias("z")).select(F.explode("z").alias("z")).select("z.*")
+    return each.select("threshold", F.round(F.col("tp") / (F.col("u") + F.lit(1e-6)), 6).alias("iou")).orderBy(F.desc("iou"), "threshold").limit(1)
 
 
 _EVENT_VALUES = "(SELECT event_id, event_type, value FROM events WHERE value IS NOT NULL)"
@@ -154,7 +153,8 @@ def threshold_sweep(spark, d):
     return select.sweep(_events(spark, d), ["event_type"], "value", [0, 10, 25, 50, 75, 100])
 
 
-_PCT = [55, 65, 75, 85, 95]
+_PCT = [55, 65, 75, 85]
+_STABLE = [55, 62, 70, 78, 86]
 
 
 @query(f"""WITH q AS (SELECT event_type, {', '.join(f'quantile_cont(value, {p / 100}) AS q{p}' for p in _PCT)} FROM {_EVENT_VALUES} GROUP BY event_type)
@@ -165,12 +165,12 @@ def multi_percentile(spark, d):
     return e.join(q, "event_type").groupBy("event_type").agg(*[F.count_if(F.col("value") >= F.col(f"q{p}")).alias(f"n{p}") for p in _PCT])
 
 
-@query(f"""WITH q AS (SELECT event_type, {', '.join(f'quantile_cont(value, {p / 100}) AS q{p}' for p in _PCT)} FROM {_EVENT_VALUES} GROUP BY event_type)
-SELECT event_id, ({' + '.join(f'(value >= q{p})::INT' for p in _PCT)})::INT AS votes FROM {_EVENT_VALUES} JOIN q USING (event_type) WHERE {' + '.join(f'(value >= q{p})::INT' for p in _PCT)} >= 3""")
+@query(f"""WITH q AS (SELECT event_type, {', '.join(f'quantile_cont(value, {p / 100}) AS q{p}' for p in _STABLE)} FROM {_EVENT_VALUES} GROUP BY event_type)
+SELECT event_id, ({' + '.join(f'(value >= q{p})::INT' for p in _STABLE)})::INT AS votes FROM {_EVENT_VALUES} JOIN q USING (event_type) WHERE {' + '.join(f'(value >= q{p})::INT' for p in _STABLE)} >= 3""")
 def stability_count(spark, d):
     e = _events(spark, d)
-    q = e.groupBy("event_type").agg(*[F.percentile("value", p / 100).alias(f"q{p}") for p in _PCT])
-    votes = sum((F.col("value") >= F.col(f"q{p}")).cast("int") for p in _PCT)
+    q = e.groupBy("event_type").agg(*[F.percentile("value", p / 100).alias(f"q{p}") for p in _STABLE])
+    votes = sum((F.col("value") >= F.col(f"q{p}")).cast("int") for p in _STABLE)
     return e.join(q, "event_type").select("event_id", votes.alias("votes")).filter("votes >= 3")
 
 
@@ -399,11 +399,11 @@ def gap_islands(spark, d):
 
 
 @query("""WITH s AS (SELECT p_brand, p_size AS pos, sum(p_retailprice) AS v FROM part GROUP BY ALL), k AS (SELECT *, max(v) OVER (PARTITION BY p_brand) AS top FROM s),
-f AS (SELECT p_brand, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY p_brand ORDER BY pos) > 2 THEN 1 ELSE 0 END AS new FROM k WHERE v >= 0.45 * top),
+f AS (SELECT p_brand, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY p_brand ORDER BY pos) > 2 THEN 1 ELSE 0 END AS new FROM k WHERE v > 0.45 * top),
 g AS (SELECT p_brand, pos, sum(new) OVER (PARTITION BY p_brand ORDER BY pos) AS island FROM f) SELECT p_brand, round_even((min(pos) + max(pos)) / 2.0, 0) AS line FROM g GROUP BY p_brand, island""")
 def graticule_lines(spark, d):
     sums = table(spark, d, "part").groupBy("p_brand", F.col("p_size").alias("at")).agg(F.sum("p_retailprice").alias("v"))
-    peaks = sums.withColumn("top", F.max("v").over(Window.partitionBy("p_brand"))).filter(F.col("v") >= 0.45 * F.col("top"))
+    peaks = sums.withColumn("top", F.max("v").over(Window.partitionBy("p_brand"))).filter(F.col("v") > 0.45 * F.col("top"))
     return select.islands(peaks, ["p_brand"], "at", 2).select("p_brand", F.col("middle").alias("line"))
 
 
@@ -523,27 +523,4 @@ def model_scores(spark, d):
     return table(spark, d, "embeddings").select("vec_id", score(F.array(*[F.get("embedding", F.lit(i)) for i in range(_DIM)])).alias("stand_in_score"))
 
 
-# --- rasters: every embedding is read as an 8 x 8 score map ------------------------------------------------------------
-
-
-def _raster(name: str, schema: str, kernel) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return raster.map_rasters(table(spark, d, "embeddings"), "embedding", 8, ["vec_id"], kernel, schema)
-
-    run.__name__ = name
-    QUERIES[name] = run
-
-
-_PIXEL = "y int, x int, v double"
-_raster("raster_smooth", _PIXEL, raster.as_pixels(lambda a: raster.gaussian(a, 1.0)))
-_raster("raster_local_contrast", _PIXEL, raster.as_pixels(lambda a: a - raster.gaussian(a, 2.0)))
-_raster("raster_coherence", _PIXEL, raster.as_pixels(lambda a: raster.coherence(a, 1.5)))
-_raster("raster_gabor", _PIXEL, raster.as_pixels(lambda a: raster.gabor(a, size=7)))
-_raster("raster_entropy", _PIXEL, raster.as_pixels(lambda a: raster.entropy(a, 2, 8)))
-_raster("raster_periodicity", "v double", lambda a: [(round(raster.periodicity(a), 9),)])
-_raster("raster_morphology", _PIXEL, raster.as_pixels(lambda a: raster.shut(raster.opened(a > 0, 3), 3).astype(float)))
-_raster("raster_fill", _PIXEL, raster.as_pixels(lambda a: raster.filled(a > 0).astype(float)))
-_raster("raster_watershed", _PIXEL, raster.as_pixels(lambda a: raster.watershed(a, a > 0, 2).astype(float)))
-_raster("region_boxes", "region int, area int, y0 int, x0 int, y1 int, x1 int, confidence double", raster.region_rows)
-_raster("boundary_f1", "f1 double", lambda a: [(round(raster.boundary_f1(a > 0, raster.gaussian(a, 1.0) > 0, 0.1), 9),)])
-_raster("mask_score", "score double", raster.mask_score_row)
+from . import imagery  # noqa: E402, F401  (registers its queries)
