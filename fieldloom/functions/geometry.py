@@ -13,6 +13,13 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(F.try_divide(w * h, area(a) + area(b) - w * h), F.lit(0.0))
 
 
+def cells(box: list[Column], width: int, height: int) -> Column:
+    """The cells (structs cx, cy) of a grid that a box [x0, y0, x1, y1] touches; boxes that overlap share one."""
+    span = lambda a, b, size: F.sequence(F.floor(a / size).cast("int"), F.floor(b / size).cast("int"))
+    across = span(box[0], box[2], width)
+    return F.flatten(F.transform(across, lambda x: F.transform(span(box[1], box[3], height), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
 def closed(ring: Column) -> Column:
     """The ring with its first point appended."""
     return F.concat(ring, F.slice(ring, 1, 1))

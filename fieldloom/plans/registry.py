@@ -375,7 +375,8 @@ def pixel_to_world(spark, d):
 @query()
 def geojson_export(spark, d):
     feature = geo.feature(F.col("p_partkey"), F.col("ring"), F.struct("p_brand", "p_retailprice"))
-    return sinks.feature_collections(_rings(spark, d), ["p_brand"], feature, F.col("p_partkey"))
+    sheets = _rings(spark, d).withColumn("sheet", F.floor(F.col("p_partkey") / 1000))  # a collection is a sheet's polygons, at most 1000
+    return sinks.feature_collections(sheets, ["p_brand", "sheet"], feature, F.col("p_partkey"))
 
 
 _BOX = "{k}, {x} AS x0, {y} AS y0, {x} + 40 AS x1, {y} + 30 AS y1"
@@ -388,7 +389,11 @@ def box_iou_best(spark, d):
     p = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), *[c.alias(f"p{i}") for i, c in enumerate(box("c_custkey", 7, 13))])
     g = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), *[c.alias(f"g{i}") for i, c in enumerate(box("s_suppkey", 11, 17))])
     corners = lambda a: [F.col(f"{a}0"), F.col(f"{a}1"), F.col(f"{a}0") + 40, F.col(f"{a}1") + 30]
-    return p.join(g, "n").groupBy("c_custkey").agg(F.round(F.max(geo.box_iou(corners("p"), corners("g"))), 6).alias("best_iou"))
+    # Boxes meet only in a cell of the grid that both touch; predictions whose target has boxes but that meet none score 0.
+    in_cells = lambda df, a: df.withColumn("cell", F.explode(geo.cells(corners(a), 40, 30)))
+    met = in_cells(p, "p").join(in_cells(g, "g"), ["n", "cell"]).groupBy("c_custkey").agg(F.max(geo.box_iou(corners("p"), corners("g"))).alias("iou"))
+    with_boxes = p.join(g.select("n").distinct(), "n", "left_semi").select("c_custkey")
+    return with_boxes.join(met, "c_custkey", "left").select("c_custkey", F.round(F.coalesce("iou", F.lit(0.0)), 6).alias("best_iou"))
 
 
 @query("""SELECT user_id, island, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island
@@ -462,14 +467,17 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]:
 _SUMS = ", ".join(f"sum(CASE WHEN {{c}} THEN embedding[{i}]::DOUBLE ELSE 0 END)" for i in range(1, 65))
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding AS v, label < 5 AS y, vec_id % 8 AS t FROM embeddings), s AS (SELECT vec_id % 8 AS t, [{_SUMS.format(c='label < 5')}] AS p, [{_SUMS.format(c='label >= 5')}] AS q, count_if(label < 5) AS np, count_if(label >= 5) AS nq FROM embeddings GROUP BY 1)
-SELECT vec_id, round(CASE WHEN y THEN ({_DOT.format(a='p', b='v')} - {_DOT.format(a='v', b='v')}) / greatest(np - 1, 1) - {_DOT.format(a='q', b='v')} / greatest(nq, 1) ELSE {_DOT.format(a='p', b='v')} / greatest(np, 1) - ({_DOT.format(a='q', b='v')} - {_DOT.format(a='v', b='v')}) / greatest(nq - 1, 1) END, 6) + 0.0 AS loo_score FROM e JOIN s USING (t)""")
+_LOO = f"""WITH e AS (SELECT vec_id, embedding AS v, label < 5 AS y, vec_id % 8 AS t FROM embeddings), s AS (SELECT vec_id % 8 AS t, [{_SUMS.format(c='label < 5')}] AS p, [{_SUMS.format(c='label >= 5')}] AS q, count_if(label < 5) AS np, count_if(label >= 5) AS nq FROM embeddings GROUP BY 1)
+SELECT vec_id, t, y, round(CASE WHEN y THEN ({_DOT.format(a='p', b='v')} - {_DOT.format(a='v', b='v')}) / greatest(np - 1, 1) - {_DOT.format(a='q', b='v')} / greatest(nq, 1) ELSE {_DOT.format(a='p', b='v')} / greatest(np, 1) - ({_DOT.format(a='q', b='v')} - {_DOT.format(a='v', b='v')}) / greatest(nq - 1, 1) END, 6) + 0.0 AS loo_score FROM e JOIN s USING (t)"""
+
+
+@query(f"SELECT vec_id, loo_score FROM ({_LOO})")
 def loo_prototype(spark, d):
     e = table(spark, d, "embeddings").withColumn("t", F.col("vec_id") % 8)
     return _six(metrics.loo_prototype_scores(e, ["t"], "embedding", F.col("label") < 5, _DIM).select("vec_id", "loo_score"), "loo_score")
 
 
-@query()
+@query(_AUROC.format(key="t", score="loo_score", pos="y", src=f"({_LOO})"))
 def loo_auroc(spark, d):
     e = table(spark, d, "embeddings").withColumn("t", F.col("vec_id") % 8)
     return _six(metrics.auroc(metrics.loo_prototype_scores(e, ["t"], "embedding", F.col("label") < 5, _DIM), ["t"], F.col("loo_score"), F.col("label") < 5), "auroc")
@@ -492,16 +500,15 @@ _MEANS = f"SELECT label, [{', '.join(f'avg(embedding[{i}]::DOUBLE)' for i in ran
 
 @query(f"SELECT vec_id, p.label AS prototype, round({_DOT.format(a='embedding', b='m')} / sqrt({_DOT.format(a='m', b='m')}), 6) + 0.0 AS similarity FROM embeddings e, ({_MEANS}) p")
 def prototype_similarity(spark, d):
-    # Ten prototypes, one a label: a bound of the labels' range.
     p = _means(spark, d).select(F.col("label").alias("prototype"), "m", F.sqrt(metrics.dot(F.col("m"), F.col("m"))).alias("norm"))
-    met = table(spark, d, "embeddings").crossJoin(F.broadcast(p))
+    met = table(spark, d, "embeddings").crossJoin(p)
     return _six(met.select("vec_id", "prototype", (metrics.dot(F.col("embedding"), F.col("m")) / F.col("norm")).alias("similarity")), "similarity")
 
 
 @query(f"SELECT vec_id, round(avg({_DOT.format(a='embedding', b='m')}) FILTER (p.label < 5) - avg({_DOT.format(a='embedding', b='m')}) FILTER (p.label >= 5), 6) + 0.0 AS margin FROM embeddings e, ({_MEANS}) p GROUP BY vec_id")
 def prompt_margin(spark, d):
     p = _means(spark, d).select(F.col("label").alias("prompt"), "m")
-    s = table(spark, d, "embeddings").crossJoin(F.broadcast(p)).select("vec_id", "prompt", metrics.dot(F.col("embedding"), F.col("m")).alias("s"))
+    s = table(spark, d, "embeddings").crossJoin(p).select("vec_id", "prompt", metrics.dot(F.col("embedding"), F.col("m")).alias("s"))
     mean = lambda c: F.avg(F.when(c, F.col("s")))
     return _six(s.groupBy("vec_id").agg((mean(F.col("prompt") < 5) - mean(F.col("prompt") >= 5)).alias("margin")), "margin")
 
