@@ -23,8 +23,9 @@ def smoothed(px: DataFrame, keys: list[str], value: str, height: int, width: int
     return raster.by_image(px, keys, value, height, width, kernel, f"y int, x int, {value} double")
 
 
-def _grown(h: np.ndarray) -> np.ndarray:
-    peaks = raster.local_peaks(h, 25 if min(h.shape) > 60 else 5, h.mean() + 0.3 * h.std())
+def grown(h: np.ndarray, apart: int) -> np.ndarray:
+    """Labels grown from the peaks that keep `apart` pixels, over the upper 45 % of a raster."""
+    peaks = raster.local_peaks(h, apart, h.mean() + 0.3 * h.std())
     return raster.watershed(h, h >= np.percentile(h, 55), peaks)
 
 
@@ -32,7 +33,7 @@ def _adaptive(h: np.ndarray, around: np.ndarray, above: float) -> np.ndarray:
     return (np.floor(np.clip(h, 0, 1) * 255) > around + above) & (h >= h.mean())
 
 
-def labelled(px: DataFrame, keys: list[str], value: str, method: str, height: int, width: int) -> DataFrame:
+def labelled(px: DataFrame, keys: list[str], value: str, method: str, height: int, width: int, apart: int = 25) -> DataFrame:
     """keys, level, region, y, x and value: the pixels of each region that the method finds, of any area."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: one of {METHODS}")
@@ -42,8 +43,8 @@ def labelled(px: DataFrame, keys: list[str], value: str, method: str, height: in
     cleaned = lambda m: raster.region_pixels(raster.components(raster.clean(m, 1, fill=not first)))
     gauss61 = lambda a: raster.gaussian(np.floor(np.clip(a, 0, 1) * 255), 9.5)
     whole = {
-        "B_localmax": lambda a: raster.region_pixels(_grown(a)),
-        "watershed": lambda a: raster.region_pixels(_grown(raster.gaussian(a, 7))),
+        "B_localmax": lambda a: raster.region_pixels(grown(a, apart)),
+        "watershed": lambda a: raster.region_pixels(grown(raster.gaussian(a, 7), apart)),
         "C_adaptive": lambda a: cleaned(_adaptive(a, raster.box_mean(np.floor(np.clip(a, 0, 1) * 255), 51), 5)),
         "adaptive": lambda a: cleaned(_adaptive(a, gauss61(a), 8)),
     }
@@ -62,12 +63,12 @@ def labelled(px: DataFrame, keys: list[str], value: str, method: str, height: in
     return found.join(heats, [*keys, "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def propose(px: DataFrame, keys: list[str], value: str, method: str, height: int, width: int, min_area: float, k: int = 6) -> tuple[DataFrame, DataFrame]:
+def propose(px: DataFrame, keys: list[str], value: str, method: str, height: int, width: int, min_area: float, k: int = 6, apart: int = 25) -> tuple[DataFrame, DataFrame]:
     """(regions, their pixels): regions of at least min_area, one a rounded centroid, with rank by confidence.
 
     D_multithresh keeps the lowest level's region of a centroid and all ranks, as A to C do; the others keep the most confident, and k of them.
     """
-    at = labelled(px, keys, value, method, height, width)
+    at = labelled(px, keys, value, method, height, width, apart)
     rows = pixels.regions(at, [*keys, "level", "region"], value).filter(F.col("area") >= min_area)
     late = method == "D_multithresh"
     if method[0].isupper() and not late:

@@ -301,7 +301,7 @@ _kernel("raster_texture", _PIXEL, _rows(lambda a: raster.texture_prior(a * 255,
 _kernel("raster_morphology", _PIXEL, _rows(lambda a: raster.shut(raster.opened(a > 0.5, 5), 9).astype(float)))
 _kernel("raster_fill", _PIXEL, _rows(lambda a: raster.filled(a > 0.5).astype(float)))
 _kernel("raster_cleanup", _PIXEL, _rows(lambda a: raster.without_speckle(a > 0.5, 0.004 * SIDE * SIDE).astype(float)))
-_kernel("raster_watershed", _PIXEL, _rows(lambda a: proposal._grown(raster.gaussian(a, 2)).astype(float)))
+_kernel("raster_watershed", _PIXEL, _rows(lambda a: proposal.grown(raster.gaussian(a, 2), 5).astype(float)))
 _kernel("boundary_f1", "f1 double", lambda a: [(round(raster.boundary_f1(a > 0.5, raster.gaussian(a, 2.0) > 0.5, 0.03), 9),)])
 _kernel("mask_score", "score double", raster.mask_score_row)
 _kernel("mask_polygons", "polygon int, points array<array<int>>", lambda a: [(i, [list(p) for p in r]) for i, r in enumerate(raster.polygons(raster.clean(a > 0.5, 9), 9))])
@@ -325,7 +325,7 @@ _LEAST = 0.004 * SIDE * SIDE
 
 def _proposed(method: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found, _ = proposal.propose(_field(spark, d), _T, "v", method, SIDE, SIDE, _LEAST)
+        found, _ = proposal.propose(_field(spark, d), _T, "v", method, SIDE, SIDE, _LEAST, apart=5)
         return _six(found.select("target", "level", "region", "rank", "area", "confidence", "x0", "y0", "x1", "y1"), "confidence")
 
     run.__name__ = f"propose_{method.lower()}"

@@ -335,8 +335,11 @@ def _gcps(spark, d):
     return table(spark, d, "lineitem").select("l_suppkey", q.alias("px"), n.alias("py"), (1000 + 2 * q - 0.5 * n + F.col("l_tax")).alias("wx"), (500 - 0.25 * q - 2 * n + F.col("l_discount")).alias("wy"))
 
 
-@query(f"""WITH g AS ({_GCP_SQL}), c AS (SELECT l_suppkey, avg(px) AS mx, avg(py) AS my, avg(wx) AS ox, avg(wy) AS oy FROM g GROUP BY l_suppkey),
-s AS (SELECT l_suppkey, sum((px - mx) * (px - mx)) AS uu, sum((px - mx) * (py - my)) AS uv, sum((py - my) * (py - my)) AS vv, sum((px - mx) * (wx - ox)) AS ux, sum((py - my) * (wx - ox)) AS vx, sum((px - mx) * (wy - oy)) AS uy, sum((py - my) * (wy - oy)) AS vy FROM g JOIN c USING (l_suppkey) GROUP BY l_suppkey)
+_GCP_SUMS = f"""WITH g AS ({_GCP_SQL}), c AS (SELECT l_suppkey, avg(px) AS mx, avg(py) AS my, avg(wx) AS ox, avg(wy) AS oy FROM g GROUP BY l_suppkey),
+s AS (SELECT l_suppkey, sum((px - mx) * (px - mx)) AS uu, sum((px - mx) * (py - my)) AS uv, sum((py - my) * (py - my)) AS vv, sum((px - mx) * (wx - ox)) AS ux, sum((py - my) * (wx - ox)) AS vx, sum((px - mx) * (wy - oy)) AS uy, sum((py - my) * (wy - oy)) AS vy FROM g JOIN c USING (l_suppkey) GROUP BY l_suppkey)"""
+
+
+@query(f"""{_GCP_SUMS}
 SELECT l_suppkey, round((ux * vv - vx * uv) / (uu * vv - uv * uv), 6) AS a, round((vx * uu - ux * uv) / (uu * vv - uv * uv), 6) AS b, round((uy * vv - vy * uv) / (uu * vv - uv * uv), 6) AS dd, round((vy * uu - uy * uv) / (uu * vv - uv * uv), 6) AS e FROM s""")
 def affine_fit(spark, d):
     fit = georef.fit_affine(_gcps(spark, d), ["l_suppkey"], "px", "py", "wx", "wy")
@@ -344,10 +347,14 @@ def affine_fit(spark, d):
     return _six(fit.select("l_suppkey", *[F.get("gt", F.lit(i)).alias(n) for i, n in at.items()]), *at.values())
 
 
-@query()
+@query(f"""{_GCP_SUMS},
+k AS (SELECT l_suppkey, (ux * vv - vx * uv) / (uu * vv - uv * uv) AS a, (vx * uu - ux * uv) / (uu * vv - uv * uv) AS b, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS p, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS q FROM s),
+r AS (SELECT l_suppkey, power(a * (px - mx) + b * (py - my) - (wx - ox), 2) + power(p * (px - mx) + q * (py - my) - (wy - oy), 2) AS f FROM g JOIN c USING (l_suppkey) JOIN k USING (l_suppkey))
+SELECT l_suppkey, round(sqrt(avg(f)), 6) AS rmse, round(sqrt(max(f)), 6) AS max_residual FROM r GROUP BY l_suppkey""")
 def affine_residuals(spark, d):
     gcps = _gcps(spark, d)
-    return georef.residuals(gcps, georef.fit_affine(gcps, ["l_suppkey"], "px", "py", "wx", "wy"), ["l_suppkey"], "px", "py", "wx", "wy")
+    out = georef.residuals(gcps, georef.fit_affine(gcps, ["l_suppkey"], "px", "py", "wx", "wy"), ["l_suppkey"], "px", "py", "wx", "wy")
+    return _six(out, "rmse", "max_residual")
 
 
 def _rings(spark, d):

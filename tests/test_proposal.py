@@ -45,7 +45,7 @@ def test_stability_is_the_naive_loop(heat):
 @pytest.mark.parametrize("method", proposal.METHODS)
 def test_methods_find_both_bumps(heat, method):
     _, df = heat
-    found, _ = proposal.propose(df, ["t"], "v", method, SIDE, SIDE, 8)
+    found, _ = proposal.propose(df, ["t"], "v", method, SIDE, SIDE, 8, apart=5)
     rows = found.filter("t = 2").collect()
     assert rows and [r.rank for r in sorted(rows, key=lambda r: -r.confidence)] == list(range(1, len(rows) + 1))
     smooth = method in ("A_threshold", "B_localmax", "C_adaptive", "D_multithresh")
