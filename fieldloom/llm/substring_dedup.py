@@ -236,7 +236,7 @@ def _several(df: DataFrame, *keys: str) -> DataFrame:
 
 def _heads(df: DataFrame, *keys: str) -> DataFrame:
     """The keys that more than one place has, and the earliest of these."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).filter("first < last").select(*keys, "first")
+    return df.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).filter("first < last").select(*keys, "first").hint("shuffle_hash")
 
 
 def _first_passes(sampled: DataFrame, part: int, docs: DataFrame, length: int, kmer: int) -> tuple[DataFrame, DataFrame]:
@@ -244,11 +244,11 @@ def _first_passes(sampled: DataFrame, part: int, docs: DataFrame, length: int, k
     own = sampled.filter(F.col("slice") == part).select(*PLACE, "kmer", "around")
     alike = stash(own.join(_several(own, "kmer"), "kmer"), "suffixes")
     classes = stash(alike.groupBy("kmer", "around").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")), "classes")
-    later = alike.join(classes.filter("first < last").select("kmer", "around", "first"), ["kmer", "around"]).filter(F.struct(*PLACE) != F.col("first"))
+    later = alike.join(classes.filter("first < last").select("kmer", "around", "first").hint("shuffle_hash"), ["kmer", "around"]).filter(F.struct(*PLACE) != F.col("first"))
     at = F.shiftright("at", 16)
     # Where the text ends is known only with the text; `remove` cuts there.
     whole = stash(later.select(*DOCUMENT, F.greatest(at - (length - kmer), F.lit(0)).alias("s"), (at + length).alias("e")), "whole")
-    several = classes.groupBy("kmer").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).filter("lo < hi").select("kmer")
+    several = classes.groupBy("kmer").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).filter("lo < hi").select("kmer").hint("shuffle_hash")
     firsts = stash(classes.join(several, "kmer", "left_semi").select("first.*", "kmer"), "firsts")
     unstash(alike)
     unstash(classes)
