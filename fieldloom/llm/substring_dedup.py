@@ -278,8 +278,7 @@ def _last_passes(contexts: DataFrame, length: int, kmer: int) -> DataFrame:
     strings = strings.filter((begin >= 0) & (begin + length <= F.octet_length("context")))
     strings = stash(strings.select("kmer", *DOCUMENT, (at - F.col("r")).alias("at"), F.xxhash64(F.substring("context", begin + 1, F.lit(length))).alias("h")), "strings")
     unstash(met)
-    same = strings.join(_several(strings, "kmer", "h"), ["kmer", "h"])
-    again_here = same.join(_heads(same, "kmer", "h"), ["kmer", "h"]).filter(F.struct(*PLACE) != F.col("first"))
+    again_here = strings.join(_heads(strings, "kmer", "h"), ["kmer", "h"]).filter(F.struct(*PLACE) != F.col("first"))
     last = stash(again_here.select(*DOCUMENT, F.col("at").alias("s"), (F.col("at") + length).alias("e")), "cuts")
     unstash(strings)
     return quarters.unionByName(last)
@@ -298,14 +297,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFra
     contexts = stash(_contexts(firsts, docs, length, kmer), "contexts")
     for part in range(SLICES):
         cuts.append(_last_passes(contexts.filter(F.pmod("kmer", F.lit(SLICES)) == part), length, kmer))
-    out = stash(reduce(DataFrame.unionByName, cuts), "cuts")
     unstash(contexts)
-    return out
+    return reduce(DataFrame.unionByName, cuts)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
     """One row for each document of docs (d, t, text) with a repeated string: d, t, kept (the remaining bytes), n_removed, n_spans."""
-    cuts = stash(repeated(docs, length, kmer).groupBy(*DOCUMENT).agg(F.collect_set(F.struct("s", "e")).alias("cuts")), "cuts")  # a document's own intervals
+    both = F.shiftleft("s", 32).bitwiseOR(F.col("e"))  # a text has fewer than 2 ** 31 bytes
+    cuts = stash(repeated(docs, length, kmer).groupBy(*DOCUMENT).agg(F.collect_set(both).alias("cuts")), "cuts")  # a document's own intervals
     hit = may_hold(docs, "t", cuts, "t").select(*DOCUMENT, "text").dropDuplicates(DOCUMENT).join(cuts, DOCUMENT).select(*DOCUMENT, "text", "cuts")
 
     def run(batches):
@@ -313,20 +312,16 @@ def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame
 
         for b in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
             out: list[list] = [[] for _ in range(5)]
-            for d, t, text, of in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            bounds, cuts = b.column(3).offsets.to_numpy(), b.column(3).flatten().to_numpy()
+            bounds = bounds - bounds[0]
+            for i, (d, t, text) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
                 raw = (text or "").encode("utf-8", "replace")
-                kept, at, spans, removed = [], 0, 0, 0
-                for s, e in sorted((x["s"], min(x["e"], len(raw))) for x in of):
-                    if s > at or spans == 0:
-                        kept.append(raw[at:s])
-                        spans += 1
-                        removed += e - s
-                        at = e
-                    elif e > at:
-                        removed += e - at
-                        at = e
-                kept.append(raw[at:])
-                for c, v in zip(out, (d, t, b"".join(kept), removed, spans), strict=True):
+                of = np.sort(cuts[bounds[i] : bounds[i + 1]])
+                s, e = of >> 32, np.maximum.accumulate(np.minimum(of & 0xFFFFFFFF, len(raw)))
+                first = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+                s, e = s[first], e[np.append(first[1:], len(e)) - 1]
+                kept = b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True))
+                for c, v in zip(out, (d, t, kept, len(raw) - len(kept), len(s)), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["d", "t", "kept", "n_removed", "n_spans"])
 
