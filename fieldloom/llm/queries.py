@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from . import decontamination, html_extraction, jaccard_join, merkle_manifest, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_pii": pii.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_merkle_manifest": merkle_manifest.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
