@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard_join, merkle_manifest, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from . import decontamination, html_extraction, jaccard_join, language_id, merkle_manifest, packing, pii, quality_classifier, quality_rules, sharding, spelling_variants, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.query,
     "op10_quality_classifier": quality_classifier.query,
     "op11_merkle_manifest": merkle_manifest.query,
+    "op12_spelling_variants": spelling_variants.query,
+    "op13_language_id": language_id.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
