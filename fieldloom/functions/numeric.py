@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def even_round(c: Column, places: int) -> Column:
@@ -11,11 +11,14 @@ def even_round(c: Column, places: int) -> Column:
 
 
 def norm01(df: DataFrame, keys: list[str], value: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """df with out: value between its group's percentiles, clipped to [0, 1]. Exact, linearly interpolated percentiles."""
-    bounds = df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("__q"))
+    """df with out: value between its group's percentiles, clipped to [0, 1]; null where value is. Exact, linearly interpolated percentiles."""
+    from ..operators.ordered import attach, percentiles
+
+    met = attach(df, percentiles(df, keys, value, [low, high], "__q"), keys, "left")
     lo, hi = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
     scaled = (F.col(value) - lo) / (hi - lo + F.lit(1e-6))
-    return df.join(bounds, keys).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("__q")
+    clipped = F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
+    return met.withColumn(out, clipped).drop("__q")
 
 
 def minmax(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -25,6 +28,8 @@ def minmax(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
 
 
 def pixel_rank(df: DataFrame, keys: list[str], value: str, ties: list[str], out: str) -> DataFrame:
-    """df with out: the row's place in its group's order, 0 to 1."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.coalesce(F.try_divide(F.row_number().over(w.orderBy(value, *ties)) - 1, F.count(F.lit(1)).over(w) - 1), F.lit(0.0)))
+    """df with out: the row's place in its group's order, 0 to 1; 0 for a row alone. Groups may have any size."""
+    from ..operators.ordered import positions
+
+    placed = positions(df, keys, [value, *ties], "__place", "__size")
+    return placed.withColumn(out, F.coalesce(F.try_divide("__place", F.col("__size") - 1), F.lit(0.0))).select(*[c for c in df.columns if c != out], out)

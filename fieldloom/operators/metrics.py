@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import even_round
+from .ordered import running
 
 
 def mask_scores(pixels: DataFrame, keys: list[str], pred: Column, pos: Column, neg: Column) -> DataFrame:
@@ -29,11 +30,11 @@ def mask_scores(pixels: DataFrame, keys: list[str], pred: Column, pos: Column, n
 def auroc(df: DataFrame, keys: list[str], score: Column, positive: Column) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null with one class.
 
-    Rows are counted by score first, so the window runs over distinct scores, not rows.
+    Rows are counted by score first, and the counts of lower scores are running totals of small blocks, so groups may have any size.
     """
     by = df.groupBy(*keys, score.alias("__s")).agg(F.count_if(positive).cast("double").alias("__p"), F.count_if(~positive).cast("double").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = by.withColumn("__w", F.col("__p") * (below + F.col("__n") / 2))
+    below = running(by, keys, ["__s"], "__n", "__below")
+    won = below.withColumn("__w", F.col("__p") * (F.col("__below") + F.col("__n") / 2))
     return won.groupBy(*keys).agg(F.try_divide(F.sum("__w"), F.sum("__p") * F.sum("__n")).alias("auroc"))
 
 
@@ -50,10 +51,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def unit(a: Column) -> Column:
-    return F.transform(a, lambda v: v.cast("double") / F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12)))
-
-
 def class_sums(df: DataFrame, keys: list[str], vector: str, positive: Column, width: int) -> DataFrame:
     """Per group: element sums and counts of positive and other vectors (pos, neg: arrays; n_pos, n_neg)."""
     element = lambda i, c: F.sum(F.when(c, F.get(F.col(vector), F.lit(i)).cast("double")).otherwise(0.0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordered import percentiles
+
 
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Hue in 0..179, saturation and value in 0..255, of colours in 0..255; hue of grey is 0."""
@@ -86,7 +88,7 @@ def above_sigma(px: DataFrame, keys: list[str], value: str, k: float) -> DataFra
 
 def above_percentiles(px: DataFrame, keys: list[str], value: str, levels: list[int]) -> DataFrame:
     """keys, y, x, value, level: each pixel once for every percentile of its image that it reaches."""
-    q = px.groupBy(*keys).agg(F.percentile(value, [p / 100 for p in levels]).alias("__q"))
+    q = percentiles(px, keys, value, [p / 100 for p in levels], "__q")
     pairs = F.zip_with(F.array(*[F.lit(p) for p in levels]), "__q", lambda p, t: F.struct(p.alias("level"), F.round(t, 9).alias("limit")))
     met = px.join(q, keys).withColumn("__z", F.explode(F.filter(pairs, lambda z: F.col(value) >= z["limit"])))
     return met.select(*keys, "y", "x", value, F.col("__z.level").alias("level"))

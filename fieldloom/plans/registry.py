@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as geo, numeric as num, text as txt
-from ..operators import catalog, fusion, georef, metrics, models, select
+from ..operators import catalog, fusion, georef, metrics, models, ordered, select
 from ..sources import sinks
 from ..sources.readers import table
 
@@ -157,11 +157,16 @@ _PCT = [55, 65, 75, 85]
 _STABLE = [55, 62, 70, 78, 86]
 
 
+def _limits(events: DataFrame, percents: list[int]) -> DataFrame:
+    q = ordered.percentiles(events, ["event_type"], "value", [p / 100 for p in percents])
+    return q.select("event_type", *[F.get("q", F.lit(i)).alias(f"q{p}") for i, p in enumerate(percents)])
+
+
 @query(f"""WITH q AS (SELECT event_type, {', '.join(f'quantile_cont(value, {p / 100}) AS q{p}' for p in _PCT)} FROM {_EVENT_VALUES} GROUP BY event_type)
 SELECT event_type, {', '.join(f'count_if(value >= q{p}) AS n{p}' for p in _PCT)} FROM {_EVENT_VALUES} JOIN q USING (event_type) GROUP BY event_type""")
 def multi_percentile(spark, d):
     e = _events(spark, d)
-    q = e.groupBy("event_type").agg(*[F.percentile("value", p / 100).alias(f"q{p}") for p in _PCT])
+    q = _limits(e, _PCT)
     return e.join(q, "event_type").groupBy("event_type").agg(*[F.count_if(F.col("value") >= F.col(f"q{p}")).alias(f"n{p}") for p in _PCT])
 
 
@@ -169,7 +174,7 @@ def multi_percentile(spark, d):
 SELECT event_id, ({' + '.join(f'(value >= q{p})::INT' for p in _STABLE)})::INT AS votes FROM {_EVENT_VALUES} JOIN q USING (event_type) WHERE {' + '.join(f'(value >= q{p})::INT' for p in _STABLE)} >= 3""")
 def stability_count(spark, d):
     e = _events(spark, d)
-    q = e.groupBy("event_type").agg(*[F.percentile("value", p / 100).alias(f"q{p}") for p in _STABLE])
+    q = _limits(e, _STABLE)
     votes = sum((F.col("value") >= F.col(f"q{p}")).cast("int") for p in _STABLE)
     return e.join(q, "event_type").select("event_id", votes.alias("votes")).filter("votes >= 3")
 
