@@ -28,6 +28,7 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
 PER_LANGUAGE, SAMPLE, WINDOWS_EACH = 384, 4096, 6
+SALTS = 32
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows that are scored at once.
 BLOCK = 512
@@ -154,8 +155,11 @@ def sampled_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: i
     """(language, window) of the documents that teach. docs needs doc_id, text and lang."""
     teach = docs.filter(~is_held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").distinct()
     h = F.xxhash64("doc_id")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    ids = teach.withColumn("nth", nth).filter(F.col("nth") <= per_language).orderBy("nth", h, "doc_id", "lang").limit(sample).drop("nth")
+    # The first ones of each of SALTS parts of a language first, so that no task orders all documents of a frequent one.
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(h, "doc_id"))
+    parts = teach.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    few = parts.withColumn("nth", nth("lang", "part")).filter(F.col("nth") <= per_language)
+    ids = few.withColumn("nth", nth("lang")).filter(F.col("nth") <= per_language).drop("part").orderBy("nth", h, "doc_id", "lang").limit(sample).drop("nth")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def cut(batches):
