@@ -21,6 +21,22 @@ def norm01(df: DataFrame, keys: list[str], value: str, out: str, low: float = 0.
     return met.withColumn(out, clipped).drop("__q")
 
 
+def norm01_maps(df: DataFrame, keys: list[str], values: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """df with each of the values between its group's percentiles, as norm01 does, from one search for all of them."""
+    from ..operators.ordered import attach, percentiles
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("__map"), F.col(c).cast("double").alias("__v")) for c in values]))
+    long = df.select(*keys, pairs.alias("p")).select(*keys, "p.*")
+    bounds = percentiles(long, [*keys, "__map"], "__v", [low, high], "__q").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__map", "__q"))).alias("__at"))
+
+    def scaled(c: str) -> Column:
+        q = F.element_at("__at", F.lit(c))
+        v = (F.col(c) - F.get(q, F.lit(0))) / (F.get(q, F.lit(1)) - F.get(q, F.lit(0)) + F.lit(1e-6))
+        return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+
+    return attach(df, bounds, keys, "left").withColumns({c: scaled(c) for c in values}).drop("__at")
+
+
 def minmax(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """df with out: value between its group's extremes; 0 where they are equal."""
     bounds = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The rules' names, and the constants in `fuse`.
 RULES = ("weighted_avg", "geometric_mean", "rank_avg", "min", "max", "gate")
 
 
@@ -26,6 +27,21 @@ def fuse(rule: str, maps: list[Column], weights: list[float] | None = None) -> C
     raise ValueError(f"unknown rule {rule!r}: one of {RULES}")
 
 
+def fused_map(px: DataFrame, keys: list[str], maps: list[str], rule: str, height: int, width: int, weights: list[float] | None = None, smooth: float = 3.0, out: str = "v") -> DataFrame:
+    """keys, y, x, out: maps of a dense pixel table, each between its 1st and 99th percentile, fused, smoothed by a Gaussian and brought to [0, 1] again."""
+    from ..functions import numeric
+    from ..sources.scratch import cut
+    from . import stencils
+
+    scaled = numeric.norm01_maps(px.select(*keys, "y", "x", *maps), keys, maps)
+    if rule == "rank_avg":
+        for m in maps:
+            scaled = numeric.pixel_rank(scaled.withColumn(m, F.round(m, 9)), keys, m, ["y", "x"], m)
+    fused = scaled.select(*keys, "y", "x", fuse(rule, [F.col(m) for m in maps], weights).alias(out))
+    smoothed = cut(stencils.gaussian(fused, keys, [out], smooth, height, width), "fused") if smooth else fused
+    return numeric.norm01(smoothed, keys, out, out)
+
+
 def tiles(df: DataFrame, width: Column, height: Column, size: int, overlap: float) -> DataFrame:
     """df exploded to tile origins tx, ty; the last tile of each axis is clamped to the edge."""
     step = max(1, round(size * (1 - overlap)))

@@ -37,10 +37,10 @@ def sweep(df: DataFrame, keys: list[str], value: str, thresholds: list[float]) -
     return counts.select(*keys, F.explode("z").alias("z")).select(*keys, "z.threshold", "z.n")
 
 
-def latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """An upsert: new rows replace old ones of the same keys."""
+def latest(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """An upsert: new rows replace old ones of the same keys. Of rows of one age the first in `order` stays, then that whose columns, as JSON, come first."""
     both = old.withColumn("__age", F.lit(1)).unionByName(new.withColumn("__age", F.lit(0)))
-    return first_by(both, keys, F.col("__age")).drop("__age")
+    return first_by(both, keys, F.col("__age"), *order, F.to_json(F.struct(*old.columns))).drop("__age")
 
 
 def spaced_points(df: DataFrame, keys: list[str], y: str, x: str, score: str, k: int, distance: float | str, pool: int | None = 200) -> DataFrame:

@@ -159,7 +159,7 @@ def ensemble_maps(spark, d):
 
 # --- joins and tables -------------------------------------------------------------------------------------------------
 
-# Classes of annotation colours, and those that need review.
+# Classes of annotation colours.
 CLASS_OF_COLOR = {"yellow": "cultivated_area", "red": "cultivated_area", "black": "hard_negative"}
 
 
@@ -290,20 +290,11 @@ def _kernel(name: str, schema: str, kernel, value: str = "v") -> None:
 
 _PIXEL = "y int, x int, v double"
 _rows = raster.as_pixels
-_SIGMA = max(4, int(0.12 * SIDE))
-_kernel("raster_smooth", _PIXEL, _rows(lambda a: raster.gaussian(a, 3.0)))
-_kernel("raster_local_contrast", _PIXEL, _rows(lambda a: raster.norm01(a - raster.gaussian(a, _SIGMA))))
-_kernel("raster_coherence", _PIXEL, _rows(lambda a: raster.coherence(a, 6.0)))
 _kernel("raster_gabor", _PIXEL, _rows(raster.gabor))
 _kernel("raster_entropy", _PIXEL, _rows(lambda a: raster.entropy(a * 255, 9, 256)))
 _kernel("raster_periodicity", _PIXEL, _rows(lambda a: raster.blended(a * 255, 16, raster.periodicity)))
 _kernel("raster_texture", _PIXEL, _rows(lambda a: raster.texture_prior(a * 255, 32)))
-_kernel("raster_morphology", _PIXEL, _rows(lambda a: raster.shut(raster.opened(a > 0.5, 5), 9).astype(float)))
-_kernel("raster_fill", _PIXEL, _rows(lambda a: raster.filled(a > 0.5).astype(float)))
-_kernel("raster_cleanup", _PIXEL, _rows(lambda a: raster.without_speckle(a > 0.5, 0.004 * SIDE * SIDE).astype(float)))
 _kernel("raster_watershed", _PIXEL, _rows(lambda a: proposal.grown(raster.gaussian(a, 2), 5).astype(float)))
-_kernel("boundary_f1", "f1 double", lambda a: [(round(raster.boundary_f1(a > 0.5, raster.gaussian(a, 2.0) > 0.5, 0.03), 9),)])
-_kernel("mask_score", "score double", raster.mask_score_row)
 _kernel("mask_polygons", "polygon int, points array<array<int>>", lambda a: [(i, [list(p) for p in r]) for i, r in enumerate(raster.polygons(raster.clean(a > 0.5, 9), 9))])
 
 
@@ -336,13 +327,6 @@ for _method in proposal.METHODS:
     _proposed(_method)
 
 
-@query()
-def region_boxes(spark, d):
-    """Boxes and areas of the components above mean + one deviation."""
-    at = proposal.labelled(_field(spark, d), _T, "v", "A_threshold", SIDE, SIDE)
-    return _six(pixels.regions(at, ["target", "region"], "v").select("target", "region", "area", "y0", "x0", "y1", "x1", "confidence").filter("area > 100"), "confidence")
-
-
 def _prompted(spark, d):
     field = _field(spark, d)
     _, at = proposal.propose(field, _T, "v", "stability", SIDE, SIDE, _LEAST)

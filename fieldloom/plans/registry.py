@@ -542,4 +542,4 @@ def model_scores(spark, d):
     return table(spark, d, "embeddings").select("vec_id", score(F.array(*[F.get("embedding", F.lit(i)) for i in range(_DIM)])).alias("stand_in_score"))
 
 
-from . import imagery  # noqa: E402, F401  (registers its queries)
+from . import imagery, rasters  # noqa: E402, F401  (register their queries)

@@ -30,5 +30,5 @@ def record(df: DataFrame, path: str) -> None:
 
 
 def upsert(df: DataFrame, old: DataFrame, keys: list[str], path: str) -> None:
-    """Writes old with df's rows in place of those of the same keys; to another path than old's."""
+    """Writes old with df's rows in place of those of the same keys; to another path than old's. For a store that is always whole see store.py."""
     latest(old, df, keys).write.mode("overwrite").parquet(path)
