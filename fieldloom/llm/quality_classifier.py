@@ -66,7 +66,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
     """Term weights and labels of at most `sample` labelled documents, chosen by a hash of their ids."""
     ids = labels.filter(~is_held_out("doc_id") & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    known = docs.join(F.broadcast(ids), "doc_id").select("y", "text")  # bounded by `sample`
+    known = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")  # at most `sample` rows
 
     def weigh(batches):
         import pyarrow as pa
@@ -75,7 +75,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
             rows = [term_weights(t).astype("<f4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["y", "x"])
 
-    rows = sorted((r["x"], r["y"]) for r in known.mapInArrow(weigh, "y double, x binary").limit(2 * sample).collect())
+    rows = sorted((r["x"], r["y"]) for r in known.mapInArrow(weigh, "y double, x binary").collect())
     if not rows:
         return np.zeros((0, TERMS + STEPS), np.float32), np.zeros(0, np.float32)
     return np.stack([np.frombuffer(x, "<f4") for x, _ in rows]), np.array([y for _, y in rows], np.float32)
@@ -114,9 +114,10 @@ class Voters:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """docs with score: 0 to 1, higher where label 1 is likelier. docs needs doc_id and text."""
+    """docs with score: 0 to 1, higher where label 1 is likelier, in place of a column of that name. docs needs doc_id and text."""
     voters = Voters(*labelled_sample(docs.select("doc_id", "text"), labels, label, sample))
     sent = docs.sparkSession.sparkContext.broadcast(voters)
+    docs = docs.drop("score")
     schema = docs.withColumn("score", F.lit(0.0)).schema
     names = docs.columns
 

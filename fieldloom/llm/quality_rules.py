@@ -47,7 +47,7 @@ RULES = (
 
 
 def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the exact base counts of each text (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and n_lines, n_stop, n_upper."""
+    """df with the exact base counts of each text (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and n_lines, n_stop, n_upper, in place of df's columns of those names."""
     whole = F.coalesce(F.col(text), F.lit(""))
     words, windows, ordered, lines = (F.col(c) for c in ("__words", "__windows", "__ordered", "__lines"))
     n = F.size(words)
@@ -79,7 +79,7 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
         "n_stop": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
         "n_upper": F.regexp_count(whole, F.lit("[A-Z]{2}")),
     }
-    return out.select(*[F.col(c) for c in df.columns], *[v.cast("long").alias(k) for k, v in counts.items()])
+    return out.select(*[F.col(c) for c in df.columns if c not in counts], *[v.cast("long").alias(k) for k, v in counts.items()])
 
 
 def metrics() -> dict[str, Column]:

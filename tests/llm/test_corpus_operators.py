@@ -201,6 +201,76 @@ def test_html():
     assert text("<style>p{}</style><script>'</p>'</script><!-- c --><p>k") == "k"
 
 
+def test_html_names_attributes_and_drawings():
+    text = lambda h: html_extraction.main_text(h, set())
+    kept = "<h2 id='related-work'>Related work</h2><section class='share-prices'>Prices</section><p title='the hidden gem'>Gem</p><p data-tip='role = alert'>Tip <span data-id=menu>word</span></p>"
+    assert text(f"<article>{kept}</article>") == "Related work\nPrices\nGem\nTip word"
+    assert text("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><title>t</title><desc>d</desc><text>b</text></svg></article>") == "a x=1 b"
+    dropped = "<div class='social-share'>s</div><div id=cookieBanner>c</div><div class='card ad-slot-2'>a</div><p hidden>h</p><p aria-hidden='true'>i</p><p style='display: none'>n</p><div role=navigation>r</div>"
+    assert text(f"<article>{dropped}<p>kept</p></article>") == "kept"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div></p>" * 100_000, "<a " * 300_000, '<a "' * 200_000, "<!" * 400_000, "<button>" * 100_000 + "</button>", "<p>" + "<span>" * 80_000 + "<b></b>" * 80_000, "<ul><li>" * 60_000, "<table><tr><td>" * 60_000, "<article><p>" + "word &amp; " * 500_000])
+def test_long_broken_pages_are_read_in_one_pass(page):
+    import time
+
+    began = time.perf_counter()
+    html_extraction.blocks(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_style_tree_of_a_small_host(spark):
+    """What two pages share proves little; what three share is cut."""
+    pages = lambda n: spark.createDataFrame([(i, f"http://h{n}/{i}", f"<body><div class=top>Our shop</div><div class=txt>story {i}</div></body>") for i in range(n)], "page_id long, url string, html string")
+    assert [r.text for r in html_extraction.extract(pages(2)).orderBy("page_id").collect()] == ["Our shop\nstory 0", "Our shop\nstory 1"]
+    assert [r.text for r in html_extraction.extract(pages(3)).orderBy("page_id").collect()] == ["story 0", "story 1", "story 2"]
+
+
+def test_style_tree_by_brute_force(spark):
+    """Importance of every node of a host's tree, counted in plain Python."""
+    import math
+
+    page = lambda i: f"<body><div class=top>Menu {i % 2}</div><div class=side>{'<p>x' * (1 + i % 3)}</div><div class=txt>story {i}</div></body>"
+    rows = [("h", page(i)) for i in range(9)]
+    got = {(r["path"]): (r["pages"], r["importance"]) for r in html_extraction.style_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
+    nodes = {}
+    for _, h in rows:
+        mine = {}
+        for text, path, _, _ in html_extraction.blocks(h):
+            mine.setdefault(path, []).append(text)
+        for path, texts in mine.items():
+            nodes.setdefault(path, []).append(("\n".join(texts), len(texts)))
+    assert len(got) == len(nodes)
+    for path, seen in nodes.items():
+        n, most = len(seen), math.log(len(seen) + html_extraction.SMOOTH)
+        count = lambda k, v: sum(s[k] == v for s in seen)
+        # A content counts once in the mean, a presentation by its pages.
+        contents = {s[0] for s in seen}
+        recurring = sum(math.log(count(0, c)) for c in contents) / len(contents)
+        entropy = -sum(count(1, v) / n * math.log(count(1, v) / n) for v in {s[1] for s in seen})
+        pages, importance = got[html_extraction._signed(path)]
+        assert pages == n and abs(importance - (0.9 * (1 - recurring / most) + 0.1 * entropy / most)) < 1e-9
+
+
+def test_clashing_columns(spark, folder):
+    """Public functions on tables with columns of the names that they add."""
+    rows = [(1, "Call +44 20 7946 0958 or mail a.b@c.de", "mine", 5, 0.1), (2, None, "mine", 6, 0.2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, n_words long, score double").withColumns({"kept": F.lit("k"), "spans": F.lit("s"), "n_email": F.lit(9)})
+    ruled = quality_rules.apply_rules(docs).orderBy("doc_id").collect()
+    assert [r["n_words"] for r in ruled] == [8, 0] and [r["kept"] for r in ruled] == [False, False] and ruled[0]["base"] == "mine"
+    found = pii.find(docs, None).orderBy("doc_id").collect()
+    assert [r["n_email"] for r in found] == [1, 0] and len(found[0]["base"]) == 2 and found[0]["score"] == 0.1
+    redacted = pii.redact(docs, None).orderBy("doc_id")
+    assert redacted.columns == docs.columns
+    assert redacted.first()["text"] == "Call <phone> or mail <email>" and redacted.first()["base"] == "mine" and redacted.first()["spans"] == "s"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    teach = spark.createDataFrame([(i, "good text of words" if i % 2 else "#### 1234 ####", "mine", i, 0.5) for i in range(40)], "doc_id long, text string, base string, n_words long, score double")
+    scored = quality_classifier.score_documents(teach.unionByName(teach), labels)
+    assert scored.count() == 80 and scored.filter("score BETWEEN 0 AND 1").count() == 80 and scored.columns.count("score") == 1
+    again = quality_classifier.score_documents(teach.unionByName(teach), labels)
+    assert again.exceptAll(scored).count() == 0
+
+
 def test_style_tree(spark):
     pages = [("h", f"<body><div class=top>Our shop, since 1990</div><div class=txt><p>story {i} {i * i}</p></div></body>") for i in range(12)]
     df = spark.createDataFrame([(i, f"http://{h}/{i}", t) for i, (h, t) in enumerate(pages)], "page_id long, url string, html string")
