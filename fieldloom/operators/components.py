@@ -58,6 +58,12 @@ def links(table: DataFrame, keys: list[str], diagonal: bool = True) -> DataFrame
     return upper.join(lower, [*keys, "y", "block"]).filter(touch).select(*keys, "a", "b").distinct()
 
 
+def _stars(edges: DataFrame, keys: list[str]) -> bool:
+    """Whether every node points at one node at most, and at none that points on."""
+    ends = edges.select(*keys, "u", F.lit(1).alias("out")).unionByName(edges.select(*keys, F.col("v").alias("u")).distinct().withColumn("out", F.lit(0)))
+    return ends.groupBy(*keys, "u").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n")).filter("out > 1 OR (out = 1 AND n > 1)").isEmpty()
+
+
 def contract(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, node, region: the smallest node that each node of keys, a, b reaches; nodes without a pair are left out.
 
@@ -65,20 +71,15 @@ def contract(pairs: DataFrame, keys: list[str]) -> DataFrame:
     are minima, joined back to the pairs, so a node with very many neighbours burdens no single task.
     """
     edges = cut(pairs.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    seen = None
-    while True:
+    while not _stars(edges, keys):
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.min(F.least("u", "v")).alias("m"))
         larger = both.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = larger.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(smaller.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).filter("u > v").distinct(), "pairs")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         drop(edges)
         edges = after
-        if state == seen:
-            break
-        seen = state
     heads = edges.select(*keys, F.col("v").alias("node")).distinct().withColumn("region", F.col("node"))
     return edges.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("region")).unionByName(heads)
 

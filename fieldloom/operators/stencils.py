@@ -105,6 +105,42 @@ def median(px: DataFrame, keys: list[str], value: str, size: int, height: int, w
     return box.select(*keys, "y", "x", F.get(F.array_sort(F.flatten("__box")), F.lit(size * size // 2)).alias(value))
 
 
+def neighbours(px: DataFrame, keys: list[str], value: str, offsets: DataFrame, ry: int, rx: int, height: int, width: int, border: str | None, tile: int = 0) -> DataFrame:
+    """keys, ty, tx, y, x, value and the columns of offsets (dy, dx and others; as many rows as a stencil has places): a row for each place of the stencil around each pixel.
+
+    Rows are made within a tile's partition, so that aggregates by keys, ty, tx, y and x need no shuffle. Without a
+    border places outside the image are left out.
+    """
+    tile = tile or TILE
+    near = with_halo(px, keys, [value], ry, rx, height, width, border or "nearest", tile)
+    if border is None:
+        near = near.filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    spread = near.withColumn("dy", F.explode(F.sequence(F.lit(-ry), F.lit(ry)))).withColumn("dx", F.explode(F.sequence(F.lit(-rx), F.lit(rx))))
+    spread = spread.withColumns({"y": F.col("y") - F.col("dy"), "x": F.col("x") - F.col("dx")}).filter(_inside("y", height, tile) & _inside("x", width, tile))
+    return spread.join(F.broadcast(offsets), ["dy", "dx"])  # a stencil: a bound that no data changes
+
+
+def weighted(px: DataFrame, keys: list[str], value: str, kernels: dict[str, list[list[float]]], height: int, width: int, border: str = "mirror", tile: int = 0) -> DataFrame:
+    """keys, y, x and a column for each kernel (square, of one odd size, not separable): the sum of its weights times the pixels around."""
+    r = len(next(iter(kernels.values()))) // 2
+    rows = [(dy, dx, *[float(k[dy + r][dx + r]) for k in kernels.values()]) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    offsets = px.sparkSession.createDataFrame(rows, ", ".join(["dy int", "dx int", *[f"`w_{n}` double" for n in kernels]]))
+    near = neighbours(px, keys, value, offsets, r, r, height, width, border, tile)
+    return near.groupBy(*keys, "ty", "tx", "y", "x").agg(*[F.sum(F.col(value) * F.col(f"w_{n}")).alias(n) for n in kernels]).drop("ty", "tx")
+
+
+def entropy(px: DataFrame, keys: list[str], level: str, radius: int, height: int, width: int, out: str = "entropy", tile: int = 0) -> DataFrame:
+    """keys, y, x, out: the bits of the levels' distribution over the disk around each pixel, as far as it is inside the image."""
+    rows = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+    disk = px.sparkSession.createDataFrame(rows, "dy int, dx int")
+    near = neighbours(px, keys, level, disk, radius, radius, height, width, None, tile)
+    at = [*keys, "ty", "tx", "y", "x"]
+    counts = near.groupBy(*at, level).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.sum("__n")
+    bits = F.log2(n) - F.sum(F.col("__n") * F.log2("__n")) / n
+    return counts.groupBy(*at).agg(bits.alias(out)).drop("ty", "tx")
+
+
 def local_contrast(px: DataFrame, keys: list[str], value: str, height: int, width: int, share: float = 0.12) -> DataFrame:
     """px with value less its surroundings (a Gaussian of a share of the shorter side, 4 pixels at least), between its 1st and 99th percentile."""
     from ..functions.numeric import norm01

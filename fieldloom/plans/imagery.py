@@ -290,10 +290,6 @@ def _kernel(name: str, schema: str, kernel, value: str = "v") -> None:
 
 _PIXEL = "y int, x int, v double"
 _rows = raster.as_pixels
-_kernel("raster_gabor", _PIXEL, _rows(raster.gabor))
-_kernel("raster_entropy", _PIXEL, _rows(lambda a: raster.entropy(a * 255, 9, 256)))
-_kernel("raster_periodicity", _PIXEL, _rows(lambda a: raster.blended(a * 255, 16, raster.periodicity)))
-_kernel("raster_texture", _PIXEL, _rows(lambda a: raster.texture_prior(a * 255, 32)))
 _kernel("raster_watershed", _PIXEL, _rows(lambda a: proposal.grown(raster.gaussian(a, 2), 5).astype(float)))
 _kernel("mask_polygons", "polygon int, points array<array<int>>", lambda a: [(i, [list(p) for p in r]) for i, r in enumerate(raster.polygons(raster.clean(a > 0.5, 9), 9))])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import numeric as num
-from ..operators import bitmaps, components, fusion, georef, morphology, shapes, stencils
+from ..operators import bitmaps, components, fusion, georef, morphology, shapes, stencils, textures
 from ..operators.select import first_by
 from ..sources.scratch import cut
 from .imagery import _FIELD, _T, SIDE, _field
@@ -163,6 +163,72 @@ def box_totals(spark, d):
     return _six(stencils.box_totals(boxes, stencils.integral(_dense(spark, d, "v"), _T, "v"), _T, ["box", "x0", "y0", "x1", "y1"]).withColumn("total", F.col("total").cast("double")), "total")
 
 
+# --- texture ----------------------------------------------------------------------------------------------------------
+
+
+def _entropy_sql(name: str, src: str, radius: int) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT t, y, x, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS v FROM (SELECT g.t, g.yy AS y, g.xx AS x, g.v AS level, count(*)::DOUBLE AS n
+FROM (SELECT t, y + dy AS yy, x + dx AS xx, v FROM {src}, range({-radius}, {radius + 1}) a(dy), range({-radius}, {radius + 1}) b(dx) WHERE dy * dy + dx * dx <= {radius * radius}) g WHERE yy BETWEEN 0 AND {SIDE - 1} AND xx BETWEEN 0 AND {SIDE - 1} GROUP BY ALL) GROUP BY t, y, x)"""
+
+
+def _waves_sql(name: str, src: str) -> str:
+    r = textures.SIZE // 2
+    bank = [(f, j) for f in textures.FREQUENCIES for j in range(textures.DIRECTIONS)]
+    turn = lambda j: (f"cos(pi() * {j} / {textures.DIRECTIONS})", f"sin(pi() * {j} / {textures.DIRECTIONS})")
+    one = lambda f, j: "exp(-(power(dx * {c} + dy * {s}, 2) + power({a} * (dy * {c} - dx * {s}), 2)) / {d}) * cos(2 * pi() * {f} * (dx * {c} + dy * {s}))".format(c=turn(j)[0], s=turn(j)[1], a=textures.ASPECT, d=2 * textures.DEVIATION**2, f=f)
+    raw = ", ".join(f"{one(f, j)} AS r{i}" for i, (f, j) in enumerate(bank))
+    centred = ", ".join(f"r{i} - avg(r{i}) OVER () AS k{i}" for i in range(len(bank)))
+    sums = ", ".join(f"abs(sum(s.v * k{i}))" for i in range(len(bank)))
+    return f"""{name}_k AS MATERIALIZED (SELECT dy, dx, {centred} FROM (SELECT dy, dx, {raw} FROM range({-r}, {r + 1}) a(dy), range({-r}, {r + 1}) b(dx))),
+{name} AS MATERIALIZED (SELECT g.t, g.y, g.x, greatest({sums}) AS v FROM (SELECT t, y, x, {name}_k.*, {_at('y + dy', 'mirror')} AS yy, {_at('x + dx', 'mirror')} AS xx FROM {src}, {name}_k) g JOIN {src} s ON s.t = g.t AND s.y = g.yy AND s.x = g.xx GROUP BY g.t, g.y, g.x)"""
+
+
+def _periods_sql(name: str, src: str, size: int) -> str:
+    starts = sorted({*range(0, SIDE - size + 1, size // 2), SIDE - size})
+    at = f"(SELECT unnest({starts}) AS {{c}})"
+    hann = lambda d: f"(0.5 - 0.5 * cos(2 * pi() * {d} / {size - 1}))"
+    low = f"least(u, {size} - u) <= {textures.LOW_WAVES} AND least(w, {size} - w) <= {textures.LOW_WAVES}"
+    return f"""{name}_p AS MATERIALIZED (SELECT t, ty, tx, y - ty AS dy, x - tx AS dx, (v - avg(v) OVER (PARTITION BY t, ty, tx)) * {hann('(y - ty)')} * {hann('(x - tx)')} AS z FROM {src}, {at.format(c='ty')}, {at.format(c='tx')} WHERE y BETWEEN ty AND ty + {size - 1} AND x BETWEEN tx AND tx + {size - 1}),
+{name}_r AS MATERIALIZED (SELECT t, ty, tx, dy, u, sum(z * cos(2 * pi() * u * dx / {size})) AS re, -sum(z * sin(2 * pi() * u * dx / {size})) AS im FROM {name}_p, range(0, {size}) f(u) GROUP BY ALL),
+{name}_f AS MATERIALIZED (SELECT t, ty, tx, u, w, CASE WHEN {low} THEN 0 ELSE sqrt(power(sum(re * cos(2 * pi() * w * dy / {size}) + im * sin(2 * pi() * w * dy / {size})), 2) + power(sum(im * cos(2 * pi() * w * dy / {size}) - re * sin(2 * pi() * w * dy / {size})), 2)) END AS a FROM {name}_r, range(0, {size}) f(w) GROUP BY t, ty, tx, u, w),
+{name}_t AS (SELECT t, ty, tx, max(a) / (avg(a) + 1e-6) AS period FROM {name}_f GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT t, (ty + dy)::INT AS y, (tx + dx)::INT AS x, sum(period * greatest(1e-3, {hann('dy')} * {hann('dx')})) / greatest(sum(greatest(1e-3, {hann('dy')} * {hann('dx')})), 1e-6) AS v FROM {name}_t, range(0, {size}) a(dy), range(0, {size}) b(dx) GROUP BY ALL)"""
+
+
+_GREY255 = "q AS MATERIALIZED (SELECT t, y, x, v * 255 AS v FROM d), l AS MATERIALIZED (SELECT t, y, x, floor(v * 255)::INT AS v FROM d)"
+
+
+@query(_with(_V, _waves_sql("g", "s")) + _OUT + "g")
+def raster_gabor(spark, d):
+    return _six(textures.wave_energy(_dense(spark, d, "v"), _T, "v", SIDE, SIDE), "v")
+
+
+@query(_with(_GREY255, _entropy_sql("e", "l", textures.DISK)) + _OUT + "e")
+def raster_entropy(spark, d):
+    px = _dense(spark, d, "v").withColumn("level", F.floor(F.col("v") * 255).cast("int"))
+    return _six(stencils.entropy(px, _T, "level", textures.DISK, SIDE, SIDE, "v"), "v")
+
+
+@query(_with(_GREY255, _periods_sql("p", "q", 16)) + _OUT + "p")
+def raster_periodicity(spark, d):
+    px = _dense(spark, d, "v").withColumn("v", F.col("v") * 255)
+    return _six(fusion.blend(textures.periodicity(px, _T, "v", 16, SIDE, SIDE), _T, "period", 16), "v")
+
+
+_PRIOR = [_V, _GREY255, *_SOBEL, *_PRODUCTS, *[_gaussian_sql(f"j{n}", f"p{n}", 6.0) for n in ("xx", "yy", "xy")],
+          "a0 AS MATERIALIZED (SELECT t, y, x, greatest(0, least(1, sqrt((a.v - b.v) * (a.v - b.v) + 4 * c.v * c.v) / (a.v + b.v + 1e-6))) AS v FROM jxx a JOIN jyy b USING (t, y, x) JOIN jxy c USING (t, y, x))",
+          _waves_sql("b0", "s"), _periods_sql("c0", "q", 32), _entropy_sql("d0", "l", textures.DISK), "q2 AS MATERIALIZED (SELECT t, y, x, v * v AS v FROM q)", _gaussian_sql("m1", "q", textures.SPREAD), _gaussian_sql("m2", "q2", textures.SPREAD),
+          "e0 AS MATERIALIZED (SELECT t, y, x, m2.v - m1.v * m1.v AS v FROM m1 JOIN m2 USING (t, y, x))", *[_norm_sql(f"{n}1", f"{n}0") for n in "abcde"],
+          "core AS MATERIALIZED (SELECT t, y, x, a.v * (0.5 + 0.5 * b.v) * (0.5 + 0.5 * c.v) * (1 - 0.35 * k.v) * (0.3 + 0.7 * e.v) AS v FROM a1 a JOIN b1 b USING (t, y, x) JOIN c1 c USING (t, y, x) JOIN d1 k USING (t, y, x) JOIN e1 e USING (t, y, x))",
+          _gaussian_sql("h", "core", textures.LAST), _norm_sql("n", "h")]
+
+
+@query(_with(*_PRIOR) + "SELECT t AS target, y, x, round(v, 5) + 0.0 AS v FROM n")
+def raster_texture(spark, d):
+    px = _dense(spark, d, "v").withColumn("v", F.col("v") * 255)
+    return textures.row_prior(px, _T, "v", SIDE, SIDE, 32).withColumn("v", F.round("v", 5) + F.lit(0.0))
+
+
 # --- fusion -----------------------------------------------------------------------------------------------------------
 
 _SOURCES = [f"{n}0 AS MATERIALIZED (SELECT t, y, x, {e} AS v FROM d)" for n, e in (("a", "v"), ("b", "w"), ("c", "round(v * (1 - w), 9)"))]

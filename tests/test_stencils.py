@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import components as C, morphology as M, stencils as S
+from fieldloom.operators import components as C, morphology as M, stencils as S, textures as T
 
 KEYS, H, W = ["image"], 21, 34
 RNG = np.random.default_rng(4)
@@ -157,3 +157,59 @@ def test_boundary_f1(spark, masks):
         a, b = m & ~erode(m, 3), dilate(m, 3) & ~erode(dilate(m, 3), 3)
         p, r = (x[dilate(y, 3)].sum() / max(x.sum(), 1) for x, y in ((a, b), (b, a)))
         assert abs(got[k] - (2 * p * r / (p + r) if p + r else 0)) < 1e-12
+
+
+# --- texture -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("tile", [9, 256])
+def test_weighted(px, tile):
+    kernels = {n: RNG.random((5, 5)).tolist() for n in "ab"}
+    out = S.weighted(px, KEYS, "v", kernels, H, W, "mirror", tile)
+    for n, k in kernels.items():
+        for a, g in zip(IMAGES, arrays(out, n)):
+            assert np.allclose(g, np.einsum("yxij,ij->yx", windows(a, 2, 2, "mirror"), np.array(k)))
+
+
+@pytest.mark.parametrize("tile", [9, 256])
+def test_entropy(spark, tile):
+    levels = [RNG.integers(0, 6, (H, W)).astype(float), np.zeros((H, W))]
+    px = table(spark, levels, "level").withColumn("level", F.col("level").cast("int"))
+    for a, g in zip(levels, arrays(S.entropy(px, KEYS, "level", 3, H, W, "e", tile), "e")):
+        for y, x in ((0, 0), (10, 17), (H - 1, 5), (8, W - 1)):
+            near = [a[p, q] for p in range(H) for q in range(W) if (p - y) ** 2 + (q - x) ** 2 <= 9]
+            p = np.unique(near, return_counts=True)[1] / len(near)
+            assert abs(g[y, x] + (p * np.log2(p)).sum()) < 1e-9
+
+
+def test_waves_and_periods_answer_to_stripes(spark):
+    stripes = np.tile(np.sin(np.arange(W) * 2 * np.pi * 0.2), (H, 1))
+    noise = RNG.random((H, W)) - 0.5
+    px = table(spark, [stripes, noise])
+    waves = arrays(T.wave_energy(px, KEYS, "v", H, W, (0.2,), 8, 9))
+    best = np.zeros((H, W))
+    y, x = np.mgrid[-4:5, -4:5].astype(float)
+    for j in range(8):
+        t = np.pi * j / 8
+        u, v = x * np.cos(t) + y * np.sin(t), y * np.cos(t) - x * np.sin(t)
+        k = np.exp(-(u * u + 0.25 * v * v) / 32) * np.cos(2 * np.pi * 0.2 * u)
+        best = np.maximum(best, np.abs(np.einsum("yxij,ij->yx", windows(stripes, 4, 4, "mirror"), k - k.mean())))
+    assert np.allclose(waves[0], best)
+    got = {(r["image"], r["ty"], r["tx"]): r["period"] for r in T.periodicity(px, KEYS, "v", 16, H, W).collect()}
+    assert {(ty, tx) for k, ty, tx in got if k == 0} == {(ty, tx) for ty in (0, H - 16) for tx in (0, 8, 16, W - 16)}
+    h = np.hanning(16)
+    a = stripes[:16, 8:24]
+    f = np.abs(np.fft.fftshift(np.fft.fft2((a - a.mean()) * h[:, None] * h)))
+    f[6:11, 6:11] = 0
+    assert abs(got[0, 0, 8] - f.max() / (f.mean() + 1e-6)) < 1e-9
+    assert min(v for (k, *_), v in got.items() if k == 0) > 2 * max(v for (k, *_), v in got.items() if k == 1)
+
+
+def test_row_prior_prefers_rows(spark):
+    n = 48
+    half = np.tile(127 + 100 * np.sin(np.arange(n) * 2 * np.pi * 0.2)[:, None], (1, n))
+    half[:, n // 2 :] = 60 + 10 * RNG.random((n, n // 2))
+    rows = [(0, y, x, half[y, x].item()) for y in range(n) for x in range(n)]
+    out = T.row_prior(spark.createDataFrame(rows, "image int, y int, x int, g double"), KEYS, "g", n, n, 24)
+    means = {r["left"]: r["m"] for r in out.groupBy((F.col("x") < n // 2).alias("left")).agg(F.avg("v").alias("m")).collect()}
+    assert out.count() == n * n and means[True] > 2 * means[False]
