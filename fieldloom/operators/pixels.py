@@ -112,7 +112,7 @@ def regions(px: DataFrame, keys: list[str], value: str) -> DataFrame:
 def ranked(found: DataFrame, keys: list[str], first: Column | None, k: int | None) -> DataFrame:
     """Regions with rank by confidence, one for each centroid rounded (half to even) to 10 pixels: the first by `first`, else the most confident."""
     cells = found.withColumn("__cy", F.bround("cy", -1)).withColumn("__cx", F.bround("cx", -1))
-    best = [F.col("confidence").desc(), F.col("level"), F.col("region")]
+    best = [F.round("confidence", 9).desc(), F.col("level"), F.col("region")]
     keep = Window.partitionBy(*keys, "__cy", "__cx").orderBy(*([first, F.col("region")] if first is not None else best))
     one = cells.withColumn("__n", F.row_number().over(keep)).filter("__n = 1")
     out = one.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).drop("__n", "__cy", "__cx")

@@ -303,41 +303,3 @@ def polygon_masks(spark, d):
         return list(zip(y.tolist(), x.tolist(), strict=True))
 
     return raster.by_image(_field(spark, d), _T, "v", SIDE, SIDE, kernel, "y int, x int")
-
-
-# --- region proposal --------------------------------------------------------------------------------------------------
-
-_LEAST = 0.004 * SIDE * SIDE
-
-
-def _proposed(method: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        found, _ = proposal.propose(_field(spark, d), _T, "v", method, SIDE, SIDE, _LEAST, apart=5)
-        return _six(found.select("target", "level", "region", "rank", "area", "confidence", "x0", "y0", "x1", "y1"), "confidence")
-
-    run.__name__ = f"propose_{method.lower()}"
-    query()(run)
-
-
-for _method in proposal.METHODS:
-    _proposed(_method)
-
-
-def _prompted(spark, d):
-    field = _field(spark, d)
-    _, at = proposal.propose(field, _T, "v", "stability", SIDE, SIDE, _LEAST)
-    return field, at, proposal.region_prompts(at, _T, "v")
-
-
-@query()
-def region_prompts(spark, d):
-    return _prompted(spark, d)[2]
-
-
-@query()
-def prompt_points(spark, d):
-    """Positive points inside each proposed region, negative ones around it."""
-    field, at, prompts = _prompted(spark, d)
-    negative = field.select("target", "y", "x", F.col("w").alias("v"))
-    pos = proposal.positive_points(at, prompts, _T, "v").withColumn("kind", F.lit("pos"))
-    return pos.unionByName(proposal.negative_points(at, prompts, negative, _T, "v", SIDE, SIDE).withColumn("kind", F.lit("neg")))

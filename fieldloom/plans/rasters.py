@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import numeric as num
-from ..operators import bitmaps, components, fusion, georef, morphology, shapes, stencils, textures
+from ..operators import bitmaps, components, fusion, georef, morphology, proposal, shapes, stencils, textures
 from ..operators.select import first_by
 from ..sources.scratch import cut
 from .imagery import _FIELD, _T, SIDE, _field
@@ -100,9 +100,9 @@ def _dilated_sql(name: str, px: str, size: int) -> str:
     return f"{name} AS MATERIALIZED (SELECT DISTINCT t, (y + dy)::INT AS y, (x + dx)::INT AS x FROM {px}, range({-r}, {r + 1}) a(dy), range({-r}, {r + 1}) b(dx) WHERE y + dy BETWEEN 0 AND {SIDE - 1} AND x + dx BETWEEN 0 AND {SIDE - 1})"
 
 
-def _eroded_sql(name: str, px: str, size: int) -> str:
-    none = f"{name}_c AS MATERIALIZED (SELECT t, y, x FROM d ANTI JOIN {px} p USING (t, y, x))"
-    return f"{none}, {_dilated_sql(f'{name}_g', f'{name}_c', size)}, {name} AS MATERIALIZED (SELECT t, y, x FROM d ANTI JOIN {name}_g p USING (t, y, x))"
+def _eroded_sql(name: str, px: str, size: int, grid: str = "d") -> str:
+    none = f"{name}_c AS MATERIALIZED (SELECT t, y, x FROM {grid} ANTI JOIN {px} p USING (t, y, x))"
+    return f"{none}, {_dilated_sql(f'{name}_g', f'{name}_c', size)}, {name} AS MATERIALIZED (SELECT t, y, x FROM {grid} ANTI JOIN {name}_g p USING (t, y, x))"
 
 
 def _painted_sql(px: str) -> str:
@@ -441,6 +441,88 @@ def predicted_masks(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("iou", "coverage", "fp_on_black", "area_ratio")})
 
 
+# --- region proposal --------------------------------------------------------------------------------------------------
+
+
+def _labelled_sql(method: str) -> list[str]:
+    """CTEs: lab(t, level, region, y, x, v), the pixels of the regions that a method finds."""
+    first = method[0].isupper()
+    heat = [_V, _gaussian_sql("heat", "s", 9.0)] if first else ["heat AS MATERIALIZED (SELECT t, y, x, v FROM d)"]
+    grey = "gr AS MATERIALIZED (SELECT t, y, x, floor(greatest(0, least(1, v)) * 255)::DOUBLE AS v FROM heat)"
+    above = lambda more: f"mk AS MATERIALIZED (SELECT h.t * 100 AS t, h.y, h.x FROM heat h JOIN gr USING (t, y, x) JOIN ar USING (t, y, x) JOIN (SELECT t, avg(v) AS m FROM heat GROUP BY t) USING (t) WHERE gr.v > round(ar.v, 6) + {more} AND h.v >= m)"
+    levels = [0] if method == "stability" else proposal.LEVELS.get(method, [0])
+    if method == "A_threshold":
+        found = ["mk AS MATERIALIZED (SELECT t * 100 AS t, y, x FROM heat JOIN (SELECT t, round(avg(v) + stddev_pop(v), 9) AS k FROM heat GROUP BY t) USING (t) WHERE v >= k)"]
+    elif method == "C_adaptive":
+        found = [grey, _separable_sql("ar", "gr", [1 / 51] * 51, [1 / 51] * 51, "nearest"), above(5)]
+    elif method == "adaptive":
+        found = [grey, _gaussian_sql("ar", "gr", 9.5), above(8)]
+    else:
+        ps = proposal.LEVELS[method]
+        limits = f"SELECT t, unnest({ps}) AS level, round(unnest(quantile_cont(v, {[p / 100 for p in ps]})), 9) AS k FROM heat GROUP BY t"
+        per = f"SELECT t, level, y, x FROM heat JOIN ({limits}) USING (t) WHERE v >= k"
+        found = [f"mk AS MATERIALIZED (SELECT t * 100 AS t, y, x FROM ({per}) GROUP BY t, y, x HAVING count(*) >= 3)" if method == "stability" else f"mk AS MATERIALIZED (SELECT t * 100 + level AS t, y, x FROM ({per}))"]
+    grid = f"du AS MATERIALIZED (SELECT t * 100 + level AS t, y, x FROM d, (SELECT unnest({levels}) AS level)), di AS (SELECT DISTINCT t FROM du)"
+    clean = [_eroded_sql("k1", "mk", 5, "du"), _dilated_sql("k2", "k1", 5), _dilated_sql("k3", "k2", 9), _eroded_sql("k4", "k3", 9, "du")]
+    if not first:
+        clean.append(_filled_sql("k5", "k4", "di"))
+    px = "k4" if first else "k5"
+    return [*heat, *found, grid, *clean, _runs_sql("r", px), _components_sql("c", "r"),
+            f"lab AS MATERIALIZED (SELECT z.t // 100 AS t, (z.t % 100)::INT AS level, region::INT AS region, z.y, z.x, v FROM (SELECT t, y, x, dense_rank() OVER (PARTITION BY t ORDER BY region) AS region FROM ({_pixels_sql('c', 't, region')})) z JOIN heat h ON h.t = z.t // 100 AND h.y = z.y AND h.x = z.x)"]
+
+
+def _proposed_sql(method: str) -> list[str]:
+    """CTEs: lab, and found: the regions that stay, with their rank."""
+    regs = f"rg AS MATERIALIZED (SELECT t, level, region, count(*) AS area, avg(v) AS confidence, avg(y) AS cy, avg(x) AS cx, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM lab GROUP BY ALL HAVING count(*) >= {_LEAST!r})"
+    late = method == "D_multithresh"
+    if method[0].isupper() and not late:
+        return [*_labelled_sql(method), regs, "found AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(confidence, 9) DESC, region)::INT AS rank FROM rg)"]
+    first = "level, region" if late else "round(confidence, 9) DESC, level, region"
+    one = f"ro AS (SELECT *, row_number() OVER (PARTITION BY t, round_even(cy, -1), round_even(cx, -1) ORDER BY {first}) AS rn FROM rg)"
+    rank = "rk AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(confidence, 9) DESC, level, region)::INT AS rank FROM ro WHERE rn = 1)"
+    return [*_labelled_sql(method), regs, one, rank, "found AS (SELECT * FROM rk" + ("" if late else " WHERE rank <= 6") + ")"]
+
+
+def _proposed(method: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found, _ = proposal.propose(_field(spark, d), _T, "v", method, SIDE, SIDE, _LEAST, apart=5)
+        return _six(found.select("target", "level", "region", "rank", "area", "confidence", "x0", "y0", "x1", "y1"), "confidence")
+
+    run.__name__ = f"propose_{method.lower()}"
+    grows = method in ("B_localmax", "watershed")
+    query(None if grows else _with(*_proposed_sql(method)) + "SELECT t AS target, level, region, rank, area, round(confidence, 6) + 0.0 AS confidence, x0, y0, x1, y1 FROM found")(run)
+
+
+for _method in proposal.METHODS:
+    _proposed(_method)
+
+
+def _prompted(spark, d):
+    field = _field(spark, d)
+    _, at = proposal.propose(field, _T, "v", "stability", SIDE, SIDE, _LEAST)
+    at = cut(at, "regions")
+    return field, at, proposal.region_prompts(at, _T, "v")
+
+
+_IN = "p AS MATERIALIZED (SELECT lab.* FROM lab JOIN found USING (t, level, region)), b AS MATERIALIZED (SELECT t, level, region, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p GROUP BY ALL), pk AS (SELECT t, level, region, y AS peak_y, x AS peak_x FROM (SELECT *, row_number() OVER (PARTITION BY t, level, region ORDER BY v DESC, y, x) AS rn FROM p) WHERE rn = 1)"
+
+
+@query(_with(*_proposed_sql("stability"), _IN) + """SELECT t AS target, level, region, x0, y0, x1, y1, x0 + trunc((x1 - x0) * 0.05)::INT AS ex0, y0 + trunc((y1 - y0) * 0.05)::INT AS ey0, x1 - trunc((x1 - x0) * 0.05)::INT AS ex1, y1 - trunc((y1 - y0) * 0.05)::INT AS ey1,
+peak_y, peak_x, greatest(8, trunc(0.15 * greatest(x1 - x0, y1 - y0)))::DOUBLE AS apart FROM b JOIN pk USING (t, level, region)""")
+def region_prompts(spark, d):
+    """Of each proposed region its box, the box drawn in, its peak, and the distance that its points keep."""
+    return _prompted(spark, d)[2]
+
+
+@query()
+def prompt_points(spark, d):
+    """Positive points inside each proposed region, negative ones around it."""
+    field, at, prompts = _prompted(spark, d)
+    negative = field.select("target", "y", "x", F.col("w").alias("v"))
+    pos = proposal.positive_points(at, prompts, _T, "v").withColumn("kind", F.lit("pos"))
+    return pos.unionByName(proposal.negative_points(at, prompts, negative, _T, "v", SIDE, SIDE).withColumn("kind", F.lit("neg")))
+
+
 # --- sheets -----------------------------------------------------------------------------------------------------------
 
 _GREY = "least(255, floor(v * 60)::INT + CASE WHEN (x % 13 = 3 OR y % 12 = (t % 3) + 4) AND (y * 7 + x * 5) % 9 <> 0 THEN 110 ELSE 0 END)"
