@@ -59,3 +59,18 @@ def feature(ident: Column, ring: Column, properties: Column) -> Column:
     """A GeoJSON feature (struct) of one ring, closed."""
     coordinates = F.array(F.transform(closed(ring), lambda p: F.array(p["x"], p["y"])))
     return F.struct(F.lit("Feature").alias("type"), ident.alias("id"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties"))
+
+
+def properties(own: dict[str, Column], more: dict[str, Column] | None = None) -> Column:
+    """A feature's properties; those of `more` replace own ones of the same name, in their place, and others follow."""
+    return F.struct(*[c.alias(n) for n, c in {**own, **(more or {})}.items()])
+
+
+def polygon_feature(rings: Column, props: Column, gt: Column | None = None) -> Column:
+    """A GeoJSON feature of an outer ring and its holes, each closed; in world coordinates where gt (six numbers, see to_world) isn't null, else in pixels."""
+    pairs = lambda ring: F.transform(closed(ring), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+    at = F.transform(rings, pairs)
+    if gt is not None:
+        at = F.when(gt.isNull(), at).otherwise(F.transform(rings, lambda ring: pairs(to_world(ring, gt))))
+    geometry = F.struct(F.lit("Polygon").alias("type"), at.alias("coordinates"))
+    return F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))

@@ -9,7 +9,7 @@ from ..operators import bitmaps, components, fusion, georef, morphology, proposa
 from ..operators.select import first_by
 from ..sources.scratch import cut
 from .imagery import _FIELD, _T, SIDE, _field
-from .registry import ORACLE_SQL, QUERIES, _six, query
+from .registry import _DIM, _DOT, ORACLE_SQL, QUERIES, _six, query
 
 _LEAST = 0.004 * SIDE * SIDE
 
@@ -570,6 +570,82 @@ def sheet_georeference(spark, d):
     return _six(out.select("target", "n", at(1).alias("dx_px"), at(5).alias("dy_py"), "resolution", "rmse", "max_residual"), "dx_px", "dy_py", "resolution", "rmse", "max_residual")
 
 
+# --- polygons of sheets -----------------------------------------------------------------------------------------------
+
+_CRS = "urn:ogc:def:crs:EPSG::2039"
+_POINT = "'[' || ({x})::DOUBLE || ',' || ({y})::DOUBLE || ']'"
+
+
+def _ring_sql(points: list[tuple[str, str]], world: bool) -> str:
+    at = [(f"215640 + 0.5 * ({x}) - 0.25 * ({y})", f"591440 - 0.25 * ({x}) - 0.5 * ({y})") if world else (x, y) for x, y in [*points, points[0]]]
+    return "'[' || " + " || ',' || ".join(_POINT.format(x=x, y=y) for x, y in at) + " || ']'"
+
+
+def _coordinates_sql(world: bool) -> str:
+    outer, hole = _ring_sql([("0", "0"), ("p_size", "0"), ("p_size", "2 * p_size")], world), _ring_sql([("p_size - 3", "2"), ("p_size - 2", "2"), ("p_size - 2", "4")], world)
+    return f"'[' || {outer} || CASE WHEN p_size > 20 THEN ',' || {hole} ELSE '' END || ']'"
+
+
+@query(f"""SELECT p_brand, sheet, '{{"type":"FeatureCollection","features":[' || string_agg(f, ',' ORDER BY p_partkey) || ']' || CASE WHEN world THEN ',"crs":{{"type":"name","properties":{{"name":"{_CRS}"}}}}' ELSE '' END || '}}' AS json
+FROM (SELECT p_partkey, p_brand, p_partkey // 1000 AS sheet, p_brand NOT LIKE 'Brand#1%' AS world, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":' || CASE WHEN p_brand LIKE 'Brand#1%' THEN {_coordinates_sql(False)} ELSE {_coordinates_sql(True)} END || '}},"properties":{{"id":' || p_partkey || ',"class":"cultivated_area","detection_source":"survey","size":' || p_size || '}}}}' AS f FROM part) GROUP BY p_brand, sheet, world""")
+def geojson_sheets(spark, d):
+    """A collection a sheet: in world coordinates, with their system, where the sheet has a transform, else in pixels; one property replaced, one added."""
+    from ..functions import geometry as geo
+    from ..sources import sinks
+    from ..sources.readers import table
+
+    size = F.col("p_size").cast("int")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    outer = F.array(point(F.lit(0), F.lit(0)), point(size, F.lit(0)), point(size, 2 * size))
+    hole = F.array(point(size - 3, F.lit(2)), point(size - 2, F.lit(2)), point(size - 2, F.lit(4)))
+    rings = F.when(size > 20, F.array(outer, hole)).otherwise(F.array(outer))
+    world = ~F.col("p_brand").startswith("Brand#1")
+    gt = F.when(world, F.array(*[F.lit(v) for v in (215640.0, 0.5, -0.25, 591440.0, -0.25, -0.5)]))
+    props = geo.properties({"id": F.col("p_partkey"), "class": F.lit("cultivated_area"), "detection_source": F.lit("annotation")}, {"detection_source": F.lit("survey"), "size": size})
+    sheets = table(spark, d, "part").withColumn("sheet", F.floor(F.col("p_partkey") / 1000))  # a collection is a sheet's polygons, at most 1000
+    return sinks.feature_collections(sheets, ["p_brand", "sheet"], geo.polygon_feature(rings, props, gt), F.col("p_partkey"), F.when(world, F.lit(_CRS)))
+
+
+# --- prototypes -------------------------------------------------------------------------------------------------------
+
+_AVG = "[" + ", ".join(f"avg(v[{i}])" for i in range(1, _DIM + 1)) + "]"
+_NEAREST_SQL = f"SELECT * FROM (SELECT r.*, c.cluster, row_number() OVER (PARTITION BY r.vec_id ORDER BY round({_DOT.format(a='c.c', b='c.c')} - 2 * {_DOT.format(a='r.v', b='c.c')}, 9), c.cluster) AS rn FROM r JOIN {{c}} c ON r.t = c.t) WHERE rn = 1"
+_PROTO = ", ".join(f"sum(w * c[{i}]) / sum(w)" for i in range(1, _DIM + 1))
+
+
+def _tiles_of(spark, d):
+    """Embeddings of eight targets, with the second map's value and the brightness of each."""
+    from ..sources.readers import table
+
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", "embedding", (F.col("vec_id") % 8).alias("t"), ((F.col("label") + F.col("vec_id") % 7) / 20.0).alias("agree"), F.get("embedding", F.lit(0)).cast("double").alias("bright"))
+
+
+@query(f"""WITH r AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda q: q::DOUBLE) AS v, vec_id % 8 AS t, (label + vec_id % 7) / 20.0::DOUBLE AS agree FROM embeddings),
+c0 AS MATERIALIZED (SELECT t, rn - 1 AS cluster, v AS c FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY t) AS n FROM r) WHERE rn <= greatest(2, least(6, n // 20))),
+a0 AS MATERIALIZED ({_NEAREST_SQL.format(c='c0')}), c1 AS MATERIALIZED (SELECT t, cluster, {_AVG} AS c FROM a0 GROUP BY ALL), a1 AS MATERIALIZED ({_NEAREST_SQL.format(c='c1')}),
+g AS (SELECT c1.*, m.agree FROM c1 JOIN (SELECT t, cluster, avg(agree) AS agree FROM a1 GROUP BY ALL) m USING (t, cluster)), s AS (SELECT t, max(agree) AS top, stddev_pop(agree) AS dev FROM g GROUP BY t),
+p AS (SELECT t, [{_PROTO}] AS p FROM (SELECT g.t, c, exp((agree - top) / (dev + 1e-6)) AS w FROM g JOIN s USING (t)) GROUP BY t), q AS (SELECT t, list_transform(p, lambda z: z / (sqrt({_DOT.format(a='p', b='p')}) + 1e-6)) AS p FROM p),
+z AS (SELECT a1.vec_id, a1.t, a1.cluster, {_DOT.format(a='a1.v', b='q.p')} AS sim FROM a1 JOIN q ON a1.t = q.t)
+SELECT vec_id, t, cluster::INT AS cluster, round((sim - min(sim) OVER (PARTITION BY t)) / (max(sim) OVER (PARTITION BY t) - min(sim) OVER (PARTITION BY t) + 1e-6), 6) + 0.0 AS similarity FROM z""")
+def agreement_prototypes(spark, d):
+    """Tiles by their likeness to a prototype of clusters, weighted by their agreement with a second map."""
+    from ..operators import prototypes
+
+    tiles = _tiles_of(spark, d)
+    assigned, centres = prototypes.clusters(tiles, ["t"], "vec_id", "embedding", _DIM, steps=1)
+    out = prototypes.agreement(cut(assigned, "assigned"), centres, ["t"], "embedding", "agree", _DIM)
+    return _six(out.select("vec_id", "t", "cluster", "similarity"), "similarity")
+
+
+@query()
+def pca_dark_high(spark, d):
+    """The first principal axis of each target's tiles, turned against their brightness."""
+    from ..operators import prototypes
+
+    return _six(prototypes.principal(_tiles_of(spark, d), ["t"], "embedding", "bright", _DIM).select("vec_id", "t", "pc1"), "pc1")
+
+
 # --- stores and rounds ------------------------------------------------------------------------------------------------
 
 

@@ -12,11 +12,15 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
-def feature_collections(features: DataFrame, keys: list[str], feature: Column, order: Column) -> DataFrame:
-    """keys and json: a GeoJSON collection of each group's features (one image's polygons), in order."""
-    grouped = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), feature.alias("f")))).alias("z"))
-    body = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("z", lambda x: x["f"]).alias("features"))
-    return grouped.select(*keys, F.to_json(body).alias("json"))
+def feature_collections(features: DataFrame, keys: list[str], feature: Column, order: Column, crs: Column | None = None) -> DataFrame:
+    """keys and json: a GeoJSON collection of each group's features (one image's polygons), in order; with the name of a crs where that isn't null."""
+    named = [F.first(crs, ignorenulls=True).alias("c")] if crs is not None else []
+    grouped = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), feature.alias("f")))).alias("z"), *named)
+    parts = [F.lit("FeatureCollection").alias("type"), F.transform("z", lambda x: x["f"]).alias("features")]
+    if named:
+        name = F.struct(F.lit("name").alias("type"), F.struct(F.col("c").alias("name")).alias("properties"))
+        parts.append(F.when(F.col("c").isNotNull(), name).alias("crs"))
+    return grouped.select(*keys, F.to_json(F.struct(*parts)).alias("json"))
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
