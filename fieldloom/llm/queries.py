@@ -26,4 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle_sql(),
+    "op11_merkle_manifest": merkle_manifest.oracle_sql(),
+    "op12_spelling_variants": spelling_variants.oracle_sql(),
 }

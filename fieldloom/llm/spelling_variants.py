@@ -31,7 +31,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import stash, table, unstash
+from .common import LOWER, UPPER, stash, table, unstash
+from .merkle_manifest import CRC_TABLE, crc_sql
 
 SHORTEST, LEAST = 5, 3
 #: One distinct run in so many, by its document, loses a letter before it is counted.
@@ -285,3 +286,25 @@ def group(words: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: every word of the documents with its form and root."""
     return group(stash(count_words(table(spark, sf_dir, "documents").select("doc_id", "text")), "words"))
+
+
+def oracle_sql() -> str:
+    """The same rows in DuckDB's SQL: near words by the words' deletions."""
+    text = "(coalesce(doc_id::VARCHAR, '') || ':' || run)"
+    # Letters beyond ASCII are U+00C0 to U+00FF: C3 and a second byte in UTF-8.
+    bytes_of = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: CASE WHEN ord(substr({text}, i::INT, 1)) < 128 THEN [ord(substr({text}, i::INT, 1))::BIGINT] ELSE [195, ord(substr({text}, i::INT, 1))::BIGINT - 64] END))"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)),
+each AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= {SHORTEST} GROUP BY ALL),
+hashed AS (SELECT run, k, {crc_sql(bytes_of)} AS h FROM each, crc),
+seen AS (SELECT CASE WHEN h % {SPOIL} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM seen WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(k) >= {LEAST}),
+gaps AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+less AS (SELECT gaps.word AS a, gaps.n AS an, words.word AS b, words.n AS bn FROM gaps JOIN words ON gaps.rest = words.word),
+near AS MATERIALIZED (SELECT a, an, b, bn FROM less UNION SELECT b, bn, a, an FROM less UNION SELECT p.word, p.n, q.word, q.n FROM gaps p JOIN gaps q ON p.i = q.i AND p.rest = q.rest AND p.word <> q.word),
+best AS (SELECT a, an, b, bn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) AS rn FROM near),
+forms AS MATERIALIZED (SELECT a AS word, n_near, CASE WHEN bn >= {RATIO} * an THEN b END AS form, CASE WHEN bn >= {RATIO} * an THEN bn END AS form_n FROM best WHERE rn = 1),
+chain(word, at_) AS (SELECT word, word FROM words UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.at_ WHERE forms.form IS NOT NULL),
+roots AS (SELECT chain.word, chain.at_ AS root FROM chain ANTI JOIN (SELECT word FROM forms WHERE form IS NOT NULL) f ON f.word = chain.at_)
+SELECT words.word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN forms USING (word) JOIN roots USING (word)"""

@@ -110,3 +110,29 @@ def test_any_change_of_a_row_breaks_its_proof(spark, tmp_path):
     found = M.manifest(docs, tampered={"text": F.concat("text", F.lit(" "))}, when=F.col("doc_id") == 4)
     broken = found.filter(F.coalesce(M.fold(F.coalesce("tampered", "leaf"), F.col("path")) != F.col("root"), F.lit(True)))
     assert [r["key"] for r in broken.collect()] == [4]
+
+
+def test_sql_of_the_odd_rows(tmp_path, spark):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
+    import duckdb
+
+    folder = _write(spark, tmp_path, ODD)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    r = con.sql(M.oracle_sql())
+    at = [r.columns.index(c) for c in NAMES]
+    assert sorted(repr(tuple(x[i] for i in at)) for x in r.fetchall()) == sorted(map(repr, brute(ODD)))
+
+
+def test_sql_of_the_tables(spark):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
+    from oracle import rows_of, sql_rows
+
+    df = M.query(spark, "/root/testdata/sf0.001")
+    assert (sorted(df.columns), rows_of(df)) == sql_rows(M.oracle_sql(), "/root/testdata/sf0.001")

@@ -122,3 +122,14 @@ def test_bound_holds_for_every_edit():
         for k in range(len(w)):
             for v in (w[:k] + "c" + w[k:], w[:k] + "z" + w[k:], w[:k] + "a" + w[k + 1 :], w[:k] + "z" + w[k + 1 :]):
                 assert merged(w, len(w)) & merged(v, len(w))
+
+
+def test_sql(spark):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
+    from oracle import rows_of, sql_rows
+
+    df = S.query(spark, SF)
+    assert (sorted(df.columns), rows_of(df)) == sql_rows(S.oracle_sql(), SF)
