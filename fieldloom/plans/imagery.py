@@ -44,13 +44,28 @@ def _rgb(spark, d):
 _EDGE = f"(y < 2 OR y >= {SIDE - 2} OR x < 2 OR x >= {SIDE - 2})"
 
 
-@query(f"""SELECT target, round(avg((s > 40 AND vv > 40)::INT), 9) AS sat_fraction, count_if(h BETWEEN 20 AND 38 AND s > 90 AND vv > 120) AS yellow_px, count_if((h <= 8 OR h >= 170) AND s > 110 AND vv > 90) AS red_px,
-coalesce(avg((vv > 235 AND s < 20)::INT) FILTER ({_EDGE}) > 0.15, false) OR avg((vv > 235 AND s < 20)::INT) > 0.10 AS has_white_margin, coalesce(avg((vv > 235 AND s < 20)::INT) FILTER (x < 7) > 0.45, false) AS has_left_info_panel FROM ({_HSV}) GROUP BY target""")
+_STATS = f"""SELECT target, round(avg((s > 40 AND vv > 40)::INT), 9) AS sat_fraction, count_if(h BETWEEN 20 AND 38 AND s > 90 AND vv > 120) AS yellow_px, count_if((h <= 8 OR h >= 170) AND s > 110 AND vv > 90) AS red_px,
+coalesce(avg((vv > 235 AND s < 20)::INT) FILTER ({_EDGE}) > 0.15, false) OR avg((vv > 235 AND s < 20)::INT) > 0.10 AS has_white_margin, coalesce(avg((vv > 235 AND s < 20)::INT) FILTER (x < 7) > 0.45, false) AS has_left_info_panel FROM ({_HSV}) GROUP BY target"""
+
+
+@query(_STATS)
 def color_stats(spark, d):
     out = pixels.colour_stats(_rgb(spark, d), _T, F.col("r"), F.col("g"), F.col("b"), SIDE, SIDE)
     return out.withColumn("sat_fraction", F.round("sat_fraction", 9))
 
 
+@query(f"""SELECT target, CASE WHEN ink > 300 OR panel THEN 'annotated' ELSE 'original' END AS role, CASE WHEN panel AND mp < 6 THEN 'map_layout' WHEN ink > 300 OR panel THEN 'example_crop' ELSE 'orthophoto' END AS subtype
+FROM (SELECT target, (yellow_px + red_px) AS ink, has_left_info_panel AS panel, {SIDE * SIDE / 1e6!r}::DOUBLE AS mp FROM ({_STATS}))""")
+def image_roles(spark, d):
+    """Roles and kinds of images from what their pixels show."""
+    from ..operators import catalog
+
+    stats = color_stats(spark, d)
+    ink = F.col("yellow_px") + F.col("red_px")
+    role, subtype = catalog.classify(ink, F.col("has_left_info_panel"), F.lit(SIDE * SIDE / 1e6))
+    return stats.select("target", role.alias("role"), subtype.alias("subtype"))
+
+
 @query(f"""SELECT target, count_if(yellow) AS yellow, count_if(red) AS red, count_if(black) AS black FROM (SELECT target, r > b + 35 AND g > b + 35 AND abs(r - g) < 70 AND h BETWEEN 18 AND 42 AS yellow, r > g + 28 AND r > b + 28 AS red, vv < 45 AND s < 70 AS black
 FROM ({_HSV}) WHERE NOT (target % 2 = 0 AND x < 8)) GROUP BY target""")
 def ink_counts(spark, d):
@@ -246,16 +261,18 @@ def annotated_by_name(spark, d):
 
 
 @query("""SELECT p_partkey, area >= 200 AS not_small, area / greatest(p_size, 1) >= 1.6 AS is_ring, touches, round(4 * pi() * area / (per * per + 1e-6), 6) + 0.0 AS compactness, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'hard_negative' ELSE 'cultivated_area' END AS klass FROM (SELECT *, 1.5::DOUBLE * p_size * p_size AS area,
-5::DOUBLE * p_size + 2 * sqrt(p_size * p_size / 4.0::DOUBLE + p_size * p_size) AS per, true AS touches FROM part) WHERE area >= 3e-4 * 100 * 100""")
+5::DOUBLE * p_size + 2 * sqrt(p_size * p_size / 4.0::DOUBLE + p_size * p_size) AS per, (p_partkey % 9 <= 2 OR p_partkey % 9 + 2 * p_size >= 98) AS touches FROM part) WHERE area >= 3e-4 * 100 * 100""")
 def polygon_filters(spark, d):
     """Polygons of at least the least area and three vertices, with the tests that sort them: small, ring-like, at the frame, class."""
     ring = F.col("ring")
     area = geo.ring_area(ring)
     some = _rings(spark, d).filter((area >= 3e-4 * 100 * 100) & (F.size(ring) >= 3))
     ink = F.greatest(F.get(ring, F.lit(1))["x"], F.lit(1.0))
+    off = (F.col("p_partkey") % 9).cast("double")
+    placed = F.transform(ring, lambda p: F.struct((p["x"] + off).alias("x"), (p["y"] + off).alias("y")))
     klass = F.when(F.col("p_brand").startswith("Brand#1"), "hard_negative").otherwise("cultivated_area")
     return _six(some.select(
-        "p_partkey", (area >= 200).alias("not_small"), (area / ink >= 1.6).alias("is_ring"), geo.touches_frame(ring, F.lit(100), F.lit(100)).alias("touches"),
+        "p_partkey", (area >= 200).alias("not_small"), (area / ink >= 1.6).alias("is_ring"), geo.touches_frame(placed, F.lit(100), F.lit(100)).alias("touches"),
         geo.compactness(area, geo.ring_perimeter(ring)).alias("compactness"), klass.alias("klass"),
     ), "compactness")
 

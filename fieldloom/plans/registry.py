@@ -268,10 +268,16 @@ def _named(spark, d):
     return o.withColumn("name", F.concat(F.lit("Luftbild "), F.date_format("o_orderdate", "ddMMyyyy"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("/"), F.col("o_orderpriority"), F.lit(" (é).tif")))
 
 
-@query(f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS photo_date, year(o_orderdate)::INT AS y FROM orders")
+@query("""WITH n AS (SELECT o_orderkey, o_orderdate, o_orderkey % 3 AS kind, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d%m%Y') WHEN 1 THEN '32' || strftime(o_orderdate, '%m%Y') ELSE (1940 + o_orderkey % 90)::VARCHAR || ' und 1945-1945' END || '_' || o_orderkey || '.tif' AS name FROM orders),
+y AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(string_split_regex(name, '[^0-9]+'), lambda s: length(s) = 4 AND s[1:2] IN ('19', '20')), lambda s: s::INT))) AS years FROM n)
+SELECT o_orderkey, CASE WHEN kind = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS photo_date, array_to_string(years, ',') AS years, CASE WHEN kind = 0 THEN year(o_orderdate)::INT ELSE years[1] END AS y FROM y""")
 def date_years_regex(spark, d):
-    date = txt.photo_date(F.col("name"))
-    return _named(spark, d).select("o_orderkey", date.alias("photo_date"), txt.derived_year(date, txt.years_in_name(F.col("name"))).alias("y"))
+    """Dates and years of names: a third with a date, a third with a day out of range, a third with years alone."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "ddMMyyyy")
+    told = F.when(key % 3 == 0, day).when(key % 3 == 1, F.concat(F.lit("32"), F.substring(day, 3, 6))).otherwise(F.concat((1940 + key % 90).cast("string"), F.lit(" und 1945-1945")))
+    named = table(spark, d, "orders").withColumn("name", F.concat(told, F.lit("_"), key.cast("string"), F.lit(".tif")))
+    date, years = txt.photo_date(F.col("name")), txt.years_in_name(F.col("name"))
+    return named.select("o_orderkey", date.alias("photo_date"), F.array_join(years, ",").alias("years"), txt.derived_year(date, years).alias("y"))
 
 
 @query(f"SELECT o_orderkey, regexp_replace({_NAME_SQL}, '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') AS stem FROM orders")
