@@ -67,11 +67,3 @@ def loo_prototype_scores(df: DataFrame, keys: list[str], vector: str, positive:
     less = lambda total, n, own: F.when(own, (dot(total, v) - dot(v, v)) / F.greatest(n - 1, F.lit(1))).otherwise(dot(total, v) / F.greatest(n, F.lit(1)))
     score = less(F.col("pos"), F.col("n_pos"), y) - less(F.col("neg"), F.col("n_neg"), ~y)
     return joined.withColumn("loo_score", score).drop("pos", "neg", "n_pos", "n_neg", "__y")
-
-
-def nearest(df: DataFrame, keys: list[str], ident: str, vector: str, label: str) -> DataFrame:
-    """ident, label, and the most similar other row of the same group (ties: the smaller ident)."""
-    other = df.select(*keys, F.col(ident).alias("nn"), F.col(vector).alias("__v"), F.col(label).alias("nn_label"))
-    met = df.join(other, keys).filter(F.col(ident) != F.col("nn")).withColumn("similarity", dot(F.col(vector), F.col("__v")))
-    best = met.groupBy(*keys, ident, label).agg(F.max_by(F.struct("nn", "nn_label"), F.struct(F.round("similarity", 9), -F.col("nn"))).alias("b"))
-    return best.select(*keys, ident, label, "b.nn", "b.nn_label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as geo, numeric as num, text as txt
-from ..operators import catalog, fusion, georef, metrics, models, ordered, select
+from ..operators import catalog, fusion, georef, metrics, models, neighbours, ordered, select
 from ..sources import sinks
 from ..sources.readers import table
 
@@ -505,7 +505,10 @@ def loo_auroc(spark, d):
 SELECT vec_id, nn, (label = nn_label) AS agrees FROM p WHERE rn = 1""")
 def one_nn(spark, d):
     e = table(spark, d, "embeddings").withColumn("t", F.col("vec_id") % 8)
-    return metrics.nearest(e, ["t"], "vec_id", "embedding", "label").select("vec_id", "nn", (F.col("label") == F.col("nn_label")).alias("agrees"))
+    near = neighbours.nearest(e, ["t"], "vec_id", "embedding").withColumnRenamed("id", "vec_id").select("vec_id", "nn")
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    both = near.join(labels, "vec_id").join(labels.toDF("nn", "nn_label"), "nn")
+    return both.select("vec_id", "nn", (F.col("label") == F.col("nn_label")).alias("agrees"))
 
 
 def _means(spark, d):
