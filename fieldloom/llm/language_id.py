@@ -34,13 +34,14 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 BLOCK = 512
 UNKNOWN = "und"
 
+#: Letters, and a few numerals that aren't digits.
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def letters_of(text: str | None) -> bytes:
     """The bytes that the network reads; empty if the text has no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
         return b""
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split())
 

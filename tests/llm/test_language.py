@@ -61,6 +61,11 @@ def test_held_out_rows_teach_nothing(spark):
     assert L.sampled_windows(docs) == L.sampled_windows(wrong)
 
 
+def test_letters():
+    assert L.letters_of("½² Ⅷ 12_") == b"" and L.letters_of("½²x") != b"" and L.letters_of("日本") != b""
+    assert L.letters_of("It's 2 Ünï--") == "it s ünï".encode()
+
+
 def test_every_window_counts(spark):
     """A text's end weighs as much as its beginning."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
