@@ -231,7 +231,7 @@ FROM (SELECT t.tree, t.at_, s.lvl, t.at_ // power(3, s.lvl)::BIGINT AS here FROM
 JOIN {nodes} b ON b.tree = a.tree AND b.lvl = a.lvl AND b.at_ // 3 = a.here // 3 GROUP BY a.tree, a.at_, a.lvl"""
     return f"""
 WITH RECURSIVE {CRC_TABLE},
-d AS MATERIALIZED (SELECT *, {leaf(value('text'))} AS h, CASE WHEN doc_id IS NOT NULL AND {crc_sql(bytes_of)} % 2 = 0 THEN {leaf(value("replace(text, chr(10), '')"))} END AS wrong, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM documents, crc),
+d AS MATERIALIZED (SELECT doc_id, {leaf(value('text'))} AS h, CASE WHEN doc_id IS NOT NULL AND {crc_sql(bytes_of)} % 2 = 0 THEN {leaf(value("replace(text, chr(10), '')"))} END AS wrong, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT {', '.join(COLUMNS)} FROM documents), crc),
 leaves AS MATERIALIZED (SELECT doc_id, h, wrong, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS at_, count(*) OVER (PARTITION BY tree) AS size FROM d),
 nodes AS {levels.format(src='leaves', me='nodes')},
 subroots AS MATERIALIZED (SELECT 0::BIGINT AS tree, tree AS at_, h, count(*) OVER () AS size FROM nodes WHERE size = 1),
