@@ -4,13 +4,14 @@ Base kinds (email, ip, card, phone) are patterns with checks and always stay. Tw
 generators propose more, overlapping spans: runs of digits and separators (`number`) and mixed tokens
 (`secret`). Each candidate has features of its format (lengths, shares of character kinds, check
 digits, octets) and of its context (words before it, quotes, assignments). Gradient-boosted trees are
-fitted on a bounded sample of the candidates of all documents, which are labelled by the base checks
-and by unmistakable contexts. The bound holds for each generator and label apart (about `sample` each,
-by a hash of document and place; a text with more than PER_TEXT gives about so many), so no label can crowd out the
-other, and each candidate weighs as many as it stands for; each generator's threshold is the smallest
-that keeps the wanted precision on candidates that were held out of the fit, so weighted. The trees are
-then compiled into one expression over the candidates of each row, so scoring every document is a
-projection without shuffle.
+fitted on the candidates of all documents, which are labelled by the base checks and by unmistakable
+contexts: every candidate's features are placed between fixed cuts (CUTS), and equal places are counted,
+so the fit reads a table of exact counts that grows far slower than the documents. The trees split at
+these cuts alone, which go to the learner as features of two values, so it seeks no splits in a sample
+of its own. A caller may bound the candidates of each generator and label (`sample`); the queries
+don't (a text with more than PER_TEXT gives about so many). Each generator's threshold is the smallest that keeps the wanted precision on the candidates
+that were held out of the fit. The trees are then compiled into one expression over the candidates of
+each row, so scoring every document is a projection without shuffle.
 
 Positions are code points, end exclusive. A pattern's gaps (split) and matches (extract_all) give its
 spans by running totals, in two levels so that a text with very many matches stays near linear; where
@@ -41,7 +42,9 @@ PATTERNS = {
 }
 SECRET_CONTEXT = r"(?i)(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?$"
 NUMBER_CONTEXT = r"(?i)(?:tel|phone|call|fax|mobile|card|account|iban|ssn|passport)[^\n]{0,12}$"
-SAMPLE, ROUNDS, DEPTH, PRECISION = 8192, 16, 3, 0.98
+ROUNDS, DEPTH, PRECISION = 16, 3, 0.98
+#: Counted rows that are put in one order in one task, so that sums of the same table are the same; more stay spread.
+ORDERED = 1 << 16
 #: Candidates that one text counts as in the fit, if it has more.
 PER_TEXT = 64
 CONTEXT = 32
@@ -139,7 +142,17 @@ def _features(x: Column) -> dict[str, Column]:
     }
 
 
-FEATURES = 18
+_SHARES, _FLAG = [i / 16 for i in range(16)], [0.0]
+_LENGTHS = [*range(7, 21), 22, 24, 26, 28, 30, 32, 36, 40, 44, 48, 56, 64, 80, 96, 128, 192, 256]
+#: Where the trees may split each feature of _features, in its order: values up to a cut go left.
+CUTS = [
+    [float(v) for v in cuts]
+    for cuts in (
+        _FLAG, _LENGTHS, [*range(6), *_LENGTHS], _SHARES, _SHARES, _SHARES, [*range(9), 12, 16, 24, 32], _SHARES,
+        _FLAG, range(7), _FLAG, _FLAG, _FLAG, _FLAG, _FLAG, _FLAG, _FLAG, _FLAG,
+    )
+]
+FEATURES = len(CUTS)
 
 
 def _candidates(text: str) -> Column:
@@ -196,36 +209,55 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return rows.select("held", F.when(certain, 1.0).otherwise(0.0).alias("label"), "x", place("take").alias("take"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Chooser | None:
-    """Trees fitted on about `sample` candidates at most of each generator and label; None where all documents hold too few."""
+def _counted(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """label, held, share, q (between which cuts each feature lies) and n: how many candidates have them, of all or of those taken."""
+    candidates, share = _labelled(docs), F.lit(1.0)
+    if sample is not None:
+        for r in candidates.groupBy("x.kind", "label").count().collect():  # at most 4 rows
+            share = F.when((F.col("x.kind") == r["kind"]) & (F.col("label") == r["label"]), min(1.0, sample / r["count"])).otherwise(share)
+        candidates = candidates.withColumn("share", share).filter(F.col("take") < F.col("share"))
+    else:
+        candidates = candidates.withColumn("share", share)
+    cuts = F.array(*[F.array(*map(F.lit, c)) for c in CUTS])
+    rows = candidates.select("label", "held", "share", F.array(*_features(F.col("x")).values()).alias("f"))
+    place = F.zip_with("f", cuts, lambda v, c: F.size(F.filter(c, lambda at: at < v)))
+    return rows.select("label", "held", "share", place.alias("q")).groupBy("label", "held", "share", "q").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(docs: DataFrame, sample: int | None = None) -> Chooser | None:
+    """Trees fitted on all candidates, or on about `sample` at most of each generator and label; None where all documents hold too few."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    candidates = _labelled(docs)
-    strata = candidates.groupBy("x.kind", "label").count().collect()  # at most 4 rows
-    share = F.lit(0.0)
-    for r in strata:
-        share = F.when((F.col("x.kind") == r["kind"]) & (F.col("label") == r["label"]), min(1.0, sample / r["count"])).otherwise(share)
-    rows = candidates.withColumn("share", share).filter(F.col("take") < F.col("share"))
-    rows = rows.select("label", "held", "share", F.array(*_features(F.col("x")).values()).alias("f"))
-    # Repeated rows are taken together, so they are counted here and add no rows.
-    rows = rows.groupBy("label", "held", "share", "f").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", F.col("n") / F.col("share"))
-    rows = rows.coalesce(1).sortWithinPartitions("label", "held", "f").select("label", "held", "f", "n", "weight", array_to_vector("f").alias("features")).persist()
+    counted = _counted(docs, sample).persist()
+    rows = None
     try:
-        seen = {(r["label"], r["held"]): r["n"] for r in rows.groupBy("label", "held").agg(F.sum("n").alias("n")).collect()}
+        strata = counted.groupBy("label", "held").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # at most 4 rows
+        seen = {(r["label"], r["held"]): r["n"] for r in strata}
         if min(seen.get((y, False), 0) for y in (0.0, 1.0)) < 8:
             return None
+        # One feature a cut: whether the value lies beyond it.
+        which = [(j, at) for j, cuts in enumerate(CUTS) for at in cuts]
+        sizes = F.array(*[F.lit(len(cuts)) for cuts in CUTS])
+        beyond = F.flatten(F.zip_with("q", sizes, lambda v, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: (k < v).cast("double"))))
+        kinds = {"ml_attr": {"attrs": {"binary": [{"idx": i} for i in range(len(which))]}, "num_attrs": len(which)}}
+        few = sum(r["rows"] for r in strata) <= ORDERED
+        rows = (counted.coalesce(1) if few else counted).sortWithinPartitions("label", "held", "share", "q")
+        rows = rows.select("label", "held", "q", (F.col("n") / F.col("share")).alias("weight"), array_to_vector(beyond).alias("features", metadata=kinds)).persist()
         model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=9, maxBins=32, weightCol="weight").fit(rows.filter(~F.col("held")))
 
         def walk(node):
             if node.subtreeDepth() == 0:
                 return float(node.prediction())
-            s = node.split()
-            return int(s.featureIndex()), float(s.threshold()), walk(node.leftChild()), walk(node.rightChild())
+            s, left, right = node.split(), walk(node.leftChild()), walk(node.rightChild())
+            return *which[int(s.featureIndex())], *((left, right) if 0.0 in list(s.leftCategories()) else (right, left))
 
         chooser = Chooser([(float(w), walk(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)])
+        # Any value between the same cuts has the same score: that of the upper one, and beyond the last one infinity's.
+        tops = F.array(*[F.array(*map(F.lit, [*cuts, float("inf")])) for cuts in CUTS])
+        held = rows.filter("held").select("label", "weight", F.zip_with("q", tops, lambda v, c: F.get(c, v)).alias("f"))
         score = chooser.score([F.get("f", F.lit(i)) for i in range(FEATURES)])
-        scored = rows.filter("held").select("label", "weight", (F.get("f", F.lit(0)) > 0).alias("secret"), (F.floor(score * 100) / 100).alias("p"))
+        scored = held.select("label", "weight", (F.get("f", F.lit(0)) > 0).alias("secret"), (F.floor(score * 100) / 100).alias("p"))
         steps = scored.groupBy("secret", "p").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()  # at most 202 rows
         for kind in chooser.thresholds:
             by = sorted((r["p"], r["n"], r["good"]) for r in steps if r["secret"] == (kind == "secret"))
@@ -235,7 +267,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Chooser | None:
                     break
         return chooser
     finally:
-        rows.unpersist()
+        for df in filter(None, (rows, counted)):
+            df.unpersist()
 
 
 #: The columns that find() adds.

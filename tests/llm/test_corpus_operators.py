@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -412,6 +413,18 @@ def test_boosted_spans_beside_many_negatives(spark):
     assert not any(got[i].spans for i in range(80, 480))
 
 
+def test_boosted_spans_count_every_candidate(spark):
+    """9000 candidates of one label and one place are all counted, and so are the rare ones beside them."""
+    texts = [f"lot {10**7 + i} left" for i in range(9000)] + [f"token = \"a{i:023d}\" now" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.label, r.held): r.n for r in pii._counted(df).groupBy("label", "held").agg(F.sum("n").alias("n")).collect()}
+    want = Counter((float(i >= 9000), zlib.crc32(str(i).encode()) % 4 == 0) for i in range(len(texts)))
+    assert got == want
+    rows = pii._counted(df).collect()
+    assert len(rows) < 100 and all(r.share == 1.0 for r in rows)
+    assert all(len(pii.CUTS) == len(r.q) and all(0 <= v <= len(c) for v, c in zip(r.q, pii.CUTS, strict=True)) for r in rows)
+
+
 def test_classifier_held_out(spark):
     out = quality_classifier.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in out) / len(out) > 0.95
