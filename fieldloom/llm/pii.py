@@ -9,7 +9,7 @@ contexts: every candidate's features are placed between fixed cuts (CUTS), and e
 so the fit reads a table of exact counts that grows far slower than the documents. The trees split at
 these cuts alone, which go to the learner as features of two values, so it seeks no splits in a sample
 of its own. A caller may bound the candidates of each generator and label (`sample`); the queries
-don't (a text with more than PER_TEXT gives about so many). Each generator's threshold is the smallest that keeps the wanted precision on the candidates
+don't. Each generator's threshold is the smallest that keeps the wanted precision on the candidates
 that were held out of the fit. The trees are then compiled into one expression over the candidates of
 each row, so scoring every document is a projection without shuffle.
 
@@ -45,8 +45,6 @@ NUMBER_CONTEXT = r"(?i)(?:tel|phone|call|fax|mobile|card|account|iban|ssn|passpo
 ROUNDS, DEPTH, PRECISION = 16, 3, 0.98
 #: Counted rows that are put in one order in one task, so that sums of the same table are the same; more stay spread.
 ORDERED = 1 << 16
-#: Candidates that one text counts as in the fit, if it has more.
-PER_TEXT = 64
 CONTEXT = 32
 STEP = 64
 
@@ -196,17 +194,16 @@ class Chooser:
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    """One row a candidate that may be fitted on: x, label, held, take (its place in [0, 1) for sampling)."""
+    """One row a candidate, of all: x, label, held, take (its place in [0, 1), for callers that bound the fit)."""
     spans = base_spans(docs.select("doc_id", "text"))
     base = F.concat(*[F.col(f"__{k}") for k in KINDS[:4]])
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), "text")) % 4 == 0
     # No filter on the arrays themselves: it would be pushed below the projections that make them, with these in it many times over.
-    rows = spans.select("doc_id", held.alias("held"), base.alias("base"), (F.size("__number") + F.size("__secret")).alias("n"), F.explode(_candidates("text")).alias("x"))
+    rows = spans.select("doc_id", held.alias("held"), base.alias("base"), F.explode(_candidates("text")).alias("x"))
     x = F.col("x")
-    place = lambda use: F.pmod(F.xxhash64(F.lit(use), "doc_id", x["s"], x["m"]), F.lit(1 << 31)) / F.lit(1 << 31)
+    take = F.pmod(F.xxhash64(F.lit("take"), "doc_id", x["s"], x["m"]), F.lit(1 << 31)) / F.lit(1 << 31)
     certain = F.when(x["kind"] == "number", _overlaps(x, F.col("base"))).otherwise(x["before"].rlike(SECRET_CONTEXT) | x["m"].rlike("^(AKIA|ASIA|ghp_|sk-|xox)") | _overlaps(x, F.col("base")))
-    rows = rows.filter(place("text") * F.col("n") < PER_TEXT)
-    return rows.select("held", F.when(certain, 1.0).otherwise(0.0).alias("label"), "x", place("take").alias("take"))
+    return rows.select("held", F.when(certain, 1.0).otherwise(0.0).alias("label"), "x", take.alias("take"))
 
 
 def _counted(docs: DataFrame, sample: int | None = None) -> DataFrame:

@@ -425,6 +425,12 @@ def test_boosted_spans_count_every_candidate(spark):
     assert all(len(pii.CUTS) == len(r.q) and all(0 <= v <= len(c) for v, c in zip(r.q, pii.CUTS, strict=True)) for r in rows)
 
 
+def test_boosted_spans_count_texts_with_many_candidates_whole(spark):
+    df = spark.createDataFrame([(1, "".join(f"lot {10**7 + i}, " for i in range(600))), (2, "lot 12345678"), (None, None)], "doc_id long, text string")
+    assert pii._labelled(df).count() == 601
+    assert pii._counted(df).agg(F.sum("n")).first()[0] == 601
+
+
 def test_classifier_held_out(spark):
     out = quality_classifier.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in out) / len(out) > 0.95
