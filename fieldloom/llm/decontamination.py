@@ -38,6 +38,8 @@ EVIDENCE = 6
 #: Share of an alignment's value pairs that may contradict each other (a copy with a word or two changed).
 TOLERANCE = 0.2
 BITS = 1 << 20
+#: Documents whose windows are hashed together.
+TEXTS = 64
 # Units of measure that a placeholder stands for.
 UNITS = frozenset(
     "percent dollar dollars euro euros cent cents pound pounds kg g mg km m cm mm mile miles meter meters metre metres foot feet inch inches "
@@ -76,6 +78,7 @@ class _Codes(dict):
 
 _codes = _Codes()
 _FACTORS = np.random.default_rng(8).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+_IS = np.eye(4, dtype=bool)
 #: What stands for a number, a name and a unit.
 _PLACES = np.random.default_rng(9).integers(1, 1 << 63, 4, np.uint64)
 
@@ -104,7 +107,8 @@ def window_forms(words: list[str], size: int, literals: int, template: bool) ->
 
     def held(*which: int) -> np.ndarray:
         """How many words of these kinds are in each window."""
-        c = np.concatenate([[0], np.cumsum(np.isin(kinds, which))])
+        c = np.zeros(len(kinds) + 1, np.int32)
+        np.cumsum(_IS[list(which)].any(axis=0)[kinds], out=c[1:])
         return c[size:] - c[:-size]
 
     value = (kinds == NUMBER) | (kinds == UNIT)
@@ -133,28 +137,37 @@ def _windows(df: DataFrame, key: str, bitmap: tuple[np.ndarray, list[int]] | Non
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64()]
+        for b in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             out: list[list] = [[], [], [], [], [], [], []]
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = WORDS.findall(text or "")
+            keys, found = b.column(0).to_pylist(), [WORDS.findall(t or "") for t in b.column(1).to_pylist()]
+            # Items one at a time, documents many at a time: their windows are those of one row of words that lie within one text.
+            for first, texts in enumerate([[x] for x in found]) if bitmap is None else [(0, found)]:
+                words = [w for x in texts for w in x]
                 if not words:
                     continue
+                lengths = np.array([len(x) for x in texts])
+                text, begin = np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths) - lengths
                 for size in [min(window, len(words))] if bitmap is None else [window, *bitmap[1]]:
-                    found = window_forms(words, size, literals, size == window)
+                    forms_found = window_forms(words, size, literals, size == window)
+                    if not forms_found:
+                        continue
                     if bitmap is None:
                         wid = np.zeros(len(words) - size + 1, np.int64)
-                        for _, h, good, _ in found:  # the template, where there is one, is the last
+                        for _, h, good, _ in forms_found:  # the template, where there is one, is the last
                             wid[good] = h[good]
-                    for forms, h, good, kinds in found:
+                    within = text[size - 1 :] == text[: len(text) - size + 1]
+                    for forms, h, good, kinds in forms_found:
+                        at = np.flatnonzero(good & within)
                         if bitmap is not None:
-                            bit = h.view(np.uint64) & np.uint64(BITS - 1)
-                            good = good & ((bitmap[0][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                        for i in np.flatnonzero(good).tolist():
-                            slots = [low for low, kind in map(word_kind, words[i : i + size]) if kind in kinds]
-                            for column, v in zip(out, (k, i, size, forms, int(h[i]), slots, int(wid[i]) if bitmap is None else 0), strict=True):
+                            bit = h[at].view(np.uint64) & np.uint64(BITS - 1)
+                            at = at[((bitmap[0][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+                        for i in at.tolist():
+                            t = int(text[i])
+                            slots = [word_kind(w)[0] for w in words[i : i + size] if _codes[w] & 3 in kinds]
+                            for column, v in zip(out, (keys[first + t], i - int(begin[t]), size, forms, int(h[i]), slots, int(wid[i]) if bitmap is None else 0), strict=True):
                                 column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [key, "at", "size", "forms", "hash", "slots", "wid"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [key, "at", "size", "forms", "hash", "slots", "wid"])
 
     plain = df.select(F.col(key).cast("long").alias(key), "text")
     return plain.mapInArrow(run, f"{key} long, at long, size int, forms int, hash long, slots array<string>, wid long")

@@ -156,6 +156,29 @@ def test_decontamination(spark):
     assert mixed
 
 
+def test_windows_of_many_documents_at_once(spark, monkeypatch):
+    """Documents are hashed together, which gives the same windows as one by one and none across two of them."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["Alpha", "beta", "7", "km", "of", "the", "Gamma", "word", "b2"]) for _ in range(r.randrange(30))) for _ in range(200)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    calls, forms = [], decontamination.window_forms
+    monkeypatch.setattr(decontamination, "window_forms", lambda *a: calls.append(1) or forms(*a))
+    run = decontamination._windows(Rows(), "doc_id", (np.full(decontamination.BITS // 8, 255, np.uint8), [3]), 8, 4)
+    rows = lambda batches: sorted(map(str, (x for b in batches for x in b.to_pylist())))
+    together = rows(run([batch]))
+    assert len(calls) < len(texts) / 8
+    assert len(together) > 1000 and together == rows(run([batch.slice(i, 1) for i in range(len(texts))]))
+
+
 def test_decontamination_in_any_case(spark):
     item = "Anna buys 12 apples and 30 pears at the small market for 5 euros, then gives half of the pears to her brother. How many pears are left?"
     few = "Paris London Rome 1 2 3 4 5 6 of 7 8 Berlin Madrid"
