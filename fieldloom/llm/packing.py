@@ -22,6 +22,13 @@ LENGTH = 4096
 #: Sequences in a mixture window.
 WINDOW = 64
 END_ID = 2
+#: Texts whose ids a task holds as Python objects, and sends back, at a time.
+ROWS = 512
+
+
+def _parts(batches):
+    """The batches in parts of ROWS rows, so that what a task holds doesn't grow with the batches that it is given."""
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -36,7 +43,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_
 
         encode = word_tokenizer(tokenizer).encode
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in _parts(batches):
             ids = [encode(t or "") + end for t in b.column(2).to_pylist()]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array([_narrow(x) for x in ids], pa.binary())], ["doc_id", "source", "n", "ids"])
@@ -91,7 +98,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
 
         from fieldloom.llm.packing import _wide
 
-        for b in batches:
+        for b in _parts(batches):
             doc, source, ids, begin = (b.column(i).to_pylist() for i in range(4))
             out: list[list] = [[] for _ in range(8)]
             for i in range(len(doc)):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
 #: Pieces that a worker remembers at most; later ones are encoded each time.
-MEMORY = 600_000
+MEMORY = 200_000
 #: The one layout of file for which pieces are known to be encoded independently of their surroundings.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with other characters than these go whole to the tokenizer, which then normalises them itself.
@@ -39,7 +40,8 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        out = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(written)]
+        out = pack(f"<{len(ids)}I", *ids)
         if len(self) < MEMORY:
             self[piece] = out
         return out

@@ -156,6 +156,28 @@ def test_decontamination(spark):
     assert mixed
 
 
+def test_packing_encodes_batches_in_parts(spark):
+    """However many rows a batch has, a task turns packing.ROWS of them into Python objects at a time."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+        def withColumn(self, *_):  # noqa: N802
+            return self
+
+    n = 2 * packing.ROWS + 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["s"] * n), pa.array([f"text {i}" for i in range(n)])], ["doc_id", "source", "text"])
+    out = list(packing.encode_documents(Rows(), P.path("word_bpe_49k.json")).run([batch]))
+    assert [b.num_rows for b in out] == [packing.ROWS, packing.ROWS, 100]
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(n))
+
+
 def test_windows_of_many_documents_at_once(spark, monkeypatch):
     """Documents are hashed together, which gives the same windows as one by one and none across two of them."""
     import pyarrow as pa
