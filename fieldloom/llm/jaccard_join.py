@@ -174,8 +174,10 @@ def _possible(pairs: DataFrame, held: DataFrame, reach: Column) -> DataFrame:
 def _cells(held: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b): links found; (node, centre, far): the texts that are in another's cell, by the nearest centre that is in none itself."""
     links = cells = None
-    left = held
+    left, more = held, None
     for _ in range(ROUNDS):
+        if more is not None:  # written, so that a round's plan doesn't hold those of the rounds before
+            left = held.join(stash(more, "left"), "node", "left_semi")
         first = left.select("node", "n", F.explode(F.slice("pivots", 1, FIRST)).alias("pivot"))
         centres = first.groupBy("pivot").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("pivot", "a")
         spokes = first.join(centres, "pivot").filter("a < node").select("a", F.col("node").alias("b")).distinct()
@@ -190,7 +192,6 @@ def _cells(held: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[
         open_ = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(inside.select("node"), "node", "left_anti").join(inside.select(F.col("centre").alias("node")).distinct(), "node", "left_anti")
         missed = spokes.join(near.select("a", "b"), ["a", "b"], "left_anti").select(F.col("b").alias("node")).distinct()
         more = missed.unionByName(open_).distinct().join(inside.select("node"), "node", "left_anti")
-        left = left.join(more, "node", "left_semi")
     return links, cells
 
 
@@ -286,6 +287,7 @@ def join(docs: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFra
     unstash(whole_signed)
     # A doc_id with several sets has no distance; it neither is a centre nor goes to a cell.
     torn = signed.filter("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct(*point)).alias("lo"), F.max(F.struct(*point)).alias("hi")).filter("lo <> hi").select("node")
+    torn = stash(torn, "torn")
     links, cells = _cells(held.join(torn, "node", "left_anti"), docs, words, percent)
     regions, simple = _regions(held, cells, docs, words, leaf)
     regions = stash(regions, "regions")
@@ -313,10 +315,10 @@ def join(docs: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFra
     around = members.join(measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far", (F.col("whole") - F.col("common")).alias("d"), "apart"), ["centre", "node"])
     links = links.unionByName(measured.filter(_linked(percent)).select("a", "b")).unionByName(_by_the_nearest(around, percent))
     links = stash(links.distinct(), "all-links")
-    classes = components(links)
+    classes = stash(components(links), "classes")
 
-    more = _boundary_pairs(centred.filter(~_linked(percent) & (F.col("far") <= F.col("reach") + 1e-9)), cells, classes, eps)
-    more = more.unionByName(_difference_pairs(around, members.filter("node = centre"), classes, percent)).distinct()
+    more = stash(_boundary_pairs(centred.filter(~_linked(percent) & (F.col("far") <= F.col("reach") + 1e-9)), cells, classes, eps), "boundary")
+    more = more.unionByName(stash(_difference_pairs(around, members.filter("node = centre"), classes, percent), "differences")).distinct()
     more = stash(_possible(more, held, F.lit(eps)), "late-pairs")
     if not more.isEmpty():
         late = stash(compare(more, docs, words).filter(_linked(percent)).select("a", "b"), "late-links")

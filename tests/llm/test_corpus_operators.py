@@ -156,6 +156,20 @@ def test_decontamination(spark):
     assert mixed
 
 
+def test_plans_of_the_jaccard_join_stay_small(spark, monkeypatch):
+    """No step's plan holds those of the rounds before it: the driver plans and keeps each of its exchanges."""
+    sizes, stash = {}, jaccard_join.stash
+
+    def measured(df, name, *a):
+        sizes[name] = max(sizes.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return stash(df, name, *a)
+
+    monkeypatch.setattr(jaccard_join, "stash", measured)
+    docs = _docs(spark, [(i, " ".join(f"w{j}" for j in range(i % 7, 40 + i % 3)), "a") for i in range(60)] + ODD)
+    jaccard_join.join(docs.select("doc_id", "text"), words=3, percent=80)
+    assert sizes["spokes"] and max(sizes.values()) < 30, sizes
+
+
 def test_packing_encodes_batches_in_parts(spark):
     """However many rows a batch has, a task turns packing.ROWS of them into Python objects at a time."""
     import pyarrow as pa
