@@ -223,6 +223,12 @@ def _index(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, mets), reduce(DataFrame.unionByName, entries)
 
 
+def _carrying(held: DataFrame, within: DataFrame, asked: DataFrame) -> DataFrame:
+    """pivot, node: the texts of `within` that carry an asked shingle up to their last place; a join by the shingle, whose rows are those found, without a filter's chance hits."""
+    first = held.select("node", "pivots").join(within, "node")
+    return first.select("node", F.explode(F.slice("pivots", F.lit(1), (F.col("last") + 1).cast("int"))).alias("pivot")).join(asked, "pivot").select("pivot", "node")
+
+
 def _regions(held: DataFrame, cells: DataFrame, docs: DataFrame, words: int, leaf: int) -> tuple[DataFrame, DataFrame]:
     """Two tables. pivot, node, centre, most: the texts under each of their first margin + 1 shingles, in an order in which crowded ones come last
     (`most`: what texts that meet under a crowded one can have in common). node, n, lost, rest: the texts of plain ones, their crowded shingles, and those after their first ones."""
@@ -241,10 +247,15 @@ def _regions(held: DataFrame, cells: DataFrame, docs: DataFrame, words: int, lea
     plain = entries.join(hot, "pivot", "left_anti").join(within, "node").filter("at <= last").select("pivot", "node", "centre")
     # The others carry the first of all their other shingles, then crowded ones, the least crowded first.
     whole = stash(_whole_sets(short, docs, words), "whole-sets")
-    # Shingles that crowd among these come last as well, unless another text carries them in their first place.
+    # Shingles that crowd among these come last as well, unless another text carries them in its first places.
     more = stash(whole.groupBy("pivot").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") > leaf).join(hot.select("pivot"), "pivot", "left_anti"), "hot")
-    carried = may_hold(every, "pivot", more, "pivot").join(more.select("pivot"), "pivot").join(enough.select("node"), "node").select("pivot").distinct()
-    hot = hot.unionByName(stash(more.join(carried, "pivot", "left_anti"), "hot"))
+    # Besides these, one pass over what the other texts carry asks for shingles of at most one cell that come first in a whole set, whichever of these do come last.
+    late = whole.join(hot.unionByName(more).select("pivot", F.lit(1).alias("late")), "pivot", "left").join(short, "node")
+    before = F.sum(F.when(F.col("late").isNull(), 1).otherwise(0)).over(Window.partitionBy("node").orderBy("at"))
+    early = late.withColumn("before", before).filter("late is null and before <= m + 1").select("pivot").distinct()
+    asked = stash(early.join(met, "pivot", "left_anti").unionByName(more.select("pivot")), "asked")
+    seen = stash(_carrying(held, within, asked), "seen")
+    hot = hot.unionByName(stash(more.join(seen.select("pivot").distinct(), "pivot", "left_anti"), "hot"))
     whole = whole.join(hot, "pivot", "left").join(short, "node")
     by = Window.partitionBy("node")
     order = by.orderBy(F.col("cells").asc_nulls_first(), F.when(F.col("cells").isNull(), F.col("at")), "pivot")
@@ -255,7 +266,7 @@ def _regions(held: DataFrame, cells: DataFrame, docs: DataFrame, words: int, lea
     deep = stash(deep.join(of.select("node", "centre"), "node"), "deep")
     # Texts that hold these further shingles among their own first ones.
     beyond = stash(deep.filter("open").select("pivot").distinct().join(met, "pivot", "left_anti"), "beyond")
-    others = may_hold(every, "pivot", beyond, "pivot").join(beyond, "pivot").join(within, "node").filter("at <= last").select("pivot", "node", "centre")
+    others = seen.join(beyond, "pivot").join(of.select("node", "centre"), "node").select("pivot", "node", "centre")
     free = F.lit(None).cast("long").alias("most")
     regions = plain.unionByName(others).select("pivot", "node", "centre", free).unionByName(deep.select("pivot", "node", "centre", "most"))
     # Of its first margin + 1 + lost shingles such a text shares crowded ones besides those that regions show, and after them whatever is left.

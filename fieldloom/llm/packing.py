@@ -77,14 +77,15 @@ def lay_out(rows: DataFrame, window_tokens: int, weights: dict[str, float] | Non
     shares = shares.crossJoin(F.broadcast(whole)).select(F.col("source").alias("of"), (F.lit(float(window_tokens)) * F.col("share") / F.col("whole")).alias("quantum"))
     due = F.when(F.col("quantum") > 0, (F.ceil((F.col("before") + F.col("n")) / F.col("quantum")) - 1).cast("long")).otherwise(F.lit(1 << 50))
     placed = queued.join(shares, F.col("source").eqNullSafe(F.col("of"))).withColumn("window", due).select("row", "source", "n", "before", "window")
+    placed = stash(placed, "placed")  # written, as what follows is, so that the windows' totals don't plan the documents' over and over
     from pyspark.sql import Window
 
-    parts = placed.groupBy("window", "source").agg(F.sum("n").alias("part"), F.min("before").alias("first"))
+    parts = stash(placed.groupBy("window", "source").agg(F.sum("n").alias("part"), F.min("before").alias("first")), "parts")
     inner = F.coalesce(F.sum("part").over(Window.partitionBy("window").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     windows = running_total(parts.groupBy("window").agg(F.sum("part").alias("size")), [], "window", "size", "base")
     parts = parts.withColumn("inner", inner).join(windows.select("window", "base"), "window")
     shifts = parts.select(F.col("window").alias("w"), F.col("source").alias("s"), (F.col("base") + F.col("inner") - F.col("first")).alias("shift"))
-    at = placed.join(shifts, (F.col("window") == F.col("w")) & F.col("source").eqNullSafe(F.col("s")))
+    at = placed.join(stash(shifts, "shifts"), (F.col("window") == F.col("w")) & F.col("source").eqNullSafe(F.col("s")))
     return at.select("row", (F.col("before") + F.col("shift")).alias("begin"))
 
 

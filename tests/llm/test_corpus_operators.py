@@ -170,6 +170,51 @@ def test_plans_of_the_jaccard_join_stay_small(spark, monkeypatch):
     assert sizes["spokes"] and max(sizes.values()) < 30, sizes
 
 
+@pytest.mark.parametrize(("words", "percent"), [(2, 80), (3, 90)])
+def test_jaccard_join_finds_further_shingles_without_chance_hits(spark, monkeypatch, words, percent):
+    """Lookups of shingles keep the rows that have them alone: a bitmap of fixed size lets more pass by chance as both sides grow, until it lets all pass."""
+    monkeypatch.setattr(jaccard_join, "SPARE", 0)
+    found, filtered, stash, may_hold = {}, set(), jaccard_join.stash, jaccard_join.may_hold
+
+    def kept(df, name, *a):
+        found.setdefault(name, []).append(out := stash(df, name, *a))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stash", kept)
+    monkeypatch.setattr(jaccard_join, "may_hold", lambda df, column, *a, **k: filtered.add(column) or may_hold(df, column, *a, **k))
+    r = random.Random(words * percent)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    common = [[word() for _ in range(30)] for _ in range(4)]
+    rows = []
+    for i in range(160):
+        t = [*common[i % 4][: r.randint(20, 30)], *[word() for _ in range(r.choice([0, 2, 30, 60]))]]
+        if rows and r.random() < 0.4:
+            t = r.choice(rows)[1].split(" ")
+            for _ in range(r.choice([1, 1, 2, 4])):
+                t[r.randrange(len(t))] = word()
+        rows.append((i, " ".join(t)))
+    got = {x.doc_id: x.component_id for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent, 3).collect()}
+    assert got == _classes(_sets(rows, words), percent)
+    assert filtered == {"doc_id"} and len(found["whole-sets"][0].take(1)) == 1
+    # A text's own row for a shingle is no other's.
+    held = found["points"][0].select("node", "m", "pivots").collect()
+    asked = [p for x in held[::9] for p in x["pivots"][::3]] + [1, 2]
+    places = [(x["node"], x["m"] + x["node"] % 3) for x in held if x["node"] % 5]
+    out = jaccard_join._carrying(found["points"][0], spark.createDataFrame(places, "node long, last long"), spark.createDataFrame([(p,) for p in set(asked)], "pivot long"))
+    last = dict(places)
+    want = sorted((p, x["node"]) for x in held if x["node"] in last for p in x["pivots"][: last[x["node"]] + 1] if p in set(asked))
+    assert want and sorted(map(tuple, out.collect())) == want
+
+
+def test_plans_of_packing_stay_small(spark, monkeypatch):
+    """The plan of the pieces holds the running totals of the windows and of the documents once at most."""
+    docs = _docs(spark, [(i, "a b c " * (i % 5), "ab"[i % 2]) for i in range(40)])
+    import public_tokenizers
+
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert pieces._jdf.queryExecution().executedPlan().toString().count("Exchange") < 10
+
+
 def test_packing_encodes_batches_in_parts(spark):
     """However many rows a batch has, a task turns packing.ROWS of them into Python objects at a time."""
     import pyarrow as pa
