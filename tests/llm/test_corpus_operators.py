@@ -206,6 +206,59 @@ def test_jaccard_join_finds_further_shingles_without_chance_hits(spark, monkeypa
     assert want and sorted(map(tuple, out.collect())) == want
 
 
+def test_the_jaccard_join_moves_no_shingles_to_sort_texts_out(spark, monkeypatch):
+    """Bounds of pairs and the lookup of asked shingles don't shuffle the shingles that texts carry, even where Spark broadcasts nothing by itself."""
+    moved, stash = {}, jaccard_join.stash
+
+    def seen(df, name, *a):
+        said = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", said)
+        moved[name] = moved.get(name, False) | any("pivots#" in x for x in inputs)
+        return stash(df, name, *a)
+
+    monkeypatch.setattr(jaccard_join, "stash", seen)
+    docs = [(i, " ".join(f"w{j}" for j in range(i % 7, 40 + i % 3))) for i in range(60)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=80)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {"points", "spokes", "pairs", "late-pairs", "seen"} <= set(moved)
+    assert not [name for name in ("pairs", "late-pairs", "seen") if moved[name]], moved
+
+
+def test_jaccard_join_bounds_pairs_by_halves_of_shingles(spark):
+    """No pair within reach is lost, even where the kept halves of shingles are equal; and pairs whose sizes alone rule a link out go first."""
+    r = np.random.default_rng(5)
+    pool = np.sort(np.concatenate([(np.int64(i) << 32) + r.integers(0, 1 << 32, 3) for i in r.choice(1 << 30, 110, False)]))
+    sets = []
+    for i in range(60):
+        base = pool if i % 3 == 0 else pool[:90] if i % 3 == 1 else pool[::3]
+        sets.append(np.sort(r.choice(base, max(2, int(len(base) * r.uniform(0.75, 1))), False)))
+    rows = [(i, len(x), [int(v) for v in jaccard_join.leading(x[:120])]) for i, x in enumerate(sets)]
+    assert all(len(set(f)) == len(f) for _, _, f in rows)
+    near = {(a, b) for a in range(60) for b in range(a + 1, 60) if (c := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 60 * (len(sets[a]) + len(sets[b]) - c)}
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    got = {tuple(x) for x in jaccard_join._possible(pairs, spark.createDataFrame(rows, "node long, n long, first array<int>"), F.lit(0.4)).collect()}
+    assert near and near <= got and len(got) < 60 * 59 // 2
+    simple = spark.createDataFrame([(1, 100, 0, 69), (2, 1000, 0, 899), (3, 105, 0, 74)], "node long, n long, lost long, rest long")
+    met = spark.createDataFrame([(1, 2, 9), (1, 3, 30), (2, 4, 1)], "a long, b long, met long")
+    none = spark.createDataFrame([], "centre long, r double")
+    assert {(x.a, x.b) for x in jaccard_join._meeting_often(met, none, simple, 0.1).collect()} == {(1, 3), (2, 4)}
+
+
+def test_jaccard_join_looks_up_many_asked_shingles_by_a_shuffle(spark, monkeypatch):
+    """The same rows come from a broadcast and, beyond ASKED shingles, from a shuffled join."""
+    held = spark.createDataFrame([(i, list(range(i, i + 9))) for i in range(40)], "node long, pivots array<long>")
+    within = spark.createDataFrame([(i, i % 9) for i in range(0, 40, 2)], "node long, last long")
+    asked = spark.createDataFrame([(p,) for p in range(5, 45, 3)], "pivot long")
+    want = sorted((p, i) for i in range(0, 40, 2) for p in range(i, i + i % 9 + 1) if p in range(5, 45, 3))
+    for most in (1 << 18, 3):
+        monkeypatch.setattr(jaccard_join, "ASKED", most)
+        assert sorted(map(tuple, jaccard_join._carrying(held, within, asked).collect())) == want
+
+
 def test_plans_of_packing_stay_small(spark, monkeypatch):
     """The plan of the pieces holds the running totals of the windows and of the documents once at most."""
     docs = _docs(spark, [(i, "a b c " * (i % 5), "ab"[i % 2]) for i in range(40)])
