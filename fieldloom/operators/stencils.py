@@ -5,6 +5,9 @@ pixels beyond the border are copies of those inside, by mapping coordinates. So
 directions: a separable kernel is a sum of lagged values along x, then along y, within a tile. A window
 holds one row or column of a tile; copies add about 4 * radius / TILE of the pixels.
 
+Windows that aren't separable (waves, entropy) are spread out in NumPy, a strip of a tile's rows at a time: as rows
+they would be as many as the window has places, times the pixels.
+
 Box sums need no halo: they are differences of running totals along whole rows, then along whole columns.
 
 Absent pixels aren't interpolated: make tables dense first (`dense`).
@@ -13,11 +16,14 @@ Absent pixels aren't interpolated: make tables dense first (`dense`).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TILE = 256
+#: Values of windows that a tile's task spreads out at a time.
+STRIP = 1 << 20
 BORDERS = ("reflect", "mirror", "nearest")
 
 
@@ -35,12 +41,16 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def _copies(c: Column, extent: int, r: int, border: str) -> Column:
-    """Where a coordinate stands, itself and beyond the border: the edge repeated (reflect), not repeated (mirror), or carried on (nearest)."""
+def _check(extent: int, r: int, border: str) -> None:
     if border not in BORDERS:
         raise ValueError(f"unknown border {border!r}: one of {BORDERS}")
     if r > extent - (border == "mirror") and border != "nearest":
         raise ValueError(f"a radius of {r} exceeds an image's side of {extent}")
+
+
+def _copies(c: Column, extent: int, r: int, border: str) -> Column:
+    """Where a coordinate stands, itself and beyond the border: the edge repeated (reflect), not repeated (mirror), or carried on (nearest)."""
+    _check(extent, r, border)
     none = F.array().cast("array<int>")
     if border == "nearest":
         low, high = F.sequence(F.lit(-r), F.lit(-1)) if r else none, F.sequence(F.lit(extent), F.lit(extent + r - 1)) if r else none
@@ -105,40 +115,115 @@ def median(px: DataFrame, keys: list[str], value: str, size: int, height: int, w
     return box.select(*keys, "y", "x", F.get(F.array_sort(F.flatten("__box")), F.lit(size * size // 2)).alias(value))
 
 
-def neighbours(px: DataFrame, keys: list[str], value: str, offsets: DataFrame, ry: int, rx: int, height: int, width: int, border: str | None, tile: int = 0) -> DataFrame:
-    """keys, ty, tx, y, x, value and the columns of offsets (dy, dx and others; as many rows as a stencil has places): a row for each place of the stencil around each pixel.
+def _mapped(first: int, end: int, extent: int, border: str | None) -> np.ndarray:
+    """Where the coordinates from first to end - 1 stand inside an image, as _copies has it; -1 beyond an image without a border."""
+    c = np.arange(first, end)
+    if border is None:
+        return np.where((c >= 0) & (c < extent), c, -1)
+    if border == "nearest":
+        return np.clip(c, 0, extent - 1)
+    skip = int(border == "mirror")
+    return np.where(c < 0, skip - 1 - c, np.where(c >= extent, 2 * extent - 1 - skip - c, c))
+
 
-    Rows are made within a tile's partition, so that aggregates by keys, ty, tx, y and x need no shuffle. Without a
-    border places outside the image are left out.
+def by_tile(px: DataFrame, keys: list[str], value: str, r: int, height: int, width: int, border: str | None, outs: Sequence[str], code: Callable[[object], np.ndarray], absent: float, kernel: Callable[[np.ndarray], np.ndarray], tile: int = 0) -> DataFrame:
+    """keys, y, x, outs (doubles): what kernel makes of each tile's frame, which is r wider on every side. A group is one tile with its halo.
+
+    code turns an Arrow column of values into numbers; pixels that are absent, or beyond an image without a border, are
+    `absent`. kernel gives a column of each out for the tile's pixels in row-major order; rows of null are left out. Only pixels
+    and their copies for neighbouring tiles are shuffled: what stands beyond the border is looked up in the frame.
     """
     tile = tile or TILE
-    near = with_halo(px, keys, [value], ry, rx, height, width, border or "nearest", tile)
-    if border is None:
-        near = near.filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    spread = near.withColumn("dy", F.explode(F.sequence(F.lit(-ry), F.lit(ry)))).withColumn("dx", F.explode(F.sequence(F.lit(-rx), F.lit(rx))))
-    spread = spread.withColumns({"y": F.col("y") - F.col("dy"), "x": F.col("x") - F.col("dx")}).filter(_inside("y", height, tile) & _inside("x", width, tile))
-    return spread.join(F.broadcast(offsets), ["dy", "dx"])  # a stencil: a bound that no data changes
+    near = px.select(*keys, "y", "x", value).filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    for c, extent in (("y", height), ("x", width)):
+        if border is not None:
+            _check(extent, r, border)
+        first = F.greatest(F.lit(0), F.floor((F.col(c) - r) / tile).cast("int"))
+        near = near.withColumn(f"t{c}", F.explode(F.sequence(first, F.least(F.lit((extent - 1) // tile), F.floor((F.col(c) + r) / tile).cast("int")))))
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys).schema], "y int, x int", *[f"`{n}` double" for n in outs]])
+
+    def run(key, rows):
+        import pyarrow as pa
+
+        of, at = [], []
+        for c, k, extent in (("y", key[-2].as_py(), height), ("x", key[-1].as_py(), width)):
+            low, high = k * tile, min((k + 1) * tile, extent)
+            of.append((max(0, low - r), min(extent, high + r), low, high))
+            at.append(_mapped(low - r, high + r, extent, border))
+        (y0, y1, ya, yb), (x0, x1, xa, xb) = of
+        inside = np.full((y1 - y0 + 1, x1 - x0 + 1), absent, type(absent))  # the last row and column stand for what is outside
+        inside[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = code(rows[value])
+        frame = inside[np.ix_(np.where(at[0] < 0, -1, at[0] - y0), np.where(at[1] < 0, -1, at[1] - x0))]
+        made = kernel(frame)
+        y, x = (m.ravel().astype(np.int32) for m in np.meshgrid(np.arange(ya, yb), np.arange(xa, xb), indexing="ij"))
+        out = pa.table([*[pa.repeat(k, len(y)) for k in key[:-2]], pa.array(y), pa.array(x), *[c if isinstance(c, pa.Array) else pa.array(c) for c in made]], names=[*keys, "y", "x", *outs])
+        return out.drop_null() if any(c.null_count for c in out.columns[len(keys) + 2 :]) else out
+
+    return near.groupBy(*keys, "ty", "tx").applyInArrow(run, kinds)
+
+
+def _strips(frame: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The size x size windows of a frame, some rows at a time: of each strip the windows of its pixels, as a view."""
+    windows = np.lib.stride_tricks.sliding_window_view(frame, (size, size))
+    step = max(1, STRIP // (windows.shape[1] * size * size))
+    return (windows[i : i + step].reshape(-1, size, size) for i in range(0, len(windows), step))
+
+
+def _answers(px: DataFrame, keys: list[str], value: str, kernels: list[list[list[float]]], height: int, width: int, border: str, tile: int, outs: Sequence[str], of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """keys, y, x, outs: `of` the kernels' answers (pixels x kernels) as columns of outs."""
+    size = len(kernels[0])
+    bank = np.array(kernels, float).reshape(len(kernels), -1).T
+
+    def kernel(frame: np.ndarray) -> np.ndarray:
+        return np.concatenate([of(w.reshape(len(w), -1) @ bank) for w in _strips(frame, size)]).T
+
+    some = px.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    return by_tile(some, keys, value, size // 2, height, width, border, outs, lambda c: c.to_numpy(), 0.0, kernel, tile)
 
 
 def weighted(px: DataFrame, keys: list[str], value: str, kernels: dict[str, list[list[float]]], height: int, width: int, border: str = "mirror", tile: int = 0) -> DataFrame:
-    """keys, y, x and a column for each kernel (square, of one odd size, not separable): the sum of its weights times the pixels around."""
-    r = len(next(iter(kernels.values()))) // 2
-    rows = [(dy, dx, *[float(k[dy + r][dx + r]) for k in kernels.values()]) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    offsets = px.sparkSession.createDataFrame(rows, ", ".join(["dy int", "dx int", *[f"`w_{n}` double" for n in kernels]]))
-    near = neighbours(px, keys, value, offsets, r, r, height, width, border, tile)
-    return near.groupBy(*keys, "ty", "tx", "y", "x").agg(*[F.sum(F.col(value) * F.col(f"w_{n}")).alias(n) for n in kernels]).drop("ty", "tx")
+    """keys, y, x and a column for each kernel (square, of one odd size, not separable): the sum of its weights times the pixels around. Nulls and absent pixels add nothing."""
+    return _answers(px, keys, value, list(kernels.values()), height, width, border, tile, list(kernels), lambda a: a)
+
+
+def strongest(px: DataFrame, keys: list[str], value: str, kernels: list[list[list[float]]], height: int, width: int, border: str = "mirror", tile: int = 0) -> DataFrame:
+    """keys, y, x, value: the largest answer, of either sign, of kernels as in `weighted`; only this leaves the tile's task."""
+    return _answers(px, keys, value, kernels, height, width, border, tile, [value], lambda a: np.abs(a).max(axis=1, keepdims=True))
 
 
 def entropy(px: DataFrame, keys: list[str], level: str, radius: int, height: int, width: int, out: str = "entropy", tile: int = 0) -> DataFrame:
-    """keys, y, x, out: the bits of the levels' distribution over the disk around each pixel, as far as it is inside the image."""
-    rows = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-    disk = px.sparkSession.createDataFrame(rows, "dy int, dx int")
-    near = neighbours(px, keys, level, disk, radius, radius, height, width, None, tile)
-    at = [*keys, "ty", "tx", "y", "x"]
-    counts = near.groupBy(*at, level).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.sum("__n")
-    bits = F.log2(n) - F.sum(F.col("__n") * F.log2("__n")) / n
-    return counts.groupBy(*at).agg(bits.alias(out)).drop("ty", "tx")
+    """keys, y, x, out: the bits of the levels' distribution over the disk around each pixel, as far as it is inside the image. Null is a level.
+
+    A pixel's levels are sorted, so its counts are the lengths of runs; no row is made for a place of the disk.
+    """
+    size, d = 2 * radius + 1, np.arange(-radius, radius + 1)
+    disk = d[:, None] ** 2 + d**2 <= radius**2
+    counts = np.arange(disk.sum() + 1)
+    spread = counts * np.log2(np.maximum(counts, 1))
+
+    def bits(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near.sort(axis=1)
+        new = np.ones(near.shape, bool)
+        new[:, 1:] = near[:, 1:] != near[:, :-1]
+        at = np.flatnonzero(new)
+        n = np.where(near.ravel()[at] < 0, 0, np.diff(at, append=near.size))
+        rows = np.searchsorted(at, np.arange(0, near.size, near.shape[1]))
+        return np.add.reduceat(n, rows), np.add.reduceat(spread[n], rows)
+
+    def kernel(frame: np.ndarray) -> list:
+        import pyarrow as pa
+
+        frame = frame.astype(np.int16) if frame.max() < 1 << 15 else frame
+        n, s = (np.concatenate(a) for a in zip(*[bits(w[:, disk]) for w in _strips(frame, size)], strict=True))
+        some = np.maximum(n, 1)
+        return [pa.array(np.log2(some) - s / some, mask=n == 0)]
+
+    def code(column) -> np.ndarray:
+        import pandas as pd
+
+        return pd.factorize(column.to_pandas(), use_na_sentinel=False)[0]
+
+    return by_tile(px, keys, level, radius, height, width, None, [out], code, -1, kernel, tile)
 
 
 def local_contrast(px: DataFrame, keys: list[str], value: str, height: int, width: int, share: float = 0.12) -> DataFrame:

@@ -213,3 +213,21 @@ def test_row_prior_prefers_rows(spark):
     out = T.row_prior(spark.createDataFrame(rows, "image int, y int, x int, g double"), KEYS, "g", n, n, 24)
     means = {r["left"]: r["m"] for r in out.groupBy((F.col("x") < n // 2).alias("left")).agg(F.avg("v").alias("m")).collect()}
     assert out.count() == n * n and means[True] > 2 * means[False]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entropy_makes_no_row_for_a_place_of_the_disk(spark):
+    px = table(spark, [IMAGES[0]], "level").withColumn("level", F.floor(F.col("level") * 6).cast("int"))
+    plan = _plan(S.entropy(px, KEYS, "level", 3, H, W, "e"))
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_entropy_of_nulls_and_absent_pixels(spark):
+    rows = [(0, y, x, None if x % 2 else 7) for y in range(4) for x in range(6) if x < 5]
+    px = spark.createDataFrame(rows, "image int, y int, x int, level int")
+    got = {(r["y"], r["x"]): r["e"] for r in S.entropy(px, KEYS, "level", 1, 4, 6, "e", 3).collect()}
+    assert len(got) == 4 * 6 and got[0, 5] == 0.0
+    assert abs(got[1, 4] + 3 / 4 * np.log2(3 / 4) + 1 / 4 * np.log2(1 / 4)) < 1e-12
