@@ -42,6 +42,12 @@ def fused_map(px: DataFrame, keys: list[str], maps: list[str], rule: str, height
     return numeric.norm01(smoothed, keys, out, out)
 
 
+def starts(extent: int, size: int, overlap: float) -> list[int]:
+    """Where the tiles of an axis begin; the last one is clamped to the edge."""
+    last = max(extent - size, 0)
+    return sorted({*range(0, last + 1, max(1, round(size * (1 - overlap)))), last})
+
+
 def tiles(df: DataFrame, width: Column, height: Column, size: int, overlap: float) -> DataFrame:
     """df exploded to tile origins tx, ty; the last tile of each axis is clamped to the edge."""
     step = max(1, round(size * (1 - overlap)))

@@ -36,25 +36,41 @@ def wave_energy(px: DataFrame, keys: list[str], value: str, height: int, width:
     return answers.select(*keys, "y", "x", F.greatest(*[F.abs(F.col(n)) for n in bank]).alias(value))
 
 
-def periodicity(px: DataFrame, keys: list[str], value: str, size: int, height: int, width: int, out: str = "period") -> DataFrame:
-    """keys, ty, tx, out: of each tile of size pixels (half overlapping), its spectrum's highest peak over its mean, without the longest waves. A group is one tile."""
-    spread = fusion.tiles(px.select(*keys).distinct(), F.lit(width), F.lit(height), size, 0.5)
-    inside = spread.withColumn("y", F.explode(F.sequence("ty", F.col("ty") + size - 1))).withColumn("x", F.explode(F.sequence("tx", F.col("tx") + size - 1)))
-    tiled = inside.join(px.select(*keys, "y", "x", value), [*keys, "y", "x"])
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tiled.select(*keys, "ty", "tx").schema], f"{out} double"])
-
-    def peak_over_mean(key, pdf):
-        import pandas as pd
-
-        tile = np.zeros((size, size))
-        tile[pdf["y"] - key[-2], pdf["x"] - key[-1]] = pdf[value]
-        taper = np.hanning(size)
-        waves = np.hypot(*(f(np.fft.fft2((tile - tile.mean()) * taper[:, None] * taper)) for f in (np.real, np.imag)))
-        k = np.minimum(np.arange(size), size - np.arange(size))  # waves along an axis, of either sign
-        waves[np.ix_(k <= LOW_WAVES, k <= LOW_WAVES)] = 0
-        return pd.DataFrame([(*key, float(waves.max() / (waves.mean() + 1e-6)))], columns=[*keys, "ty", "tx", out])
-
-    return tiled.groupBy(*keys, "ty", "tx").applyInPandas(peak_over_mean, schema)
+def periodicity(px: DataFrame, keys: list[str], value: str, size: int, height: int, width: int, out: str = "period", block: int = 0) -> DataFrame:
+    """keys, ty, tx, out: of each tile of size pixels (half overlapping), its spectrum's highest peak over its mean, without the longest waves.
+
+    A group is the tiles that begin in one block of an image. Pixels go to their blocks by arithmetic, without a join: exploded tiles
+    look as small as their images to Spark, which would broadcast them.
+    """
+    block = block or stencils.TILE
+    starts = {c: fusion.starts(extent, size, 0.5) for c, extent in (("y", height), ("x", width))}
+    near = px.select(*keys, "y", "x", value).filter(F.col("y").between(0, starts["y"][-1] + size - 1) & F.col("x").between(0, starts["x"][-1] + size - 1))
+    for c in "yx":
+        first, last = (F.floor(v / block).cast("int") for v in (F.col(c) - (size - 1), F.col(c)))
+        near = near.withColumn(f"b{c}", F.explode(F.sequence(F.greatest(F.lit(0), first), F.least(F.lit(starts[c][-1] // block), last))))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys).schema], f"ty int, tx int, `{out}` double"])
+    k = np.minimum(np.arange(size), size - np.arange(size))  # waves along an axis, of either sign
+    long_, taper = np.ix_(k <= LOW_WAVES, k <= LOW_WAVES), np.hanning(size)
+
+    def peaks(key, rows):
+        import pyarrow as pa
+
+        (y, x), at = ((np.array([s for s in starts[c] if s // block == b.as_py()], int) for c, b in zip("yx", key[-2:], strict=True)), [b.as_py() * block for b in key[-2:]])
+        image, some = (np.zeros((block + size, block + size), t) for t in (float, bool))
+        places = tuple(rows[c].to_numpy() - low for c, low in zip("yx", at, strict=True))
+        image[places], some[places] = rows[value].to_numpy().astype(float), True
+        found = []
+        for ty in y:
+            within = (ty - at[0] + np.arange(size))[None, :, None], (x - at[1])[:, None, None] + np.arange(size)
+            tiles, held = image[within], some[within].any(axis=(1, 2))
+            waves = np.abs(np.fft.fft2((tiles - tiles.mean(axis=(1, 2), keepdims=True)) * taper[:, None] * taper))
+            waves[:, long_[0], long_[1]] = 0
+            ratio = waves.max(axis=(1, 2)) / (waves.mean(axis=(1, 2)) + 1e-6)
+            found += [(int(ty), int(tx), float(v)) for tx, v, h in zip(x, ratio, held, strict=True) if h]
+        ty, tx, ratio = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+        return pa.table([*[pa.repeat(v, len(ty)) for v in key[:-2]], pa.array(ty, pa.int32()), pa.array(tx, pa.int32()), pa.array(ratio, pa.float64(), from_pandas=True)], names=[*keys, "ty", "tx", out])
+
+    return near.groupBy(*keys, "by", "bx").applyInArrow(peaks, schema)
 
 
 def row_prior(px: DataFrame, keys: list[str], grey: str, height: int, width: int, tile: int = 96) -> DataFrame:

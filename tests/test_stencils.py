@@ -231,3 +231,14 @@ def test_entropy_of_nulls_and_absent_pixels(spark):
     got = {(r["y"], r["x"]): r["e"] for r in S.entropy(px, KEYS, "level", 1, 4, 6, "e", 3).collect()}
     assert len(got) == 4 * 6 and got[0, 5] == 0.0
     assert abs(got[1, 4] + 3 / 4 * np.log2(3 / 4) + 1 / 4 * np.log2(1 / 4)) < 1e-12
+
+
+def test_periodicity_joins_no_exploded_tiles(px):
+    plan = _plan(T.periodicity(px, KEYS, "v", 16, H, W))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_periodicity_by_blocks(px):
+    got = [{(r["image"], r["ty"], r["tx"]): r["period"] for r in T.periodicity(px, KEYS, "v", 8, H, W, block=b).collect()} for b in (5, 256)]
+    assert len(got[0]) == 2 * 5 * 8 and got[0].keys() == got[1].keys()
+    assert all(abs(v - got[1][k]) < 1e-9 for k, v in got[0].items())
