@@ -31,9 +31,8 @@ def wave(frequency: float, direction: float, size: int = SIZE) -> list[list[floa
 
 def wave_energy(px: DataFrame, keys: list[str], value: str, height: int, width: int, frequencies=FREQUENCIES, directions: int = DIRECTIONS, size: int = SIZE) -> DataFrame:
     """keys, y, x, value: the strongest answer, of either sign, of a bank of waves; the border is mirrored."""
-    bank = {f"k{i}_{j}": wave(f, math.pi * j / directions, size) for i, f in enumerate(frequencies) for j in range(directions)}
-    answers = stencils.weighted(px, keys, value, bank, height, width)
-    return answers.select(*keys, "y", "x", F.greatest(*[F.abs(F.col(n)) for n in bank]).alias(value))
+    bank = [wave(f, math.pi * j / directions, size) for f in frequencies for j in range(directions)]
+    return stencils.strongest(px, keys, value, bank, height, width)
 
 
 def periodicity(px: DataFrame, keys: list[str], value: str, size: int, height: int, width: int, out: str = "period", block: int = 0) -> DataFrame:

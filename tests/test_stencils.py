@@ -242,3 +242,16 @@ def test_periodicity_by_blocks(px):
     got = [{(r["image"], r["ty"], r["tx"]): r["period"] for r in T.periodicity(px, KEYS, "v", 8, H, W, block=b).collect()} for b in (5, 256)]
     assert len(got[0]) == 2 * 5 * 8 and got[0].keys() == got[1].keys()
     assert all(abs(v - got[1][k]) < 1e-9 for k, v in got[0].items())
+
+
+def test_waves_make_no_row_for_a_place_of_the_kernel(px):
+    plan = _plan(T.wave_energy(px, KEYS, "v", H, W, (0.2,), 2, 9))
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("tile", [9, 256])
+def test_strongest_is_the_largest_of_weighted(px, tile):
+    kernels = {n: (RNG.random((5, 5)) - 0.5).tolist() for n in "ab"}
+    one, two = (arrays(S.weighted(px, KEYS, "v", kernels, H, W), n) for n in "ab")
+    for a, b, g in zip(one, two, arrays(S.strongest(px, KEYS, "v", list(kernels.values()), H, W, "mirror", tile))):
+        assert np.allclose(g, np.maximum(np.abs(a), np.abs(b)))
