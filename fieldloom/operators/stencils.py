@@ -1,12 +1,10 @@
 """Windows over images that stand as dense pixel tables (keys, y, x, values): no image is held by one task.
 
-An image is cut into tiles of TILE pixels a side; a pixel is copied to the tiles whose halo it is in, and
-pixels beyond the border are copies of those inside, by mapping coordinates. So one shuffle serves both
-directions: a separable kernel is a sum of lagged values along x, then along y, within a tile. A window
-holds one row or column of a tile; copies add about 4 * radius / TILE of the pixels.
-
-Windows that aren't separable (waves, entropy) are spread out in NumPy, a strip of a tile's rows at a time: as rows
-they would be as many as the window has places, times the pixels.
+An image is cut into tiles of TILE pixels a side; a pixel is copied to the tiles whose halo it is in, about
+4 * radius / TILE of the pixels. So one shuffle serves both directions: a kernel works on a tile's frame in NumPy, and
+places beyond the border are looked up in it by mapping coordinates. Windows of kernels that aren't separable (waves, entropy) are
+spread out a strip of a tile's rows at a time: as rows they would be as many as the window has places, times the
+pixels. Medians are aggregates over windows, which hold one row or column of a tile.
 
 Box sums need no halo: they are differences of running totals along whole rows, then along whole columns.
 
@@ -24,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 TILE = 256
 #: Values of windows that a tile's task spreads out at a time.
 STRIP = 1 << 20
+#: What stands for a null or absent pixel in a frame: a NaN that no arithmetic makes.
+NONE = np.array([0x7FF80000DEADBEEF]).view(np.float64)[0]
 BORDERS = ("reflect", "mirror", "nearest")
 
 
@@ -78,43 +78,6 @@ def _inside(c: str, extent: int, tile: int) -> Column:
     return (F.col(c) >= at) & (F.col(c) < F.least(at + tile, F.lit(extent)))
 
 
-def _lagged(value: str, weights: Sequence[float], w) -> Column:
-    r = len(weights) // 2
-    at = lambda k: F.col(value) if k == 0 else (F.lead(value, k) if k > 0 else F.lag(value, -k)).over(w)
-    out = F.lit(0.0)
-    for k, weight in zip(range(-r, r + 1), weights, strict=True):
-        if weight:
-            out = out + at(k) * F.lit(float(weight))
-    return out
-
-
-def separable(px: DataFrame, keys: list[str], values: Sequence[str], along_y: Sequence[float], along_x: Sequence[float], height: int, width: int, border: str = "reflect", tile: int = 0) -> DataFrame:
-    """keys, y, x and the values, each weighted by along_x over its row's neighbours, then by along_y over its column's. Kernels have odd lengths."""
-    tile = tile or TILE
-    out = with_halo(px, keys, values, len(along_y) // 2, len(along_x) // 2, height, width, border, tile)
-    for c, other, weights, extent in (("x", "y", along_x, width), ("y", "x", along_y, height)):
-        w = Window.partitionBy(*keys, "ty", "tx", other).orderBy(c)
-        out = out.select(*keys, "ty", "tx", "y", "x", *[_lagged(v, weights, w).alias(v) for v in values]).filter(_inside(c, extent, tile))
-    return out.select(*keys, "y", "x", *values)
-
-
-def gaussian(px: DataFrame, keys: list[str], values: Sequence[str], sigma: float, height: int, width: int, tile: int = 0) -> DataFrame:
-    """keys, y, x and the values, smoothed; borders are reflected."""
-    k = gaussian_kernel(sigma)
-    return separable(px, keys, values, k, k, height, width, "reflect", tile)
-
-
-def median(px: DataFrame, keys: list[str], value: str, size: int, height: int, width: int, tile: int = 0) -> DataFrame:
-    """keys, y, x, value: the median of the size x size window (size odd), the border carried on. A frame holds size rows of a column's windows."""
-    tile, r = tile or TILE, size // 2
-    out = with_halo(px, keys, [value], r, r, height, width, "nearest", tile)
-    across = Window.partitionBy(*keys, "ty", "tx", "y").orderBy("x").rowsBetween(-r, r)
-    rows = out.withColumn("__row", F.collect_list(value).over(across)).filter(_inside("x", width, tile))
-    down = Window.partitionBy(*keys, "ty", "tx", "x").orderBy("y").rowsBetween(-r, r)
-    box = rows.withColumn("__box", F.collect_list("__row").over(down)).filter(_inside("y", height, tile))
-    return box.select(*keys, "y", "x", F.get(F.array_sort(F.flatten("__box")), F.lit(size * size // 2)).alias(value))
-
-
 def _mapped(first: int, end: int, extent: int, border: str | None) -> np.ndarray:
     """Where the coordinates from first to end - 1 stand inside an image, as _copies has it; -1 beyond an image without a border."""
     c = np.arange(first, end)
@@ -126,16 +89,16 @@ def _mapped(first: int, end: int, extent: int, border: str | None) -> np.ndarray
     return np.where(c < 0, skip - 1 - c, np.where(c >= extent, 2 * extent - 1 - skip - c, c))
 
 
-def by_tile(px: DataFrame, keys: list[str], value: str, r: int, height: int, width: int, border: str | None, outs: Sequence[str], code: Callable[[object], np.ndarray], absent: float, kernel: Callable[[np.ndarray], np.ndarray], tile: int = 0) -> DataFrame:
-    """keys, y, x, outs (doubles): what kernel makes of each tile's frame, which is r wider on every side. A group is one tile with its halo.
+def by_tile(px: DataFrame, keys: list[str], values: Sequence[str], ry: int, rx: int, height: int, width: int, border: str | None, outs: Sequence[str], code: Callable[[object], np.ndarray], absent: float, kernel: Callable[[list[np.ndarray]], Sequence], tile: int = 0) -> DataFrame:
+    """keys, y, x, outs (doubles): what kernel makes of each tile's frames, one for each value, ry rows and rx columns wider on every side. A group is one tile with its halo.
 
     code turns an Arrow column of values into numbers; pixels that are absent, or beyond an image without a border, are
-    `absent`. kernel gives a column of each out for the tile's pixels in row-major order; rows of null are left out. Only pixels
-    and their copies for neighbouring tiles are shuffled: what stands beyond the border is looked up in the frame.
+    `absent`. kernel gives a column of each out for the tile's pixels in row-major order. Only pixels and their copies for
+    neighbouring tiles are shuffled: what stands beyond the border is looked up in the frame.
     """
     tile = tile or TILE
-    near = px.select(*keys, "y", "x", value).filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    for c, extent in (("y", height), ("x", width)):
+    near = px.select(*keys, "y", "x", *values).filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    for c, r, extent in (("y", ry, height), ("x", rx, width)):
         if border is not None:
             _check(extent, r, border)
         first = F.greatest(F.lit(0), F.floor((F.col(c) - r) / tile).cast("int"))
@@ -146,22 +109,80 @@ def by_tile(px: DataFrame, keys: list[str], value: str, r: int, height: int, wid
         import pyarrow as pa
 
         of, at = [], []
-        for c, k, extent in (("y", key[-2].as_py(), height), ("x", key[-1].as_py(), width)):
+        for k, r, extent in ((key[-2].as_py(), ry, height), (key[-1].as_py(), rx, width)):
             low, high = k * tile, min((k + 1) * tile, extent)
-            of.append((max(0, low - r), min(extent, high + r), low, high))
-            at.append(_mapped(low - r, high + r, extent, border))
+            start, end = max(0, low - r), min(extent, high + r)
+            of.append((start, end, low, high))
+            places = _mapped(low - r, high + r, extent, border)
+            at.append(np.where(places < 0, end - start, places - start))  # one row and column more stand for what is outside
         (y0, y1, ya, yb), (x0, x1, xa, xb) = of
-        inside = np.full((y1 - y0 + 1, x1 - x0 + 1), absent, type(absent))  # the last row and column stand for what is outside
-        inside[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = code(rows[value])
-        frame = inside[np.ix_(np.where(at[0] < 0, -1, at[0] - y0), np.where(at[1] < 0, -1, at[1] - x0))]
-        made = kernel(frame)
+        frames, placed = [], (rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0)
+        for v in values:
+            inside = np.full((y1 - y0 + 1, x1 - x0 + 1), absent, type(absent))
+            inside[placed] = code(rows[v])
+            frames.append(inside[np.ix_(*at)])
         y, x = (m.ravel().astype(np.int32) for m in np.meshgrid(np.arange(ya, yb), np.arange(xa, xb), indexing="ij"))
-        out = pa.table([*[pa.repeat(k, len(y)) for k in key[:-2]], pa.array(y), pa.array(x), *[c if isinstance(c, pa.Array) else pa.array(c) for c in made]], names=[*keys, "y", "x", *outs])
-        return out.drop_null() if any(c.null_count for c in out.columns[len(keys) + 2 :]) else out
+        return pa.table([*[pa.repeat(k, len(y)) for k in key[:-2]], pa.array(y), pa.array(x), *[pa.array(c) for c in kernel(frames)]], names=[*keys, "y", "x", *outs])
 
     return near.groupBy(*keys, "ty", "tx").applyInArrow(run, kinds)
 
 
+def _along(frame: np.ndarray, weights: Sequence[float], axis: int) -> np.ndarray:
+    """Each place's neighbours along an axis, weighted; the frame gets narrower."""
+    n = frame.shape[axis] - len(weights) + 1
+    out = np.zeros([n if i == axis else m for i, m in enumerate(frame.shape)])
+    for k, weight in enumerate(weights):
+        if weight:
+            out += weight * (frame[k : k + n] if axis == 0 else frame[:, k : k + n])
+    return out
+
+
+def _separated(px: DataFrame, keys: list[str], values: Sequence[str], outs: dict[str, tuple[str, Sequence[float], Sequence[float]]], height: int, width: int, border: str, tile: int) -> DataFrame:
+    """keys, y, x, outs: each a value weighted along x, then along y (value, along_y, along_x); kernels of one size. Null where a null or absent pixel has a weight."""
+    _, ky, kx = next(iter(outs.values()))
+
+    def kernel(frames: list[np.ndarray]) -> list:
+        import pyarrow as pa
+
+        made = []
+        for value, along_y, along_x in outs.values():
+            frame = frames[values.index(value)]
+            none = np.isnan(frame) & (frame.view(np.int64) == NONE.view(np.int64))
+            out = _along(_along(frame, along_x, 1), along_y, 0).ravel()
+            missing = none.any() and _along(_along(none.astype(float), np.abs(along_x), 1), np.abs(along_y), 0).ravel() > 0
+            made.append(pa.array(out, mask=missing) if none.any() else out)
+        return made
+
+    def code(column) -> np.ndarray:
+        out = column.to_numpy().astype(float)
+        out[column.is_null().to_numpy()] = NONE
+        return out
+
+    return by_tile(px, keys, values, len(ky) // 2, len(kx) // 2, height, width, border, list(outs), code, float(NONE), kernel, tile)
+
+
+def separable(px: DataFrame, keys: list[str], values: Sequence[str], along_y: Sequence[float], along_x: Sequence[float], height: int, width: int, border: str = "reflect", tile: int = 0) -> DataFrame:
+    """keys, y, x and the values, each weighted by along_x over its row's neighbours, then by along_y over its column's. Kernels have odd lengths."""
+    return _separated(px, keys, values, {v: (v, along_y, along_x) for v in values}, height, width, border, tile)
+
+
+def gaussian(px: DataFrame, keys: list[str], values: Sequence[str], sigma: float, height: int, width: int, tile: int = 0) -> DataFrame:
+    """keys, y, x and the values, smoothed; borders are reflected."""
+    k = gaussian_kernel(sigma)
+    return separable(px, keys, values, k, k, height, width, "reflect", tile)
+
+
+def median(px: DataFrame, keys: list[str], value: str, size: int, height: int, width: int, tile: int = 0) -> DataFrame:
+    """keys, y, x, value: the median of the size x size window (size odd), the border carried on. A frame holds size rows of a column's windows."""
+    tile, r = tile or TILE, size // 2
+    out = with_halo(px, keys, [value], r, r, height, width, "nearest", tile)
+    across = Window.partitionBy(*keys, "ty", "tx", "y").orderBy("x").rowsBetween(-r, r)
+    rows = out.withColumn("__row", F.collect_list(value).over(across)).filter(_inside("x", width, tile))
+    down = Window.partitionBy(*keys, "ty", "tx", "x").orderBy("y").rowsBetween(-r, r)
+    box = rows.withColumn("__box", F.collect_list("__row").over(down)).filter(_inside("y", height, tile))
+    return box.select(*keys, "y", "x", F.get(F.array_sort(F.flatten("__box")), F.lit(size * size // 2)).alias(value))
+
+
 def _strips(frame: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The size x size windows of a frame, some rows at a time: of each strip the windows of its pixels, as a view."""
     windows = np.lib.stride_tricks.sliding_window_view(frame, (size, size))
@@ -174,11 +195,11 @@ def _answers(px: DataFrame, keys: list[str], value: str, kernels: list[list[list
     size = len(kernels[0])
     bank = np.array(kernels, float).reshape(len(kernels), -1).T
 
-    def kernel(frame: np.ndarray) -> np.ndarray:
-        return np.concatenate([of(w.reshape(len(w), -1) @ bank) for w in _strips(frame, size)]).T
+    def kernel(frames: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([of(w.reshape(len(w), -1) @ bank) for w in _strips(frames[0], size)]).T
 
     some = px.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    return by_tile(some, keys, value, size // 2, height, width, border, outs, lambda c: c.to_numpy(), 0.0, kernel, tile)
+    return by_tile(some, keys, [value], size // 2, size // 2, height, width, border, outs, lambda c: c.to_numpy(), 0.0, kernel, tile)
 
 
 def weighted(px: DataFrame, keys: list[str], value: str, kernels: dict[str, list[list[float]]], height: int, width: int, border: str = "mirror", tile: int = 0) -> DataFrame:
@@ -210,10 +231,10 @@ def entropy(px: DataFrame, keys: list[str], level: str, radius: int, height: int
         rows = np.searchsorted(at, np.arange(0, near.size, near.shape[1]))
         return np.add.reduceat(n, rows), np.add.reduceat(spread[n], rows)
 
-    def kernel(frame: np.ndarray) -> list:
+    def kernel(frames: list[np.ndarray]) -> list:
         import pyarrow as pa
 
-        frame = frame.astype(np.int16) if frame.max() < 1 << 15 else frame
+        frame = frames[0].astype(np.int16) if frames[0].max() < 1 << 15 else frames[0]
         n, s = (np.concatenate(a) for a in zip(*[bits(w[:, disk]) for w in _strips(frame, size)], strict=True))
         some = np.maximum(n, 1)
         return [pa.array(np.log2(some) - s / some, mask=n == 0)]
@@ -223,7 +244,7 @@ def entropy(px: DataFrame, keys: list[str], level: str, radius: int, height: int
 
         return pd.factorize(column.to_pandas(), use_na_sentinel=False)[0]
 
-    return by_tile(px, keys, level, radius, height, width, None, [out], code, -1, kernel, tile)
+    return by_tile(px, keys, [level], radius, radius, height, width, None, [out], code, -1, kernel, tile).filter(F.col(out).isNotNull())  # null: nothing around
 
 
 def local_contrast(px: DataFrame, keys: list[str], value: str, height: int, width: int, share: float = 0.12) -> DataFrame:
@@ -238,10 +259,7 @@ def local_contrast(px: DataFrame, keys: list[str], value: str, height: int, widt
 def gradients(px: DataFrame, keys: list[str], value: str, height: int, width: int) -> DataFrame:
     """keys, y, x, gx, gy: Sobel slopes; the border is mirrored."""
     slope, smooth = [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]
-    both = px.select(*keys, "y", "x", F.col(value).alias("gx"))
-    gx = separable(both, keys, ["gx"], smooth, slope, height, width, "mirror")
-    gy = separable(both.withColumnRenamed("gx", "gy"), keys, ["gy"], slope, smooth, height, width, "mirror")
-    return gx.join(gy, [*keys, "y", "x"])
+    return _separated(px, keys, [value], {"gx": (value, smooth, slope), "gy": (value, slope, smooth)}, height, width, "mirror", 0)
 
 
 def coherence(px: DataFrame, keys: list[str], value: str, height: int, width: int, sigma: float = 6.0) -> DataFrame:

@@ -255,3 +255,15 @@ def test_strongest_is_the_largest_of_weighted(px, tile):
     one, two = (arrays(S.weighted(px, KEYS, "v", kernels, H, W), n) for n in "ab")
     for a, b, g in zip(one, two, arrays(S.strongest(px, KEYS, "v", list(kernels.values()), H, W, "mirror", tile))):
         assert np.allclose(g, np.maximum(np.abs(a), np.abs(b)))
+
+
+def test_separable_kernels_lag_no_rows(px):
+    plan = _plan(S.coherence(px, KEYS, "v", H, W, 2.0))
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_separable_of_nulls(spark):
+    rows = [(0, y, x, None if (y, x) == (1, 1) else float("nan") if (y, x) == (3, 5) else 1.0) for y in range(4) for x in range(6)]
+    got = {(r["y"], r["x"]): r["v"] for r in S.separable(spark.createDataFrame(rows, "image int, y int, x int, v double"), KEYS, ["v"], [1.0, 1.0, 1.0], [0.0, 1.0, 1.0], 4, 6, "nearest", 3).collect()}
+    assert len(got) == 24 and {k for k, v in got.items() if v is None} == {(y, x) for y in (0, 1, 2) for x in (0, 1)}
+    assert {k for k, v in got.items() if v is not None and v != v} == {(y, x) for y in (2, 3) for x in (4, 5)} and got[0, 3] == 6.0
