@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def box_iou(a: list[Column], b: list[Column]) -> Column:
@@ -20,6 +20,20 @@ def cells(box: list[Column], width: int, height: int) -> Column:
     return F.flatten(F.transform(across, lambda x: F.transform(span(box[1], box[3], height), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def best_iou(pred: DataFrame, truth: DataFrame, keys: list[str], p: list[str], g: list[str], width: int, height: int) -> DataFrame:
+    """keys, p, iou: the best overlap of each distinct box of pred with truth's boxes of its keys; none for keys that truth lacks.
+
+    All boxes have one size, and p and g name their corners' columns. Each distinct box is compared once, however many rows share it, and only
+    with boxes of a cell of the grid that both touch; a box that meets none has 0.
+    """
+    corners = lambda a: [F.col(a[0]), F.col(a[1]), F.col(a[0]) + width, F.col(a[1]) + height]
+    one, two = pred.select(*keys, *p).distinct(), truth.select(*keys, *g).distinct()
+    in_cells = lambda df, a: df.withColumn("__cell", F.explode(cells(corners(a), width, height)))
+    met = in_cells(one, p).hint("merge").join(in_cells(two, g), [*keys, "__cell"]).groupBy(*keys, *p).agg(F.max(box_iou(corners(p), corners(g))).alias("iou"))
+    some = one.join(truth.select(*keys).distinct(), keys, "left_semi")
+    return some.join(met, [*keys, *p], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+
+
 def closed(ring: Column) -> Column:
     """The ring with its first point appended."""
     return F.concat(ring, F.slice(ring, 1, 1))

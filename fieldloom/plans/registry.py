@@ -406,12 +406,8 @@ def box_iou_best(spark, d):
     box = lambda k, a, b: [(F.col(k) * a % 100).cast("double"), (F.col(k) * b % 100).cast("double")]
     p = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), *[c.alias(f"p{i}") for i, c in enumerate(box("c_custkey", 7, 13))])
     g = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), *[c.alias(f"g{i}") for i, c in enumerate(box("s_suppkey", 11, 17))])
-    corners = lambda a: [F.col(f"{a}0"), F.col(f"{a}1"), F.col(f"{a}0") + 40, F.col(f"{a}1") + 30]
-    # Boxes meet only in a cell of the grid that both touch; predictions whose target has boxes but that meet none score 0.
-    in_cells = lambda df, a: df.withColumn("cell", F.explode(geo.cells(corners(a), 40, 30)))
-    met = in_cells(p, "p").join(in_cells(g, "g"), ["n", "cell"]).groupBy("c_custkey").agg(F.max(geo.box_iou(corners("p"), corners("g"))).alias("iou"))
-    with_boxes = p.join(g.select("n").distinct(), "n", "left_semi").select("c_custkey")
-    return with_boxes.join(met, "c_custkey", "left").select("c_custkey", F.round(F.coalesce("iou", F.lit(0.0)), 6).alias("best_iou"))
+    best = geo.best_iou(p, g, ["n"], ["p0", "p1"], ["g0", "g1"], 40, 30)
+    return p.join(best, ["n", "p0", "p1"]).groupBy("c_custkey").agg(F.round(F.max("iou"), 6).alias("best_iou"))
 
 
 @query("""SELECT user_id, island, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island

@@ -81,3 +81,18 @@ def test_image_files(spark, tmp_path):
     for n in ("b.PNG", "a.tif", "c.txt"):
         (tmp_path / n).write_bytes(b"x")
     assert [r.filename for r in readers.image_files(spark, str(tmp_path)).orderBy("filename").collect()] == ["a.tif", "b.PNG"]
+
+
+def test_best_iou_compares_each_distinct_box_once(spark):
+    pred = [(n, float(x * 30), float(x * 20)) for n in (1, 2, 3) for x in range(5)] * 40
+    truth = [(n, float(x), float(y)) for n, some in ((1, [(5, 5), (100, 70)]), (2, [(400, 400)])) for x, y in some] * 40
+    p, g = spark.createDataFrame(pred, "n int, p0 double, p1 double"), spark.createDataFrame(truth, "n int, g0 double, g1 double")
+    best = geo.best_iou(p, g, ["n"], ["p0", "p1"], ["g0", "g1"], 40, 30)
+    rows = best.collect()
+    got = {(r["n"], r["p0"], r["p1"]): r["iou"] for r in rows}
+
+    def iou(a, b):
+        i = max(0, 40 - abs(a[0] - b[0])) * max(0, 30 - abs(a[1] - b[1]))
+        return i / (2400 - i)
+
+    assert len(rows) == len(got) and got == {b: max(iou(b[1:], t[1:]) for t in truth if t[0] == b[0]) for b in pred if b[0] < 3}
