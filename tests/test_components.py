@@ -97,3 +97,10 @@ def test_no_pixels(spark):
     none = table(spark, [])
     assert C.connected(C.runs(none, KEYS), KEYS).count() == 0
     assert C.filled(C.runs(none, KEYS), images_of(spark, 2), KEYS, 4, 4).count() == 0
+
+
+def test_pixels_and_pairs_are_not_broadcast(spark):
+    one = spark.createDataFrame([(0, 0, 0, 3), (0, 1, 2, 5)], "image int, y int, x0 int, x1 int")
+    px = spark.createDataFrame([(0, 0, 1, 1.0)], "image int, y int, x int, v double")
+    for df in (C.pixels_of(one, "image").join(px, ["image", "y", "x"]), px.join(C.pixels_of(one, "image"), ["image", "y", "x"], "left"), C.links(one, ["image"]), C.connected(one, ["image"])):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
