@@ -100,11 +100,18 @@ def peak(px: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, (-F.col("b.col2")).alias("y"), (-F.col("b.col3")).alias("x"))
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of a group's values, whatever their order: summed to 18 decimals. Values that no decimal(28, 18) holds (NaN, 10^10 and more) are averaged as doubles."""
+    exact = F.col(value).cast("double").try_cast("decimal(28, 18)")
+    mean = (F.sum(exact).cast("decimal(28, 18)") / F.count(exact).cast("decimal(10, 0)")).cast("double")
+    return F.when(F.count(exact) == F.count(value), mean).otherwise(F.avg(value))
+
+
 def regions(px: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, area, confidence, cy, cx (means) and the box x0, y0, x1, y1, ending one past the last pixel, of labelled pixels."""
     end = lambda c: F.max(c) + 1
     return px.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("area"), F.avg(value).alias("confidence"), F.avg("y").alias("cy"), F.avg("x").alias("cx"),
+        F.count(F.lit(1)).alias("area"), exact_mean(value).alias("confidence"), F.avg("y").alias("cy"), F.avg("x").alias("cx"),
         F.min("x").alias("x0"), F.min("y").alias("y0"), end("x").alias("x1"), end("y").alias("y1"),
     )
 

@@ -90,3 +90,15 @@ def test_hsv(spark):
     got = [tuple(r) for r in rows.select(*pixels.hsv(rows.r, rows.g, rows.b)).collect()]
     assert got[:5] == [(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 90), (0, 0, 0)]
     assert got[5] == (26, 204, 200)
+
+
+def test_confidence_does_not_depend_on_the_order_of_pixels(spark):
+    values = [round(0.1 + 0.012345 * k % 0.9, 6) for k in range(1, 48)]
+    values.append(round(0.722066 * 48 + 24e-9 - sum(values), 6))
+    rows = [(k, 0, x, v) for k, vs in enumerate((values, values[::-1], sorted(values), sorted(values, reverse=True))) for x, v in enumerate(vs)]
+    px = spark.createDataFrame(rows + [(4, 0, 0, 1e300), (4, 0, 1, 0.0), (5, 0, 0, None)], "t int, y int, x int, v double").coalesce(1)
+    got = {r["t"]: r["confidence"] for r in pixels.regions(px, ["t"], "v").collect()}
+    from fractions import Fraction
+
+    want = float(sum(Fraction(str(v)) for v in values) / 48)
+    assert [got[k] for k in range(4)] == [want] * 4 and got[4] == 5e299 and got[5] is None
