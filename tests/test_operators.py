@@ -96,3 +96,12 @@ def test_best_iou_compares_each_distinct_box_once(spark):
         return i / (2400 - i)
 
     assert len(rows) == len(got) and got == {b: max(iou(b[1:], t[1:]) for t in truth if t[0] == b[0]) for b in pred if b[0] < 3}
+
+
+def test_control_points_are_dealt(spark):
+    v = spark.createDataFrame([(k % 2, k, None if k == 3 else k / 2) for k in range(7)], "sheet int, px int, wx double")
+    h = spark.createDataFrame([(k % 3, k) for k in range(40)] + [(0, 0)], "sheet int, py int")
+    one, many = (georef.control_points(v, h, ["sheet"], n) for n in (1, 5))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert many.columns == one.columns and "Broadcast" not in plan and "__part" in plan
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
